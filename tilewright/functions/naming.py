@@ -13,7 +13,8 @@ DNS_NAMESPACE_HEX = "6ba7b8109dad11d180b400c04fd430c8"  # fixed value: the publi
 
 def site_key(lat: Column, lon: Column) -> Column:
     """Stable key of a place: both coordinates to four places and a short hash of them."""
-    text = F.concat(F.format_number(lat, "0.0000"), F.lit("_"), F.format_number(lon, "0.0000"))
+    text = F.concat(F.call_function("format_number", lat, F.lit("0.0000")), F.lit("_"),
+                    F.call_function("format_number", lon, F.lit("0.0000")))
     return F.concat(F.lit("site_"), text, F.lit("_"), F.substring(F.sha2(text, 256), 1, 8))
 
 
