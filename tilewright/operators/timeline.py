@@ -80,7 +80,7 @@ def trajectory(rows: DataFrame, site: list[str], when: str, tie: str, indices: l
     df = in_sequence(rows, site, when, tie, indices, sums=indices)
     return df.select(
         *site, tie, "epoch_index",
-        *[F.when(F.col(f"running_count_{n}") > 0, F.round(F.col(f"running_sum_{n}") / F.col(f"running_count_{n}"), 6)).alias(f"mean_{n}") for n in indices],
+        *[F.when(F.col(f"running_count_{n}") > 0, F.round(F.col(f"running_sum_{n}") / F.col(f"running_count_{n}"), 12)).alias(f"mean_{n}") for n in indices],
         *[F.round(F.col(n) - F.col("first_row")[n], 6).alias(f"change_{n}") for n in indices],
     )
 

@@ -115,10 +115,11 @@ def a15(spark, d):
     return shares.join(raster.code_shares(df, ["scene_id"], c("prov"), {"corrected_pct": 1}).drop("total_pixels"), "scene_id")
 
 
-@query("a16_cloud_radiance", ["clouds"], """SELECT scene_id, coalesce(quantile_cont(red, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 235) AS red_cloud, coalesce(quantile_cont(green, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 235) AS green_cloud,
- coalesce(quantile_cont(blue, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 245) AS blue_cloud FROM clouds GROUP BY scene_id""")
+@query("a16_cloud_radiance", ["clouds"], """SELECT scene_id, round(coalesce(quantile_cont(red, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 235), 6) AS red_cloud, round(coalesce(quantile_cont(green, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 235), 6) AS green_cloud,
+ round(coalesce(quantile_cont(blue, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 245), 6) AS blue_cloud FROM clouds GROUP BY scene_id""")
 def a16(spark, d):
-    return raster.cloud_radiance(table(spark, d, "clouds"), ["scene_id"], (c("prob") >= 0.97) & (c("scene_id") % 2 == 0))
+    df = raster.cloud_radiance(table(spark, d, "clouds"), ["scene_id"], (c("prob") >= 0.97) & (c("scene_id") % 2 == 0))
+    return df.withColumns({f"{b}_cloud": F.round(f"{b}_cloud", 6) for b in ("red", "green", "blue")})
 
 
 @query("a17_preservation", ["clouds"], """WITH x AS (SELECT scene_id, prob < 0.2 AS clear, [abs(red_later - red), abs(green_later - green), abs(blue_later - blue)] AS ds FROM (SELECT * REPLACE (CASE WHEN scene_id % 3 = 0 THEN red ELSE red_later END AS red_later,
@@ -224,7 +225,7 @@ def w06(spark, d):
     return timeline.fill_gaps(stack, profiles, ["site_key"], ["mean_ndvi"])
 
 
-@query("w09_trajectory", ["obs"], """SELECT site_key, obs_id, row_number() OVER w - 1 AS epoch_index, round(avg(mean_ndvi) OVER w, 6) AS mean_mean_ndvi, round(avg(mean_ndbi) OVER w, 6) AS mean_mean_ndbi,
+@query("w09_trajectory", ["obs"], """SELECT site_key, obs_id, row_number() OVER w - 1 AS epoch_index, round(avg(mean_ndvi) OVER w, 12) AS mean_mean_ndvi, round(avg(mean_ndbi) OVER w, 12) AS mean_mean_ndbi,
  round(mean_ndvi - first_value(mean_ndvi) OVER w, 6) AS change_mean_ndvi, round(mean_ndbi - first_value(mean_ndbi) OVER w, 6) AS change_mean_ndbi FROM obs WINDOW w AS (PARTITION BY site_key ORDER BY acquisition_date, obs_id)""")
 def w09(spark, d):
     return timeline.trajectory(table(spark, d, "obs"), ["site_key"], "acquisition_date", "obs_id", ["mean_ndvi", "mean_ndbi"])
