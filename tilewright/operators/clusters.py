@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 from .blocks import block_pairs
 from .components import connected
 from .vectors import euclidean, mean_vectors, unit
@@ -72,10 +73,11 @@ def _neighbour_tasks(points: DataFrame, pivots: list, radius: float, block_rows:
         limit = away.min(1) + 2 * radius + 1e-9
         return pd.Series([[int(h), *np.nonzero(a <= m)[0].tolist()] for h, a, m in zip(home, away, limit)])
 
-    placed = points.select("point", "vector", "weight", "core", cells("vector").alias("_cells"))
-    home = placed.select("point", "vector", "weight", "core", F.element_at("_cells", 1).alias("cell"))
-    visit = placed.select("point", "vector", "weight", "core", F.explode(F.slice("_cells", 2, 1 << 20)).alias("cell"))
-    return block_pairs(home, visit, ["cell"], "point", "point", block_rows)
+    placed = points.select("point", "vector", "weight", cells("vector").alias("_cells"))
+    home = placed.select("point", "vector", F.element_at("_cells", 1).alias("cell"))
+    visit = placed.select(F.col("point").alias("other"), F.col("vector").alias("other_vector"), "weight",
+                          F.explode(F.slice("_cells", 2, 1 << 20)).alias("cell"))
+    return block_pairs(home, visit, ["cell"], "point", "other", block_rows)
 
 
 def density_labels(vectors: DataFrame, radius: float, min_points: int, min_size: int, pivots: int = 32,
@@ -88,14 +90,14 @@ def density_labels(vectors: DataFrame, radius: float, min_points: int, min_size:
     """
     rounded = vectors.select("tile_id", F.transform(unit(F.col("embedding")), lambda x: F.round(x, 9)).alias("vector"))
     keyed = rounded.withColumn("point", F.xxhash64("vector"))
-    points = keyed.groupBy("point").agg(F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("weight")).withColumn("core", F.lit(False)).persist()
+    points = keyed.groupBy("point").agg(F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("weight")).persist()
     centres = [r[0] for r in points.orderBy("point").select("vector").limit(pivots).collect()]
     if not centres:
         return rounded.select("tile_id", F.lit(-1).cast("bigint").alias("label"))
     groups = ["cell", "_lb", "_rb"]
 
     def within(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())
+        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["other_vector"].to_numpy())
         square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
         return square <= radius * radius + 1e-12
 
@@ -107,13 +109,13 @@ def density_labels(vectors: DataFrame, radius: float, min_points: int, min_size:
     home, visit = _neighbour_tasks(points, centres, radius, block_rows)
     counts = home.groupBy(*groups).cogroup(visit.groupBy(*groups)).applyInPandas(count, "point bigint, n bigint")
     cores = counts.groupBy("point").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points)
-    core_points = points.drop("core").join(cores.select("point"), "point", "left_semi").withColumn("core", F.lit(True))
+    core_points = cut_lineage(points.join(cores.select("point"), "point", "left_semi"))
 
     def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"a": [], "b": []})
         near = within(a, b)
-        left, right = a["point"].to_numpy(), b["point"].to_numpy()
+        left, right = a["point"].to_numpy(), b["other"].to_numpy()
         parent: dict[int, int] = {}
 
         def find(p):
