@@ -144,7 +144,7 @@ SEQ_FEATURES = FEATURES.replace("LATEXPR", "(23 + (sh.site_id // 10) * 0.01::DOU
 TEMPORAL = f"""{SEQ_FEATURES}, fp AS (SELECT fe.site_id // 10 AS site, change_type, cc.prow, cc.pcol, min(DATE '2019-06-15' + CAST((fe.site_id % 10 + 1) * 365 AS INT)) AS date_after FROM fe JOIN cc ON cc.site_id = fe.site_id AND cc.lab = fe.lab GROUP BY ALL),
 fk AS MATERIALIZED (SELECT site, change_type, prow, pcol FROM fp), {components_sql('tc', 'fk', 'site, change_type')},
 tr AS (SELECT tc.site, tc.change_type, tc.lab, min(fp.date_after) AS earliest_supported_date FROM tc JOIN fp ON fp.site = tc.site AND fp.change_type = tc.change_type AND ((fp.prow = tc.prow AND fp.pcol = tc.pcol) OR (abs(fp.prow - tc.prow) = 1 AND abs(fp.pcol - tc.pcol) = 1)) GROUP BY ALL),
-rg AS (SELECT site AS site_id, change_type, lab, count(*) AS area_px, round_even(count(*) * 11.132::DOUBLE * (11.132::DOUBLE * cos(radians(23 + site * 0.01::DOUBLE - (min(prow) + max(prow) + 1) / 2 * 0.0001::DOUBLE))), 1)::DOUBLE AS area_m2, earliest_supported_date FROM tc JOIN tr USING (site, change_type, lab) GROUP BY ALL)"""
+rg AS (SELECT site AS site_id, change_type, lab, count(*) AS area_px, round_even(count(*) * 11.132::DOUBLE * (11.132::DOUBLE * cos(radians(23 + site * 0.01::DOUBLE - (min(prow) + max(prow) + 1) / 2 * 0.0001::DOUBLE))), 1)::DOUBLE AS area_m2, earliest_supported_date FROM tc JOIN tr USING (site, change_type, lab) GROUP BY site, change_type, lab, earliest_supported_date)"""
 
 
 def epoch_pairs(spark, d):
