@@ -88,6 +88,10 @@ def season_windows(areas: DataFrame, years: str, season: str) -> DataFrame:
     return areas.withColumn("year", F.explode(years)).withColumn("date_range", F.concat(day(1), F.lit("/"), day(2)))
 
 
+def _field(name: str):
+    return lambda cell: cell[name]
+
+
 def sample_grid(pixels: DataFrame, pair: list[str], columns: list[str], step: int) -> DataFrame:
     """Every ``step``-th row and column; one output row per grid row with its cells in order.
 
@@ -96,7 +100,7 @@ def sample_grid(pixels: DataFrame, pair: list[str], columns: list[str], step: in
     kept = pixels.where((F.pmod("prow", F.lit(step)) == 0) & (F.pmod("pcol", F.lit(step)) == 0))
     return kept.groupBy(*pair, (F.col("prow") / step).cast("bigint").alias("grid_row")).agg(
         F.sort_array(F.collect_list(F.struct("pcol", *columns))).alias("_l")).select(
-        *pair, "grid_row", *[F.transform("_l", lambda x, n=c: x[n]).alias(c) for c in columns])
+        *pair, "grid_row", *[F.transform("_l", _field(c)).alias(c) for c in columns])
 
 
 def sampled_water(classified: DataFrame, pair: list[str], step: int, cell_px: int) -> DataFrame:
@@ -263,11 +267,12 @@ def gaussian_fill(pixels: DataFrame, scene: list[str], values: list[str], thick:
         side = present.shape[0]
         height, width = int(arrays["_h"].max()), int(arrays["_w"].max())
         rows, cols = mirrored(origin[0], side, height), mirrored(origin[1], side, width)
+        held = present[np.ix_(rows, cols)]
         result = {}
         for name in values:
             full = arrays[name].astype(float)[np.ix_(rows, cols)]
             for axis in (0, 1):
-                full = np.apply_along_axis(lambda line: np.convolve(line, weights, mode="same"), axis, full)
+                full = np.apply_along_axis(lambda line: np.convolve(line, weights, mode="same"), axis, full) * held
             result[name] = np.where(arrays[thick], full, arrays[name])
         return result
 

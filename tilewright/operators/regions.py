@@ -85,13 +85,14 @@ def interior_pixel(labelled: DataFrame, key: list[str]) -> DataFrame:
     return best.select(*key, "component", "prow", (F.col("_b._start") + F.floor((F.col("_b._len") - 1) / 2)).alias("pcol"))
 
 
-def region_features(classified: DataFrame, key: list[str], height: Column, width: Column, top_lat: Column,
+def region_features(classified: DataFrame, key: list[str], height: Column | int, width: Column | int, top_lat: Column,
                     pixel_deg: float = 0.0001, min_px: int = K.MIN_COMPONENT_PX) -> tuple[DataFrame, DataFrame]:
     """Outlined change regions and their pixels.
 
     Each region has pixel count, ground area, box, elongation, and the type, classes and
     indices at its interior pixel; thin construction becomes a road.
     """
+    height, width = F.lit(height), F.lit(width)
     sample = ["change_type", "class_b", "class_a", *[f"{n}_{s}" for s in "ba" for n in ("ndvi", "ndbi", "ndwi")]]
     changed = cut_lineage(classified.where("verified").select(*key, "prow", "pcol", *sample))
     labelled = cut_lineage(label_components(changed, key))
@@ -166,8 +167,9 @@ def outlines(labelled: DataFrame, key: list[str], block: int = BLOCK) -> DataFra
     return _blocked(labelled.select(*key, "prow", "pcol", "component"), block).groupBy(*key, "_br", "_bc").applyInPandas(trace, fields)
 
 
-def water_envelope(classified: DataFrame, pair: list[str], height: Column, width: Column) -> DataFrame:
+def water_envelope(classified: DataFrame, pair: list[str], height: Column | int, width: Column | int) -> DataFrame:
     """Box around all new (or all dried) water of a pair whose water change is proven."""
+    height, width = F.lit(height), F.lit(width)
     new, dry = ~wet("b") & wet("a"), wet("b") & ~wet("a")
     aggs = [F.count_if(wet("a")).alias("_a"), F.count_if(wet("b")).alias("_b")]
     for name, hit in (("new", new), ("dry", dry)):

@@ -11,7 +11,7 @@ from .registry import ORACLES, query, recursive
 from .sqltext import CHANGE
 
 c = F.col
-SIZE = F.lit(32)
+SIZE = 32
 
 
 def components_sql(name: str, source: str, keys: str) -> str:
@@ -19,7 +19,7 @@ def components_sql(name: str, source: str, keys: str) -> str:
     ks = keys.split(", ")
     eq = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ks)
     pick = lambda a: ", ".join(f"{a}.{k}" for k in ks)
-    return f"""{name}_e AS (SELECT {pick('a')}, a.prow AS r1, a.pcol AS c1, b.prow AS r2, b.pcol AS c2 FROM {source} a, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) o(dr, dc), {source} b WHERE {eq('a', 'b')} AND b.prow = a.prow + dr AND b.pcol = a.pcol + dc),
+    return f"""{name}_e AS MATERIALIZED (SELECT {pick('a')}, a.prow AS r1, a.pcol AS c1, b.prow AS r2, b.pcol AS c2 FROM {source} a, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) o(dr, dc), {source} b WHERE {eq('a', 'b')} AND b.prow = a.prow + dr AND b.pcol = a.pcol + dc),
 {name} ({keys}, prow, pcol, lab) USING KEY ({keys}, prow, pcol) AS (SELECT {keys}, prow, pcol, prow * 100000 + pcol FROM {source}
  UNION (SELECT {pick('n')}, n.prow, n.pcol, min(cur.lab) FROM {name} cur JOIN {name}_e e ON {eq('cur', 'e')} AND cur.prow = e.r1 AND cur.pcol = e.c1 JOIN recurring.{name} n ON {eq('n', 'e')} AND n.prow = e.r2 AND n.pcol = e.c2 WHERE cur.lab < n.lab GROUP BY ALL))"""
 
@@ -30,7 +30,7 @@ SHAPES = """sh AS (SELECT *, sqrt((a + b + s) / (a + b - s)) AS elongation FROM
 FEATURES = f"""vp AS MATERIALIZED (SELECT * FROM ver WHERE verified), vk AS MATERIALIZED (SELECT site_id, prow, pcol FROM vp), {components_sql('cc', 'vk', 'site_id')}, {SHAPES},
 mr AS (SELECT cc.site_id, cc.lab, cc.prow, cc.pcol, cc.pcol - row_number() OVER (PARTITION BY cc.site_id, cc.lab ORDER BY cc.pcol) AS run FROM cc JOIN sh ON sh.site_id = cc.site_id AND sh.lab = cc.lab AND cc.prow = (r0 + r1) // 2),
 ru AS (SELECT site_id, lab, prow, run, min(pcol) AS st, count(*) AS ln FROM mr GROUP BY ALL), ip AS (SELECT site_id, lab, prow, st + (ln - 1) // 2 AS pcol FROM (SELECT *, row_number() OVER (PARTITION BY site_id, lab ORDER BY ln DESC, st) AS k FROM ru) WHERE k = 1),
-fe AS (SELECT sh.site_id, sh.lab, sh.site_id || '|' || (sh.lab // 100000) || '|' || (sh.lab % 100000) AS component, area_px, r0, c0, elongation, class_b, class_a, CASE WHEN change_type = 'Construction' AND elongation >= 4 THEN 'Road Development' ELSE change_type END AS change_type,
+fe AS MATERIALIZED (SELECT sh.site_id, sh.lab, sh.site_id || '|' || (sh.lab // 100000) || '|' || (sh.lab % 100000) AS component, area_px, r0, c0, elongation, class_b, class_a, CASE WHEN change_type = 'Construction' AND elongation >= 4 THEN 'Road Development' ELSE change_type END AS change_type,
  round_even(area_px * 11.132::DOUBLE * (11.132::DOUBLE * cos(radians(LATEXPR - (r0 + r1 + 1) / 2 * 0.0001::DOUBLE))), 1)::DOUBLE AS area_m2,
  round_even(c0 / 32 * 100, 2)::DOUBLE AS x, round_even(r0 / 32 * 100, 2)::DOUBLE AS y, round_even(greatest(4, least(c1 + 1, 31) - c0) / 32 * 100, 2)::DOUBLE AS w, round_even(greatest(4, least(r1 + 1, 31) - r0) / 32 * 100, 2)::DOUBLE AS h,
  round_even(ndvi_b, 3)::DOUBLE AS ndvi_b, round_even(ndbi_a, 3)::DOUBLE AS ndbi_a FROM sh JOIN ip USING (site_id, lab) JOIN vp ON vp.site_id = sh.site_id AND vp.prow = ip.prow AND vp.pcol = ip.pcol)"""
@@ -138,10 +138,10 @@ def t07(spark, d):
 
 # ---- sequences of several dates -------------------------------------------------------
 BANDS = ["blue", "green", "red", "nir", "swir"]
-EPOCH_PAIRS = f"""pixels AS (SELECT a.site_id * 10 + a.epoch AS site_id, a.prow, a.pcol, a.bad AS bad_b, b.bad AS bad_a, {', '.join(f'a.{n} AS {n}_b, b.{n} AS {n}_a' for n in BANDS)}
+EPOCH_PAIRS = f"""pixels AS MATERIALIZED (SELECT a.site_id * 10 + a.epoch AS site_id, a.prow, a.pcol, a.bad AS bad_b, b.bad AS bad_a, {', '.join(f'a.{n} AS {n}_b, b.{n} AS {n}_a' for n in BANDS)}
  FROM epochs a JOIN epochs b ON a.site_id = b.site_id AND a.prow = b.prow AND a.pcol = b.pcol AND b.epoch = a.epoch + 1)"""
 SEQ_FEATURES = FEATURES.replace("LATEXPR", "(23 + (sh.site_id // 10) * 0.01::DOUBLE)")
-TEMPORAL = f"""{SEQ_FEATURES}, fp AS (SELECT fe.site_id // 10 AS site, change_type, cc.prow, cc.pcol, min(DATE '2019-06-15' + CAST((fe.site_id % 10 + 1) * 365 AS INT)) AS date_after FROM fe JOIN cc ON cc.site_id = fe.site_id AND cc.lab = fe.lab GROUP BY ALL),
+TEMPORAL = f"""{SEQ_FEATURES}, fp AS MATERIALIZED (SELECT fe.site_id // 10 AS site, change_type, cc.prow, cc.pcol, min(DATE '2019-06-15' + CAST((fe.site_id % 10 + 1) * 365 AS INT)) AS date_after FROM fe JOIN cc ON cc.site_id = fe.site_id AND cc.lab = fe.lab GROUP BY ALL),
 fk AS MATERIALIZED (SELECT site, change_type, prow, pcol FROM fp), {components_sql('tc', 'fk', 'site, change_type')},
 tr AS (SELECT tc.site, tc.change_type, tc.lab, min(fp.date_after) AS earliest_supported_date FROM tc JOIN fp ON fp.site = tc.site AND fp.change_type = tc.change_type AND ((fp.prow = tc.prow AND fp.pcol = tc.pcol) OR (abs(fp.prow - tc.prow) = 1 AND abs(fp.pcol - tc.pcol) = 1)) GROUP BY ALL),
 rg AS (SELECT site AS site_id, change_type, lab, count(*) AS area_px, round_even(count(*) * 11.132::DOUBLE * (11.132::DOUBLE * cos(radians(23 + site * 0.01::DOUBLE - (min(prow) + max(prow) + 1) / 2 * 0.0001::DOUBLE))), 1)::DOUBLE AS area_m2, earliest_supported_date FROM tc JOIN tr USING (site, change_type, lab) GROUP BY site, change_type, lab, earliest_supported_date)"""

@@ -65,5 +65,5 @@ CLS = f"cls AS (SELECT *, {land_cover('_b')} AS class_b, {land_cover('_a')} AS c
 CHG = f"""chg AS (SELECT *, usable AND (abs(ndvi_a - ndvi_b) > 0.15 OR abs(ndbi_a - ndbi_b) > 0.12 OR abs(ndwi_a - ndwi_b) > 0.15) AS candidate
  FROM (SELECT *, NOT (bad_b OR bad_a) AS usable, {real('class_b', 'class_a')} AS is_real,
               {pixel_type('class_b', 'class_a')} AS change_type FROM cls) t0)"""
-VER = f"ver AS (SELECT *, candidate AND is_real AND change_type IN {MAJOR} AS verified FROM chg)"
+VER = f"ver AS MATERIALIZED (SELECT *, candidate AND is_real AND change_type IN {MAJOR} AS verified FROM chg)"
 CHANGE = f"{IDX}, {CLS}, {CHG}, {VER}"
