@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["change_plans", "filter_plans", "scalar_plans", "raster_plans", "search_plans", "region_plans", "grid_plans", "source_plans", "validate_plans"]
+MODULES = ["change_plans", "filter_plans", "scalar_plans", "raster_plans", "search_plans", "region_plans", "grid_plans", "source_plans", "validate_plans", "stream_plans"]
 
 
 def load():
