@@ -33,6 +33,16 @@ LAND_COVER_BOXES = [
     (CONFUSION, [("ndvi", ">=", -0.10), ("ndvi", "<=", 0.20), ("ndwi", ">=", -0.50), ("ndwi", "<=", 0.10),
                  ("ndbi", ">=", 0.00), ("ndbi", "<", 0.15)]),
 ]
+# rules for values outside all boxes, in order; "lead" is ndvi - ndbi; nothing fits: confusion
+LAND_COVER_FALLBACK = [
+    (WATER, [("ndwi", ">=", 0.20)]),
+    (WATER, [("ndwi", ">", 0.05), ("ndvi", "<", -0.10)]),
+    (WATER, [("ndvi", "<", 0.00), ("ndwi", ">", -0.10), ("ndbi", "<", 0.10)]),
+    (DENSE_VEGETATION, [("ndvi", ">=", 0.50)]),
+    (SPARSE_VEGETATION, [("ndvi", ">=", 0.20), ("lead", ">", 0.00)]),
+    (BUILT_UP, [("ndbi", ">=", 0.15)]),
+    (BARE_SOIL, [("ndbi", "<", 0.00), ("ndvi", "<", 0.20)]),
+]
 # dark water: strong absorption in three bands
 DARK_WATER = [("nir", "<", 0.045), ("red", "<", 0.040), ("swir", "<", 0.045), ("ndvi", "<", 0.15)]
 

@@ -7,7 +7,7 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OPS = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt}
+COMPARE = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt}
 
 
 def clip(value: Column, low: float, high: float) -> Column:
@@ -31,7 +31,7 @@ def any_of(conditions: list[Column]) -> Column:
 
 def within(columns: dict[str, Column], bounds: list[tuple[str, str, float]]) -> Column:
     """Conjunction of (column, comparison, value) bounds."""
-    return all_of([_OPS[op](columns[name], F.lit(value)) for name, op, value in bounds])
+    return all_of([COMPARE[op](columns[name], F.lit(value)) for name, op, value in bounds])
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

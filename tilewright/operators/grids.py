@@ -169,19 +169,21 @@ def _block_kernel(pixels: DataFrame, scene: list[str], inputs: list[str], output
     fields = ", ".join([f"{k} {types[k]}" for k in scene] + ["prow bigint", "pcol bigint", outputs])
     names = [f.split()[0] for f in outputs.split(", ")]
 
-    def run(label, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(label: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         br, bc = int(label[-2]), int(label[-1])
-        r0, c0 = br * block - halo, bc * block - halo
+        # the block and its rim, cropped to the pixels that exist
+        (r0, r1), (c0, c1) = ((max(b * block, int(pdf[x].min())) - halo, min((b + 1) * block - 1, int(pdf[x].max())) + halo)
+                              for b, x in ((br, "prow"), (bc, "pcol")))
+        own = ((pdf["prow"] // block == br) & (pdf["pcol"] // block == bc)).to_numpy()
         rows, cols = pdf["prow"].to_numpy() - r0, pdf["pcol"].to_numpy() - c0
-        side = block + 2 * halo
-        present = np.zeros((side, side), dtype=bool)
+        shape = (r1 - r0 + 1, c1 - c0 + 1)
+        present = np.zeros(shape, dtype=bool)
         present[rows, cols] = True
         arrays = {}
         for name in inputs:
-            dense = np.zeros((side, side), dtype=pdf[name].dtype)
+            dense = np.zeros(shape, dtype=pdf[name].dtype)
             dense[rows, cols] = pdf[name].to_numpy()
             arrays[name] = dense
-        own = (rows >= halo) & (rows < halo + block) & (cols >= halo) & (cols < halo + block)
         if not own.any():
             return pd.DataFrame({**{k: [] for k in scene}, "prow": [], "pcol": [], **{n: [] for n in names}})
         result = kernel(arrays, present, (r0, c0))
@@ -264,9 +266,8 @@ def gaussian_fill(pixels: DataFrame, scene: list[str], values: list[str], thick:
         return np.clip(np.where(at >= size, 2 * size - 1 - at, at) - start, 0, side - 1)
 
     def kernel(arrays, present, origin):
-        side = present.shape[0]
         height, width = int(arrays["_h"].max()), int(arrays["_w"].max())
-        rows, cols = mirrored(origin[0], side, height), mirrored(origin[1], side, width)
+        rows, cols = mirrored(origin[0], present.shape[0], height), mirrored(origin[1], present.shape[1], width)
         held = present[np.ix_(rows, cols)]
         result = {}
         for name in values:

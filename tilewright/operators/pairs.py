@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -61,36 +61,30 @@ def classify(pixels: DataFrame, model: str | None = None) -> DataFrame:
     One narrow chain of projections: no shuffle, all inside code generation.
     """
     df = spectral.with_indices(spectral.with_indices(pixels, "b"), "a")
-    df = spectral.with_land_cover(spectral.with_land_cover(df, "b"), "a")
+    df = spectral.with_land_cover(spectral.with_land_cover(df, "b"), "a").drop("class_b", "class_a")
     delta = lambda name: F.col(f"{name}_a") - F.col(f"{name}_b")
-    df = df.withColumns({
-        "usable": usable(),
-        "candidate": change.candidate(delta("ndvi"), delta("ndbi"), delta("ndwi"), usable(),
-                                      F.col(model) if model else None),
-        "real": change.by_code(change.is_real_change, F.col("code_b"), F.col("code_a")),
-        "change_type": change.by_code(change.change_type_of, F.col("code_b"), F.col("code_a")),
+    found = change.candidate(delta("ndvi"), delta("ndbi"), delta("ndwi"), usable(), F.col(model) if model else None)
+    df = settle(df.withColumn("candidate", found), ["code_b", "code_a", "candidate"])
+    codes = F.col("code_b"), F.col("code_a")
+    major = change.by_code(lambda b, a: change.is_real_change(b, a) and change.change_type_of(b, a) in K.MAJOR_TYPES, *codes)
+    return df.withColumns({
+        "class_b": spectral.class_name(codes[0]), "class_a": spectral.class_name(codes[1]),
+        "real": change.by_code(change.is_real_change, *codes), "change_type": change.by_code(change.change_type_of, *codes),
+        "verified": F.col("candidate") & major,
     })
-    major = change.by_code(lambda b, a: change.is_real_change(b, a) and change.change_type_of(b, a) in K.MAJOR_TYPES,
-                           F.col("code_b"), F.col("code_a"))
-    return settle(df.withColumn("verified", F.col("candidate") & major),
-                  ["code_b", "class_b", "code_a", "class_a", "candidate", "real", "change_type", "verified"])
 
 
 def change_by_site(classified: DataFrame, site: list[str]) -> DataFrame:
     """Pixels and share of each major change type per site.
 
-    The site total travels as one row per type through the same partial aggregation,
-    so there is one shuffle of pre-aggregated rows.
+    One shuffle of pre-aggregated rows; the site total is a window over the few rows per
+    site that are left after it.
     """
     per_type = classified.groupBy(*site, F.when(F.col("verified"), F.col("change_type")).alias("change_type")).agg(
         F.count(F.lit(1)).alias("pixels")
     )
-    totals = per_type.groupBy(*site).agg(F.sum("pixels").alias("total_pixels"))
-    return (
-        per_type.where(F.col("change_type").isNotNull())
-        .join(totals, site)
-        .withColumn("percent", F.bround(F.col("pixels") / F.col("total_pixels") * 100.0, 2))
-    )
+    df = per_type.withColumn("total_pixels", F.sum("pixels").over(Window.partitionBy(*site)))
+    return df.where(F.col("change_type").isNotNull()).withColumn("percent", F.bround(F.col("pixels") / F.col("total_pixels") * 100.0, 2))
 
 
 def filter_statistics(classified: DataFrame, pair: list[str]) -> DataFrame:

@@ -145,7 +145,7 @@ def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str
     left, right = block_pairs(asked, stored, key, "query_id", "tile_id", block_rows)
     groups = [*key, "_lb", "_rb"]
 
-    def score(label, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    def score(label: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], **{c: [] for c in keep}, "tile_id": [], "score": []})
         scores = np.round(_matrix(q["query_vector"]) @ _matrix(v["embedding"]).T, SCORE_DIGITS)

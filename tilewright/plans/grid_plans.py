@@ -92,7 +92,7 @@ o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest(range(-25, 26, 4)) AS i) a
 SELECT k.scene_id, k.prow, k.pcol, dark AND NOT cloud AND n.scene_id IS NOT NULL AS shadow FROM k LEFT JOIN n ON n.scene_id = k.scene_id AND n.prow = k.prow AND n.pcol = k.pcol""")
 def n01(spark, d):
     df = grids.dark_pixels(table(spark, d, "canvas").withColumn("cloud", c("noise") % 17 == 0), ["scene_id"])
-    return grids.shadow_mask(df.select(*SCENE, "cloud", "dark"), ["scene_id"], "cloud", "dark", block=16)
+    return grids.shadow_mask(df.select(*SCENE, "cloud", "dark"), ["scene_id"], "cloud", "dark")
 
 
 MORPH = """sd AS (SELECT scene_id, prow, pcol, prob, prob >= 0.7 OR cloud AS seed FROM clouds), o AS (SELECT a.i AS dr, b.i AS dc FROM (SELECT unnest(range(-2, 3)) AS i) a, (SELECT unnest(range(-2, 3)) AS i) b),
@@ -102,12 +102,12 @@ nb AS (SELECT s.scene_id, s.prow, s.pcol, count(*) FILTER (WHERE t.seed AND abs(
 @query("n02_morphology", ["clouds"], f"WITH {MORPH} SELECT * FROM nb")
 def n02(spark, d):
     df = table(spark, d, "clouds").select(*SCENE, ((c("prob") >= K.THICK_PROB) | c("cloud")).alias("seed"))
-    return grids.morphology(df, ["scene_id"], "seed", block=16)
+    return grids.morphology(df, ["scene_id"], "seed")
 
 
 @query("n03_trimap", ["clouds"], f"WITH {MORPH} SELECT scene_id, prow, pcol, CASE WHEN core THEN 255 WHEN zone AND prob >= 0.2 THEN 128 ELSE 0 END AS trimap FROM nb JOIN sd USING (scene_id, prow, pcol)")
 def n03(spark, d):
-    return grids.trimap(table(spark, d, "clouds"), ["scene_id"], "prob", "cloud", block=16)
+    return grids.trimap(table(spark, d, "clouds"), ["scene_id"], "prob", "cloud")
 
 
 @query("n08_gaussian_fill", ["clouds"], """WITH k AS (SELECT i, exp(-0.5 * (i / 3.0::DOUBLE) * (i / 3.0::DOUBLE)) AS g FROM (SELECT unnest(range(-12, 13)) AS i)), wk AS (SELECT i, g / (SELECT sum(g) FROM k) AS w FROM k), s AS (SELECT scene_id, max(prow) + 1 AS hh FROM clouds GROUP BY scene_id),
@@ -116,7 +116,7 @@ h AS (SELECT a.scene_id, a.prow, a.pcol, sum(b.red * w) AS red FROM v a, wk, v b
 SELECT c.scene_id, c.prow, c.pcol, round(CASE WHEN prob >= 0.7 THEN h.red ELSE c.red END, 6) AS red FROM clouds c JOIN h USING (scene_id, prow, pcol)""")
 def n08(spark, d):
     df = table(spark, d, "clouds").select(*SCENE, "red", (c("prob") >= K.THICK_PROB).alias("thick"))
-    return grids.gaussian_fill(df, ["scene_id"], ["red"], "thick", block=16).withColumn("red", F.round("red", 6))
+    return grids.gaussian_fill(df, ["scene_id"], ["red"], "thick").withColumn("red", F.round("red", 6))
 
 
 @query("j12_temporal_fill", ["clouds"], """SELECT scene_id, prow, pcol, CASE WHEN prob >= 0.7 AND noise % 4 <> 0 THEN red_later ELSE red END AS red, CASE WHEN prob >= 0.7 THEN CASE WHEN noise % 4 <> 0 THEN 2 ELSE 3 END WHEN prob >= 0.2 OR cloud THEN 1 ELSE 0 END AS provenance FROM clouds""")
@@ -133,7 +133,7 @@ p AS (SELECT c.scene_id, c.prow, c.pcol, c.red, c.prob, CASE WHEN c.prob >= 0.70
 SELECT scene_id, prow, pcol, CASE WHEN region IN (1, 2) THEN 1 WHEN region = 3 THEN 3 ELSE 0 END AS provenance, round(CASE WHEN region IN (1, 2) THEN greatest(0, least(255, (red - alpha * cl) / greatest(0.10, least(1, 1 - alpha + 0.05)))) ELSE red END, 6) AS red FROM p""")
 def cloud_removal(spark, d):
     from ..operators.removal import remove_clouds
-    out = remove_clouds(table(spark, d, "clouds"), ["scene_id"], block=16)
+    out = remove_clouds(table(spark, d, "clouds"), ["scene_id"])
     return out.select(*SCENE, "provenance", F.round("red", 6).alias("red"))
 
 
