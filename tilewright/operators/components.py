@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Smallest node id reachable from every node, as columns id and component.
+def component_names(edges: DataFrame, max_rounds: int = 100) -> DataFrame | None:
+    """New name (the smallest id of its component) of every node that needs one, as columns
+    old and new; None when the edges join nothing.
 
     Each round rewrites the edges in terms of current labels: a label takes the smallest
     neighbouring label, then labels jump to their label's label, so long chains shrink
@@ -39,8 +40,14 @@ def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Data
         links = _relabel(_relabel(links, step, "_a", "a"), step, "_b", "b")
         links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
         links = cut_lineage(links)
+    return total
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest node id reachable from every node, as columns id and component."""
     result = nodes.select("id", F.col("id").alias("component"))
-    return result if total is None else _relabel(result, total, "_c", "component")
+    names = component_names(edges)
+    return result if names is None else _relabel(result, names, "_c", "component")
 
 
 def _relabel(df: DataFrame, step: DataFrame, prefix: str, column: str) -> DataFrame:

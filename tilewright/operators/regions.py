@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import change
 from ..session import cut_lineage
-from .components import connected
+from .components import component_names
 from .pairs import wet
 
 BLOCK = 512
@@ -69,9 +69,11 @@ def label_components(pixels: DataFrame, key: list[str], block: int = BLOCK) -> D
         high = labelled.where(F.pmod(F.col(axis), F.lit(block)) == 0).select(*key, "prow", "pcol", F.col("part").alias("b"))
         edges = low.join(high, [*key, "prow", "pcol"]).select("a", "b")
         border = edges if border is None else border.unionByName(edges)
-    parts = border.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    joined = connected(parts, border).select(F.col("id").alias("part"), "component")
-    return labelled.join(joined, "part", "left").select(*key, "prow", "pcol", F.coalesce("component", "part").alias("component"))
+    names = component_names(border)
+    if names is None:
+        return labelled.withColumnRenamed("part", "component")
+    renamed = names.select(F.col("old").alias("part"), "new")
+    return labelled.join(renamed, "part", "left").select(*key, "prow", "pcol", F.coalesce("new", "part").alias("component"))
 
 
 def interior_pixel(labelled: DataFrame, key: list[str]) -> DataFrame:
@@ -95,7 +97,7 @@ def region_features(classified: DataFrame, key: list[str], height: Column | int,
     height, width = F.lit(height), F.lit(width)
     sample = ["change_type", "class_b", "class_a", *[f"{n}_{s}" for s in "ba" for n in ("ndvi", "ndbi", "ndwi")]]
     changed = cut_lineage(classified.where("verified").select(*key, "prow", "pcol", *sample))
-    labelled = cut_lineage(label_components(changed, key))
+    labelled = label_components(changed, key)
     r, c = F.col("prow").cast("double"), F.col("pcol").cast("double")
     shape = labelled.groupBy(*key, "component").agg(
         F.count(F.lit(1)).alias("area_px"), F.min("prow").alias("r0"), F.max("prow").alias("r1"), F.min("pcol").alias("c0"), F.max("pcol").alias("c1"),
@@ -216,36 +218,41 @@ def distinct_boxes(boxes: DataFrame, pair: list[str], window: int = 64) -> DataF
     """Greedy suppression in order of area: a box overlapping a kept one by more than 0.35
     is dropped, at most 8 stay per pair.
 
-    A pass folds over the next ``window`` boxes of each pair that no kept box suppresses.
-    Pairs with fewer candidates end in the first pass; every later pass keeps at least
-    one more box, so there are at most 8.
+    A pass folds over the next ``window`` boxes of each pair that no kept box suppresses,
+    so a list is never longer than ``window``. Where every pair has fewer candidates, one
+    pass is the whole job. Otherwise every further pass keeps at least one more box in
+    each open pair, so there are at most 8.
     """
     box = F.struct((-F.col("area_m2")).alias("o"), F.col("component"), "x", "y", "w", "h")
     rest = boxes.select(*pair, box.alias("_box"))
+    overlap = lambda kept, b: F.exists(kept, lambda a: change.box_iou(a, b) > K.NMS_IOU)
+
+    def fold(start: Column) -> Column:
+        return F.aggregate("_l", start, lambda acc, b: F.when((F.size(acc) >= K.MAX_BOXES) | overlap(acc, b), acc).otherwise(
+            F.concat(acc, F.array(b))))
+
+    def chosen(kept: DataFrame) -> DataFrame:
+        return boxes.join(kept.select(*pair, F.inline("_k")).select(*pair, "component"), [*pair, "component"], "left_semi")
+
+    crowded = boxes.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window)
+    if crowded.isEmpty():
+        listed = rest.groupBy(*pair).agg(F.sort_array(F.collect_list("_box")).alias("_l"))
+        return chosen(listed.select(*pair, fold(F.slice("_l", 1, 0)).alias("_k")))
+
+    place = Window.partitionBy(*pair).orderBy("_box")
     kept = None
-    while True:
-        place = Window.partitionBy(*pair).orderBy("_box")
+    while kept is None or not rest.isEmpty():
         first = rest.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= window)
         listed = first.groupBy(*pair).agg(F.sort_array(F.collect_list("_box")).alias("_l"), F.max("_box").alias("_last"))
-        if kept is not None:
-            listed = listed.join(kept.select(*pair, F.col("_k").alias("_before")), pair, "left")
-            start = F.coalesce("_before", F.slice("_l", 1, 0))
+        if kept is None:
+            done = listed.select(*pair, fold(F.slice("_l", 1, 0)).alias("_k"), "_last")
         else:
-            start = F.slice("_l", 1, 0)
-        fold = F.aggregate("_l", start, lambda acc, b: F.when(
-            (F.size(acc) >= K.MAX_BOXES) | F.exists(acc, lambda a: change.box_iou(a, b) > K.NMS_IOU), acc).otherwise(F.concat(acc, F.array(b))))
-        done = listed.select(*pair, fold.alias("_k"), "_last")
-        if kept is not None:
-            done = done.unionByName(kept.join(done.select(*pair), pair, "left_anti").withColumn("_last", F.lit(None)), allowMissingColumns=True)
+            both = kept.select(*pair, F.col("_k").alias("_before")).join(listed, pair, "left")
+            done = both.select(*pair, F.when(F.col("_l").isNull(), F.col("_before")).otherwise(fold(F.col("_before"))).alias("_k"), "_last")
         kept = cut_lineage(done)
-        rest = rest.join(kept.where((F.size("_k") < K.MAX_BOXES) & F.col("_last").isNotNull()), pair).where(
-            (F.col("_box") > F.col("_last")) & ~F.exists("_k", lambda a: change.box_iou(a, F.col("_box")) > K.NMS_IOU)).select(*pair, "_box")
-        rest = cut_lineage(rest)
-        kept = kept.drop("_last")
-        if rest.isEmpty():
-            break
-    chosen = kept.select(*pair, F.inline("_k")).select(*pair, "component")
-    return boxes.join(chosen, [*pair, "component"], "left_semi")
+        open_pairs = kept.where((F.size("_k") < K.MAX_BOXES) & F.col("_last").isNotNull())
+        rest = cut_lineage(rest.join(open_pairs, pair).where((F.col("_box") > F.col("_last")) & ~overlap(F.col("_k"), F.col("_box"))).select(*pair, "_box"))
+    return chosen(kept)
 
 
 def consolidated_boxes(kept: DataFrame, envelope: DataFrame, pair: list[str]) -> DataFrame:
@@ -288,7 +295,7 @@ def temporal_regions(feature_pixels: DataFrame, site: list[str], pixel_deg: floa
     """
     key = [*site, "change_type"]
     dated = cut_lineage(feature_pixels.groupBy(*key, "prow", "pcol").agg(F.min("date_after").alias("date_after")))
-    labelled = cut_lineage(label_components(dated, key))
+    labelled = label_components(dated, key)
     corners = F.array(*[F.struct(F.lit(a).cast("bigint").alias("dr"), F.lit(b).cast("bigint").alias("dc")) for a in (-1, 1) for b in (-1, 1)])
     touching = dated.select(*key, "prow", "pcol", "date_after", F.inline(corners)).select(
         *key, (F.col("prow") + F.col("dr")).alias("prow"), (F.col("pcol") + F.col("dc")).alias("pcol"), "date_after")
