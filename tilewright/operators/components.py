@@ -12,10 +12,10 @@ def component_names(edges: DataFrame, max_rounds: int = 100) -> DataFrame | None
     """New name (the smallest id of its component) of every node that needs one, as columns
     old and new; None when the edges join nothing.
 
-    Each round rewrites the edges in terms of current labels: a label takes the smallest
-    neighbouring label, then labels jump to their label's label, so long chains shrink
-    geometrically. Only edges between different labels survive, and equal ones collapse
-    in a partial aggregation before the shuffle. State is checkpointed every round.
+    Each round points every label at its smallest neighbour and follows the pointers to
+    their ends by doubling (the path length needs only its logarithm of steps). The edges
+    are then rewritten between those ends; edges inside one label vanish, equal ones
+    collapse before the shuffle. State is checkpointed at every step.
     """
     links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     links = cut_lineage(links)
@@ -27,10 +27,7 @@ def component_names(edges: DataFrame, max_rounds: int = 100) -> DataFrame | None
             raise RuntimeError("component labels did not settle")
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new"))
-        for _ in range(2):  # jump twice: the new label's own new label
-            hop = least.select(F.col("old").alias("_o"), F.col("new").alias("_n"))
-            least = least.join(hop, least["new"] == hop["_o"], "left").select("old", F.coalesce("_n", "new").alias("new"))
-        step = cut_lineage(least.where(F.col("old") != F.col("new")))
+        step = _to_roots(cut_lineage(least)).where(F.col("old") != F.col("new"))
         if total is None:
             total = step
         else:  # later renames applied to the earlier ones, plus labels renamed for the first time
@@ -43,6 +40,16 @@ def component_names(edges: DataFrame, max_rounds: int = 100) -> DataFrame | None
     return total
 
 
+def _to_roots(step: DataFrame) -> DataFrame:
+    """Pointers (old, new) followed to their ends."""
+    while True:
+        hop = step.select(F.col("old").alias("new"), F.col("new").alias("_next"))
+        jumped = cut_lineage(step.join(hop, "new", "left").select("old", "new", F.coalesce("_next", "new").alias("_next")))
+        step = jumped.select("old", F.col("_next").alias("new"))
+        if jumped.where(F.col("new") != F.col("_next")).isEmpty():
+            return step
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id reachable from every node, as columns id and component."""
     result = nodes.select("id", F.col("id").alias("component"))
