@@ -171,10 +171,12 @@ def _block_kernel(pixels: DataFrame, scene: list[str], inputs: list[str], output
 
     def run(label: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         br, bc = int(label[-2]), int(label[-1])
+        own = ((pdf["prow"] // block == br) & (pdf["pcol"] // block == bc)).to_numpy()
+        if not own.any():  # only rim pixels fell into this block
+            return pdf.iloc[:0][[*scene, "prow", "pcol"]].assign(**{n: pd.Series(dtype="object") for n in names})
         # the block and its rim, cropped to the pixels that exist
         (r0, r1), (c0, c1) = ((max(b * block, int(pdf[x].min())) - halo, min((b + 1) * block - 1, int(pdf[x].max())) + halo)
                               for b, x in ((br, "prow"), (bc, "pcol")))
-        own = ((pdf["prow"] // block == br) & (pdf["pcol"] // block == bc)).to_numpy()
         rows, cols = pdf["prow"].to_numpy() - r0, pdf["pcol"].to_numpy() - c0
         shape = (r1 - r0 + 1, c1 - c0 + 1)
         present = np.zeros(shape, dtype=bool)
@@ -184,8 +186,6 @@ def _block_kernel(pixels: DataFrame, scene: list[str], inputs: list[str], output
             dense = np.zeros(shape, dtype=pdf[name].dtype)
             dense[rows, cols] = pdf[name].to_numpy()
             arrays[name] = dense
-        if not own.any():
-            return pd.DataFrame({**{k: [] for k in scene}, "prow": [], "pcol": [], **{n: [] for n in names}})
         result = kernel(arrays, present, (r0, c0))
         kept = pdf[own]
         return pd.DataFrame({**{k: kept[k] for k in scene}, "prow": kept["prow"], "pcol": kept["pcol"],
