@@ -58,7 +58,7 @@ def by_code(rule, before_code: Column, after_code: Column) -> Column:
     Catalyst pushes a filter on the result below the projections.
     """
     values = [rule(b, a) for b in K.CLASS_CODES for a in K.CLASS_CODES]
-    return F.element_at(F.expr(f"array({', '.join(_literal(v) for v in values)})"),
+    return F.try_element_at(F.expr(f"array({', '.join(_literal(v) for v in values)})"),
                         before_code * len(K.CLASS_CODES) + after_code + 1)
 
 
@@ -66,7 +66,7 @@ def by_name(rule, before: Column, after: Column) -> Column:
     """The same rule for class names, with the older spellings of the names."""
     names = list(dict.fromkeys(K.CLASS_CODES + K.VEGETATION_NAMES + K.SOIL_NAMES + K.BUILT_NAMES + K.UNCLASSIFIED_NAMES))
     entries = ", ".join(f"{_literal(b + '>' + a)}, {_literal(rule(b, a))}" for b in names for a in names)
-    return F.element_at(F.expr(f"map({entries})"), F.concat(before, F.lit(">"), after))
+    return F.try_element_at(F.expr(f"map({entries})"), F.concat(before, F.lit(">"), after))
 
 
 def _literal(value) -> str:

@@ -114,13 +114,13 @@ def land_cover_code(ndvi: Column, ndwi: Column, ndbi: Column, nir: Column | None
     for name, x in (("ndwi", ndwi), ("ndbi", ndbi)):
         cell = cell * (len(limits[name]) + 1) + passed(x, name)
     cell = (cell * 2 + dark) * 2 + (ndvi > ndbi).cast("int") + 1
-    code = F.element_at(F.expr(f"array({', '.join(map(str, cells))})"), cell)
+    code = F.try_element_at(F.expr(f"array({', '.join(map(str, cells))})"), cell)
     unknown = K.CLASS_CODES.index(K.CONFUSION)
     return F.when(F.isnan(ndvi + ndwi + ndbi), unknown).otherwise(F.coalesce(code, F.lit(unknown)))
 
 
 def class_name(code: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in K.CLASS_CODES]), code + 1)
+    return F.try_element_at(F.array(*[F.lit(name) for name in K.CLASS_CODES]), code + 1)
 
 
 def land_cover(*columns: Column) -> Column:
