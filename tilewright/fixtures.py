@@ -11,7 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _case(column: str, values: list[int]) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+    """Look a small code up in a list of values; the list syntax differs between the engines."""
+    return "{pick_open}" + ", ".join(map(str, values)) + "{pick_mid}" + column + " + 1{pick_close}"
+
+
+_SPARK_TEXT = {"{float_array}": "ARRAY<FLOAT>", "{epoch_list}": "explode(array(0L, 1L, 2L, 3L))",
+               "{pick_open}": "element_at(array(", "{pick_mid}": "), CAST(", "{pick_close}": " AS INT))"}
+_DUCKDB_TEXT = {"{float_array}": "FLOAT[]", "{epoch_list}": "unnest([0, 1, 2, 3]::BIGINT[])",
+                "{pick_open}": "list_element([", "{pick_mid}": "], (", "{pick_close}": "))"}
+
+
+def _dialect(name: str, words: dict[str, str]) -> str:
+    text = SQL[name]
+    for word, local in words.items():
+        text = text.replace(word, local)
+    return text
 
 
 # digital numbers per land-cover class, by band
@@ -172,7 +186,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table (or a plain sample table) as a DataFrame."""
     if name in TABLES:
         return source(spark, sf_dir, name)
-    text = SQL[name].replace("{float_array}", "ARRAY<FLOAT>").replace("{epoch_list}", "explode(array(0L, 1L, 2L, 3L))")
+    text = _dialect(name, _SPARK_TEXT)
     frames = {t: source(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **frames)
 
@@ -181,6 +195,6 @@ def cte(*names: str) -> str:
     """``WITH`` prefix that defines the domain tables for the DuckDB check."""
     parts = []
     for name in names:
-        text = SQL[name].replace("{float_array}", "FLOAT[]").replace("{epoch_list}", "unnest([0, 1, 2, 3]::BIGINT[])")
+        text = _dialect(name, _DUCKDB_TEXT)
         parts.append(f"{name} AS ({text.format(**{t: t for t in TABLES})})")
     return "WITH " + ",\n".join(parts)
