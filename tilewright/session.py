@@ -37,8 +37,8 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "8
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, a laptop) a temporary folder is
-    taken and set as the checkpoint folder.
+    A session that names none gets a temporary folder in local mode only, where
+    driver and executors are one process; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -48,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = context.getCheckpointDir()
     return current
