@@ -43,6 +43,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 STEP = U(0x9E3779B97F4A7C15)
+
+
+def step(n: int) -> np.uint64:
+    return U(int(STEP) * n % 2**64)
+
+
 BYTE_VALUE = mix((np.arange(256, dtype=U) + U(1)) * STEP)[LOWER]  # A-Z hash as a-z
 BASE = 0xD6E8FEB86659FD93
 PLACE = mix((np.arange(64, dtype=U) + U(1001)) * STEP) | U(1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontaminate, mixing, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_source_mix(spark, sf_dir):
     """Weights 1, 2, 3 repeating over the sources, at most three times a source."""
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op8_minhash_near_dedup(spark, sf_dir):
+    """Groups of documents whose shingle sets overlap by 75 %."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_benchmark_decontamination(spark, sf_dir):
+    """Documents that hold 75 % of a benchmark item's shingles."""
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# joins every document shingle with the item shingles on the words themselves
+ORACLES["op5_benchmark_decontamination"] = r"""WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+ UNION ALL SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+s AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS sh FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY id),
+c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.sh = i.sh AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * 75""".replace("\\", "\")
