@@ -45,4 +45,4 @@ ORACLES["op5_benchmark_decontamination"] = r"""WITH w AS (SELECT 'd' AS kind, do
 s AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS sh FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
 n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY id),
 c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.sh = i.sh AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
-SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * 75""".replace("\\", "\")
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * 75"""
