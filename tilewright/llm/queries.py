@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup
+from . import decontaminate, licenses, mixing, neardup, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,15 @@ s AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS sh FROM w,
 n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY id),
 c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.sh = i.sh AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * 75"""
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    """Base patterns and inferred formats."""
+    return secrets.digest(secrets.spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    """Exact phrases and fuzzy short notices."""
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
