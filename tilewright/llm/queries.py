@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, neardup, secrets
+from . import decontaminate, langid, licenses, mixing, neardup, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,12 @@ def op6_secret_scan(spark, sf_dir):
 def op9_license_scan(spark, sf_dir):
     """Exact phrases and fuzzy short notices."""
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    """Learned from two thirds of the labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 3)
+    found = langid.predict(docs, langid.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
