@@ -201,6 +201,39 @@ def signed(codes: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(codes).view(np.int64))
 
 
+class HashTable:
+    """Place of 64-bit keys in an array: open addressing, built and searched by whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(10, int(len(keys) * 4).bit_length())
+        self.slots, self.keys, self.probes = np.full(1 << self.bits, -1, np.int32), keys, 1
+        todo, at = np.arange(len(keys)), self._home(keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]  # one of those that meet stays
+            lost = self.slots[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * STEP) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places, -1 where a key is unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = self._home(keys)
+        out = self.slots[at]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        for turn in range(1, self.probes):
+            if not len(wrong):
+                break
+            out[wrong] = self.slots[(at[wrong] + turn) & ((1 << self.bits) - 1)]
+            wrong = wrong[(out[wrong] >= 0) & (self.keys[out[wrong]] != keys[wrong])]
+        out[wrong] = -1
+        return out
+
+
 def chars_before(data: np.ndarray, base: int, places: np.ndarray) -> np.ndarray:
     """Code points between byte ``base`` and each of the bytes ``places``."""
     if not len(places):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, neardup, secrets
+from . import decontaminate, langid, licenses, lm, mixing, neardup, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,10 @@ def op3_language_id(spark, sf_dir):
     out = langid.held_out(F.col("doc_id"), 3)
     found = langid.predict(docs, langid.fit(docs.where(~out)))
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_language_model(spark, sf_dir):
+    """Learned from four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5))
+    return lm.score(docs, docs.where(~F.col("held_out")))
