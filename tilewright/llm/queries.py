@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, neardup, secrets
+from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,10 @@ def op10_language_model(spark, sf_dir):
     """Learned from four fifths of the documents."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5))
     return lm.score(docs, docs.where(~F.col("held_out")))
+
+
+@query
+def op7_quality_classifier(spark, sf_dir):
+    """A document's host is its source, its path there the language."""
+    docs = table(spark, sf_dir, "documents").withColumns({"host": F.col("source"), "path": F.col("lang")})
+    return quality.assess(docs, table(spark, sf_dir, "labels"))
