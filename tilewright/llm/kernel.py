@@ -201,6 +201,14 @@ def signed(codes: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(codes).view(np.int64))
 
 
+BITS = 24  # of bitmaps: 2 MB each, whatever they hold
+
+
+def hit(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = codes & U((1 << BITS) - 1)
+    return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 class HashTable:
     """Place of 64-bit keys in an array: open addressing, built and searched by whole arrays."""
 
@@ -241,3 +249,22 @@ def chars_before(data: np.ndarray, base: int, places: np.ndarray) -> np.ndarray:
     top = int(np.max(places))
     lead = np.concatenate([[0], np.cumsum((data[base:top] & 0xC0) != 0x80)])
     return lead[np.asarray(places) - base]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The groups of batches that are sorted by integer key columns."""
+    key, group = None, []
+    for batch in batches:
+        values = np.stack([batch.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            if low == high:
+                continue
+            own = tuple(values[:, low].tolist())
+            if own != key and group:
+                yield key, pa.Table.from_batches(group)
+                group = []
+            key = own
+            group.append(batch.slice(low, high - low))
+    if group:
+        yield key, pa.Table.from_batches(group)

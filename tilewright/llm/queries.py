@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets
+from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,19 @@ def op7_quality_classifier(spark, sf_dir):
     """A document's host is its source, its path there the language."""
     docs = table(spark, sf_dir, "documents").withColumns({"host": F.col("source"), "path": F.col("lang")})
     return quality.assess(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_vector_near_dedup(spark, sf_dir):
+    """Vectors of equal label with a cosine of 0.98 or more."""
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# every pair of a label in double precision, and labels spread over links until they settle
+ORACLES["op1_vector_near_dedup"] = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+w AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS s FROM v),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.98),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, id = c AS kept FROM m LEFT JOIN n ON a = id"""
