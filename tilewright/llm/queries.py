@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, vectordup
+from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, vectordup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,16 @@ r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r
 m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, id = c AS kept FROM m LEFT JOIN n ON a = id"""
+
+
+@query
+def op2_warc_round_trip(spark, sf_dir):
+    """Every page written to ZIP-packed archives and read back by byte range."""
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc_round_trip"] = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
