@@ -30,13 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import NOT_SPACE, Texts, Words, distinct, shingles, signed
-from .store import materialise
+from .kernel import NOT_SPACE, Texts, Words, distinct, hit, shingles, signed
+from .store import bitmap, materialise
 
 WIDTH = 5
-BITS = 24  # of the bitmaps: 2 MB each, whatever the number of items
-U = np.uint64
-MASK = U((1 << BITS) - 1)
 
 
 def item_shingles(items: DataFrame, percent: int = 75) -> DataFrame:
@@ -67,21 +64,6 @@ def item_shingles(items: DataFrame, percent: int = 75) -> DataFrame:
     return items.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL").dropDuplicates(["item_id"]).mapInArrow(rows, schema)
 
 
-def bitmap(codes: DataFrame) -> np.ndarray:
-    """One bit per value of the low BITS bits of ``hash``: at most 2**(BITS - 15) rows of 4 kB."""
-    place = F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = codes.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in rows:
-        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def hit(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    at = codes & MASK
-    return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
 def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """Rows doc_id, item_id, n_item (size of the item's set), n_shared, containment: every item
     of which a document holds at least ``percent``."""

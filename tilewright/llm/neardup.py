@@ -14,9 +14,10 @@ without words has the empty set and is linked with nothing.
    rows, a pair of similarity 0.75 is missed with probability 0.684**32 = 5e-6.
 4. *Verification* compares full sets. First each document is checked against the bucket leader
    (smallest id) it shares most bands with. Then only buckets that still hold several components
-   are looked into again: their members are compared by signature in blocks, across
-   components only, and what isn't clearly apart (at least half of the slots equal) is verified too. So no
-   pair of a bucket goes unexamined, and no group is expanded into all its pairs.
+   are looked into again. Documents of which more than a quarter occurs nowhere else among
+   them can't have a link and go; the others' sets are compared in pairs of blocks, and a
+   block returns no more links than join its components. So no pair of a bucket goes
+   unexamined, and no group is expanded into its pairs.
 5. *Grouping*: ``groups.components``.
 
 Null ids are linked with nothing and kept. Rows that share an id are one node. Repeated rows,
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import components
-from .kernel import NOT_SPACE, PLACE, STEP, Texts, Words, distinct, mix, shingles, signed, step
-from .store import materialise
+from .kernel import NOT_SPACE, PLACE, STEP, Texts, Words, distinct, hit, mix, shingles, signed, step
+from .store import bitmap, materialise
 
 U = np.uint64
 SLOTS, BANDS, BLOCK = 128, 32, 256
@@ -91,31 +93,52 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = super_min_hash(rows, codes, n)
             split = table.reshape(n, BANDS, SLOTS // BANDS)
             bands = mix((split * PLACE[: SLOTS // BANDS]).sum(2, dtype=U) + np.arange(BANDS, dtype=U) * STEP)
-            short = (mix(table.copy()) & U(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, n), pa.array(counts.astype(np.int64)), signed(prints[0]), signed(prints[1]),
-                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), signed(bands.ravel())),
-                 pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "n_shingles", "print_a", "print_b", "bands", "short"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), signed(bands.ravel()))],
+                names=["doc_id", "n_shingles", "print_a", "print_b", "bands"])
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>, short binary"
+SKETCH = "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"
 
 
-def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = Texts(batch.column(1))
-        for first, last in texts.parts(1 << 21):
-            rows, codes = _sets(texts, first, last)
-            cuts = np.searchsorted(rows, np.arange(last - first + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first),
-                                              pa.array([codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "codes"])
+def folded(ids: np.ndarray) -> np.ndarray:
+    """Document ids as bitmap places; ``_folded`` is the same for Spark."""
+    ids = np.ascontiguousarray(ids).view(U)
+    return ids ^ (ids >> U(24))
+
+
+def _folded(column: str) -> F.Column:
+    return F.col(column).bitwiseXOR(F.shiftrightunsigned(column, 24))
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and codes (the set's sorted hashes) of the documents in ``ids``. A bitmap of fixed size
+    keeps most other texts from being cut up; the join behind it is exact."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(_folded("doc_id").alias("hash"))))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+            batch = batch.filter(pa.array(hit(bits.value, folded(batch.column(0).to_numpy()))))
+            texts = Texts(batch.column(1))
+            for first, last in texts.parts(1 << 21):
+                rows, codes = _sets(texts, first, last)
+                cuts = np.searchsorted(rows, np.arange(last - first + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first),
+                                                  pa.array([codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "codes"])
+
+    found = docs.select("doc_id", "text").mapInArrow(cut, "doc_id bigint, codes binary").join(ids, "doc_id", "left_semi")
+    return materialise(found.dropDuplicates(["doc_id"]), "sets")
+
+
+def enough(common, x, y, percent: int):
+    return (common > 0) & (100 * common >= percent * (x + y - common))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets overlap enough: 100 * common >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_as_sets, "doc_id bigint, codes binary")
-    sets = materialise(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +148,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                good.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+                good.append(bool(enough(common, len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("codes").alias(f"codes_{k}")) for k in ("a", "b"))
@@ -133,35 +156,68 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket (``code``) and different components whose signatures are not
-    clearly apart. Buckets are dealt into pairs of blocks, so none is held by one task."""
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """Ids of the sets that can link with another: at least ``percent`` of the elements occur in one.
+
+    Only elements of one set matter, so one grouping with partial sums finds them."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, codes in zip(batch.column(0), batch.column(1)):
+                codes = np.frombuffer(codes.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.full(len(codes), doc_id.as_py(), np.int64))], names=["code", "doc_id"])
+
+    alone = sets.mapInArrow(elements, "code bigint, doc_id bigint").groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last"))
+    alone = alone.where("doc_id = _last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.length("codes") / 8
+    return sets.join(alone, "doc_id", "left").where(100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size).select("doc_id")
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components that meet in a bucket (``code``): full sets are compared within
+    pairs of blocks of the bucket, and no more links are returned than join its components."""
     sizes = members.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = members.join(sizes, "code").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"),
-                         "doc_id", "component", "n_shingles", "short")
-    least = SLOTS // 2
-
-    def compare(ids, component, sizes, short, second, same):
-        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if not same else (np.arange(len(ids)),) * 2
-        found = []
-        for x in left:
-            ok = (component[right] != component[x]) & (ids[right] > ids[x] if same else True)
-            ok &= (100 * np.minimum(sizes[right], sizes[x]) >= percent * np.maximum(sizes[right], sizes[x]))
-            y = right[ok]
-            y = y[(short[y] == short[x]).sum(1) >= least]
-            found += [(int(min(ids[x], ids[k])), int(max(ids[x], ids[k]))) for k in y]
+    dealt = dealt.select("code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "doc_id", "component")
+    dealt = dealt.join(sets, "doc_id")
+
+    def links(group: pa.Table, same: bool) -> tuple[list[int], list[int]]:
+        ids, component, second = (group[k].to_numpy() for k in ("doc_id", "component", "second"))
+        if len(np.unique(component)) < 2:
+            return [], []
+        sets = [np.frombuffer(x, U) for x in group["codes"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        root = dict.fromkeys(component.tolist())
+
+        def top(x):
+            while root[x] is not None:
+                x = root[x]
+            return x
+
+        found: tuple[list[int], list[int]] = ([], [])
+        inside = np.zeros(int(number.max()) + 1, bool)
+        for x in range(len(ids)) if same else np.flatnonzero(~second):
+            mine = number[cuts[x] : cuts[x + 1]]
+            inside[mine] = True
+            common = np.add.reduceat(inside[number], cuts[:-1], dtype=np.int64)
+            inside[mine] = False
+            near = enough(common, sizes[x], sizes, percent) & (component != component[x])
+            for y in np.flatnonzero(near if same else near & second):
+                a, b = top(int(component[x])), top(int(component[y]))
+                if a != b:
+                    root[a] = b
+                    found[0].append(int(ids[x]))
+                    found[1].append(int(ids[y]))
         return found
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
 
         def flush():
-            table = pa.Table.from_batches(group)
-            short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-            found = compare(*(table[k].to_numpy() for k in ("doc_id", "component", "n_shingles")), short, table["second"].to_numpy(), key[1] == key[2])
-            a, b = zip(*found) if found else ((), ())
+            a, b = links(pa.Table.from_batches(group), key[1] == key[2])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -179,7 +235,15 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         if group:
             yield flush()
 
-    return dealt.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j").mapInArrow(scan, "a bigint, b bigint").distinct()
+    columns = ["code", "i", "j", "second", "doc_id", "component", "codes"]
+    return dealt.select(*columns).repartition("code", "i", "j").sortWithinPartitions("code", "i", "j").mapInArrow(scan, "a bigint, b bigint")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Buckets that hold several components; of those with equal members the first."""
+    mixed = members.groupBy("code").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("doc_id")).alias("_x"))
+    mixed = mixed.where("_low != _high").groupBy("_low", "_high", "_n", "_x").agg(F.min("code").alias("code"))
+    return members.join(mixed.select("code"), "code")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -201,13 +265,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     labels = materialise(components(links, "a", "b"), "labels")
 
     placed = buckets.select("code", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("code").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("code")
-    members = placed.join(mixed, "code").join(full.select("doc_id", "n_shingles", "short").dropDuplicates(["doc_id"]), "doc_id")
-    more = materialise(across(members, percent).join(first, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verified(docs, more, percent))
+    members = materialise(_open(placed), "open-buckets")
+    if not members.isEmpty():
+        sets = sets_of(docs, members.select("doc_id").distinct())
+        members = _open(members.join(linkable(sets, percent), "doc_id"))
+        links = links.unionByName(materialise(across(members, sets, percent), "links-across"))
         labels = components(links, "a", "b")
 
     out = sketch.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` without the documents of a group that aren't its smallest id; rows that share an id are
+    one document, of which any row stays. Rows with null ids stay."""
+    found = materialise(near_duplicates(docs, percent).select("doc_id", "kept").where("doc_id IS NOT NULL"), "groups")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    repeated = materialise(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated")
+    if repeated.isEmpty():
+        return left
+    same = F.col("doc_id").cast("bigint") == F.col("_again")
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

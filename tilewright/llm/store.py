@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
+from .kernel import BITS
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -34,3 +36,13 @@ def running_start(df: DataFrame, keys: list[str], bucket: Column, order: list, s
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return df.join(totals, same).withColumn(out, F.col("_base") + F.col("_inner")).drop(
         "_bucket", "_b", "_base", "_inner", *[f"_k{i}" for i in range(len(keys))])
+
+
+def bitmap(codes: DataFrame) -> np.ndarray:
+    """One bit per value of the low BITS bits of ``hash``: at most 2**(BITS - 15) rows of 4 kB."""
+    place = F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1))
+    rows = codes.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in rows:
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
