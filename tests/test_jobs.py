@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright import constants as K
-from tilewright.operators import clusters, components, grids, pairs, regions, search, spatial, timeline, vectors
+from tilewright.functions import cloud
+from tilewright.operators import clusters, components, events, grids, pairs, ranges, regions, search, spatial, timeline, vectors
 from tilewright.sources import sinks
 
 
@@ -199,7 +200,37 @@ def test_upsert_is_idempotent_and_large_lists_split(spark):
     once = sinks.upsert(old, new, ["k"], "batch")
     assert sorted(map(tuple, sinks.upsert(once, new, ["k"], "batch").collect())) == sorted(map(tuple, once.collect())) == [("a", 1, 0), ("b", 3, 1), ("c", 4, 1)]
     docs = sinks.manifests(spark.range(100).select(F.lit("r").alias("run"), "id"), ["run"], F.struct("id"), F.col("id"), part_rows=30).collect()
-    assert len(docs) > 1 and sorted(t.id for d in docs for t in d.tiles) == list(range(100)) and {d.total_tiles for d in docs} == {100}
+    assert {d.part: [t.id for t in d.tiles] for d in docs} == {k: list(range(30 * k, min(30 * k + 30, 100))) for k in range(4)} and {d.total_tiles for d in docs} == {100}
+
+
+def test_features_of_one_large_site_keep_their_numbers(spark):
+    rows = spark.range(25000, numPartitions=4).select(F.when(F.col("id") < 24000, "big").otherwise("small").alias("site"), (F.col("id") * 7919 % 25000).alias("n"))
+    stored = sinks.manifests(rows, ["site"], F.struct("n"), F.col("n")).select("site", "part", F.col("tiles").alias("features"))
+    got = events.explode_features(stored, ["site"]).collect()
+    for site in ("big", "small"):
+        own = sorted((r.feature_no, r.n) for r in got if r.site == site)
+        assert [k for k, _ in own] == list(range(len(own))) and [n for _, n in own] == sorted(n for _, n in own)
+    assert len(got) == 25000
+
+
+def test_row_numbers_of_null_keys(spark):
+    rows = spark.createDataFrame([(None, i) for i in range(50)] + [("a", i) for i in range(7)], "k string, v int")
+    got = ranges.numbered(rows, ["k"], -F.col("v")).collect()
+    assert {(r.k, r.v, r.row_no) for r in got} == {(None, i, 49 - i) for i in range(50)} | {("a", i, 6 - i) for i in range(7)}
+
+
+def test_cloud_score_without_bands(spark):
+    bands = ("blue", "green", "red", "nir", "swir")
+    rows = [(3000.0, None, 3200.0, None, None), (3000.0, 3100.0, 3200.0, 3200.0, 1600.0), (3000.0, 3100.0, float("nan"), 1.0, 1.0), (3000.0, 3100.0, -9999.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, ", ".join(f"{b} double" for b in bands))
+    got = [r.p for r in df.select(cloud.cloud_probability(*[F.col(b) for b in bands]).alias("p")).collect()]
+    assert got[0] == got[1] > 0 and got[2] is None and got[3] is None
+
+
+def test_observations_without_date_are_kept(spark):
+    rows = spark.createDataFrame([("s", None, "x", 0.5)] + [("s", f"2024-0{m}-01", f"t{m}", 0.1) for m in (1, 2, 3)], "site string, day string, tile string, ndvi double").withColumn("day", F.col("day").cast("date"))
+    got = timeline.in_sequence(rows, ["site"], "day", "tile", ["ndvi"]).orderBy("epoch_index").collect()
+    assert [(r.tile, r.epoch_index) for r in got] == [("x", 0), ("t1", 1), ("t2", 2), ("t3", 3)]
 
 
 def test_bright_ground_is_not_cloud(spark):

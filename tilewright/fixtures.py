@@ -171,15 +171,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A sample table. The sample's files have one row group each, so a scan is a single
-    task; the two tables that pixels and tiles are computed from are dealt to all cores.
-    Tables of many files already are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("orders", "events"):
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    return df
+    """A sample table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,14 +12,20 @@ from .numeric import clip
 
 
 def cloud_probability(blue: Column, green: Column, red: Column, nir: Column, swir: Column) -> Column:
-    """Spectral cloud score from digital numbers: bright, white, high NIR, low SWIR."""
+    """Spectral cloud score from digital numbers: bright, white, high NIR, low SWIR.
+
+    An absent (NULL) band is stood in for: green by the mean of blue and red, NIR by red, SWIR by half
+    of red. A pixel without blue, or without a positive red value, has no data and no score.
+    """
+    green, nir, swir = F.coalesce(green, (blue + red) / 2.0), F.coalesce(nir, red), F.coalesce(swir, red * 0.5)
     visible = (blue + green + red) / 3.0
     colour = (F.abs(red - visible) + F.abs(green - visible) + F.abs(blue - visible)) / (visible + 1e-5)
     bright = clip((visible - 1500.0) / 4500.0, 0.0, 1.0)
     white = clip(1.0 - colour / 0.35, 0.0, 1.0)
     near_ir = clip((nir - 1200.0) / 4000.0, 0.0, 1.0)
     short_ir = clip(1.0 - swir / (visible + 1e-5), 0.0, 1.0)
-    return clip(0.40 * bright + 0.25 * white + 0.20 * near_ir + 0.15 * short_ir, 0.0, 1.0)
+    score = clip(0.40 * bright + 0.25 * white + 0.20 * near_ir + 0.15 * short_ir, 0.0, 1.0)
+    return F.when(blue.isNotNull() & ~F.isnan(blue) & ~F.isnan(red) & (red > 0), score)
 
 
 def cloud_region(prob: Column, mask: Column, nodata: Column | None = None) -> Column:

@@ -50,6 +50,7 @@ def kmeans_labels(vectors: DataFrame, k: int, runs: int = 10, seed: int = 42) ->
     points = vectors.select("tile_id", array_to_vector(unit(F.col("embedding"))).alias("features")).persist()
     models = [KMeans(k=k, seed=seed + i, maxIter=100).fit(points) for i in range(runs)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    points.unpersist()
     return best.transform(points).select("tile_id", F.col("prediction").cast("bigint").alias("label"))
 
 

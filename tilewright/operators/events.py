@@ -31,6 +31,7 @@ def with_sentinels(events: DataFrame, pairs: DataFrame, pair: list[str]) -> Data
     return events.unionByName(quiet.select(*pair, *[F.lit(fixed.get(c)).cast(types[c]).alias(c) for c in fields]))
 
 
-def explode_features(collections: DataFrame, key: list[str]) -> DataFrame:
-    """One row per feature of each collection, with its ordinal."""
-    return collections.select(*key, F.posexplode("features").alias("feature_no", "feature")).select(*key, "feature_no", "feature.*")
+def explode_features(collections: DataFrame, key: list[str], part_rows: int = 10000) -> DataFrame:
+    """One row per feature of each collection, with its ordinal over all parts of ``part_rows``."""
+    rows = collections.select(*key, "part", F.posexplode("features").alias("_place", "feature"))
+    return rows.select(*key, (F.col("part") * part_rows + F.col("_place")).cast("bigint").alias("feature_no"), "feature.*")

@@ -132,18 +132,5 @@ def preservation(pixels: DataFrame, scene: list[str], clear: Column, pairs: list
         .when((mae <= K.CLEAR_TOLERANCE) & (worst <= K.CLEAR_TOLERANCE), "PASS").otherwise("FAIL").alias("status"))
 
 
-def in_parts(rows: DataFrame, key: list[str], item: Column, order: Column, name: str, part_rows: int = 10000) -> DataFrame:
-    """Ordered list per key, in parts of bounded size.
-
-    A key of at most ``part_rows`` rows gives one part, number 0. A larger key is dealt
-    over several parts by hash, so no list ever holds an unbounded group.
-    """
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / part_rows)
-    dealt = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(order), parts))
-    listed = dealt.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct(order.alias("_o"), item.alias("_v")))).alias("_l"))
-    return listed.select(*key, "part", F.transform("_l", lambda x: x["_v"]).alias(name))
-
-
 def vari_mean(pixels: DataFrame, tile: list[str]) -> DataFrame:
     return pixels.groupBy(*tile).agg(F.bround(F.avg(spectral.vari(F.col("red"), F.col("green"), F.col("blue"))), 4).alias("mean_vari"))

@@ -39,7 +39,11 @@ def in_sequence(rows: DataFrame, site: list[str], when: str, tie: str, carry: li
     for name in sums:
         columns[f"_ps_{name}"], columns[f"_pc_{name}"] = zero(f"_s_{name}"), zero(f"_c_{name}")
     spans = spans.select(*site, "_span", *[e.alias(n) for n, e in columns.items()])
-    joined = rows.withColumns(inside).join(spans, [*site, "_span"])
+    same = F.col("_span").eqNullSafe(F.col("_of_span"))  # rows without a date form a span of their own, the first
+    for i, k in enumerate(site):
+        same = same & F.col(k).eqNullSafe(F.col(f"_of{i}"))
+    spans = spans.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(site)], F.col("_span").alias("_of_span"), *columns)
+    joined = rows.withColumns(inside).join(spans, same)
     result = joined.withColumns({
         "epoch_index": (F.col("_offset") + F.col("_number") - 1).cast("bigint"),
         "next_row": F.coalesce("_next", "_next_span"),

@@ -175,10 +175,10 @@ def j16(spark, d):
 
 
 @query("t08_ranked_scenes", ["items"], """WITH o AS (SELECT item_id, item_no, cloud_cover, greatest(0, least(max_lon, 70.9) - greatest(min_lon, 70.6)) * greatest(0, least(max_lat, 20.9) - greatest(min_lat, 20.6)) / ((70.9 - 70.6)::DOUBLE * (20.9 - 20.6)::DOUBLE) * 100 AS ov FROM items)
-SELECT item_id, round_even(abs(cloud_cover - 12.0), 2)::DOUBLE AS cloud_distance FROM o WHERE ov >= 90 ORDER BY cloud_distance, round(ov, 6) DESC, item_no LIMIT 50""")
+SELECT item_id, item_no, round_even(abs(cloud_cover - 12.0), 2)::DOUBLE AS cloud_distance, round(ov, 6) AS overlap_pct FROM o WHERE ov >= 90""")
 def t08(spark, d):
     df = spatial.ranked_candidates(table(spark, d, "items"), tuple(F.lit(v) for v in (70.6, 20.6, 70.9, 20.9)), 12.0)
-    return df.orderBy("cloud_distance", F.round("overlap_pct", 6).desc(), "item_no").limit(50).select("item_id", "cloud_distance")
+    return df.select("item_id", "item_no", "cloud_distance", F.round("overlap_pct", 6).alias("overlap_pct")).orderBy("cloud_distance", c("overlap_pct").desc(), "item_no")
 
 
 @query("j06_tile_key_repair", ["obs", "vectors"], """SELECT o.obs_id, v.tile_id AS tile_before FROM (SELECT obs_id, CASE WHEN obs_id % 2 = 0 THEN tile_id ELSE tile_id || '_gone' END AS t FROM obs) o LEFT JOIN vectors v ON v.tile_id = o.t""")

@@ -8,6 +8,7 @@ from .. import constants as K
 from ..fixtures import table
 from ..functions import cloud
 from ..operators import catalog, pairs, raster, timeline
+from ..operators.ranges import in_chunks
 from .registry import query
 from .scalar_plans import REGION_SQL
 from .sqltext import CHANGE
@@ -134,14 +135,15 @@ def a17(spark, d):
 
 
 @query("a18_cloud_metrics", ["clouds", "items"], """WITH px AS (SELECT scene_id, round_even(avg(cloud::INT::DOUBLE) * 100, 2)::DOUBLE AS area_cloud_pct, round_even(avg((cloud OR noise < 5)::INT::DOUBLE) * 100, 2)::DOUBLE AS area_bad_pct FROM clouds GROUP BY scene_id),
-t AS (SELECT scene_id, floor(prow / 8) * 4 + floor(pcol / 8) AS tile, round_even(avg(cloud::INT::DOUBLE) * 100, 2)::DOUBLE AS p FROM clouds GROUP BY ALL), tl AS (SELECT scene_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY tile) AS tile_cloud_pct FROM t GROUP BY scene_id)
-SELECT scene_id, 0::BIGINT AS part, round_even(cloud_cover, 2)::DOUBLE AS catalogue_cloud_pct, area_cloud_pct, area_bad_pct, tile_cloud_pct FROM px JOIN tl USING (scene_id) JOIN items ON item_no = scene_id""")
+t AS (SELECT scene_id, floor(prow / 8) * 4 + floor(pcol / 8) AS tile, round_even(avg(cloud::INT::DOUBLE) * 100, 2)::DOUBLE AS p FROM clouds GROUP BY ALL), tn AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY scene_id ORDER BY tile) - 1) / 10000) AS BIGINT) AS part FROM t),
+tl AS (SELECT scene_id, part, string_agg(CAST(p AS VARCHAR), ',' ORDER BY tile) AS tile_cloud_pct FROM tn GROUP BY scene_id, part)
+SELECT scene_id, part, round_even(cloud_cover, 2)::DOUBLE AS catalogue_cloud_pct, area_cloud_pct, area_bad_pct, tile_cloud_pct FROM px JOIN tl USING (scene_id) JOIN items ON item_no = scene_id""")
 def a18(spark, d):
     px = table(spark, d, "clouds")
     pct = lambda e: F.bround(F.avg(e.cast("double")) * 100.0, 2)
     area = px.groupBy("scene_id").agg(pct(c("cloud")).alias("area_cloud_pct"), pct(c("cloud") | (c("noise") < 5)).alias("area_bad_pct"))
     tiles = px.groupBy("scene_id", F.expr("floor(prow / 8) * 4 + floor(pcol / 8)").alias("tile")).agg(pct(c("cloud")).alias("p"))
-    listed = raster.in_parts(tiles, ["scene_id"], c("p"), c("tile"), "pcts")
+    listed = in_chunks(tiles, ["scene_id"], c("p"), c("tile"), "pcts")
     scenes = table(spark, d, "items").select(c("item_no").alias("scene_id"), F.bround("cloud_cover", 2).alias("catalogue_cloud_pct"))
     return area.join(listed, "scene_id").join(scenes, "scene_id").select(
         "scene_id", "part", "catalogue_cloud_pct", "area_cloud_pct", "area_bad_pct", F.concat_ws(",", F.transform("pcts", lambda x: x.cast("string"))).alias("tile_cloud_pct"))

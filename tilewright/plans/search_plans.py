@@ -184,7 +184,7 @@ def j15(spark, d):
 
 @query("m02_kmeans")
 def m02(spark, d):
-    return clusters.kmeans_labels(vec(spark, d), 5, runs=2)
+    return clusters.kmeans_labels(vec(spark, d), 5)
 
 
 @query("m03_density_clusters")

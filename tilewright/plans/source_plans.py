@@ -185,8 +185,8 @@ def k07(spark, d):
 
 @query("g05_feature_round_trip", ["obs"], """SELECT site_key, row_number() OVER (PARTITION BY site_key ORDER BY obs_id) - 1 AS feature_no, tile_id, cloud_pct FROM obs""")
 def g05(spark, d):
-    collections = sinks.manifests(table(spark, d, "obs"), ["site_key"], F.struct("tile_id", "cloud_pct"), c("obs_id")).select("site_key", c("tiles").alias("features"))
-    return ev.explode_features(collections, ["site_key"]).withColumn("feature_no", c("feature_no").cast("bigint"))
+    collections = sinks.manifests(table(spark, d, "obs"), ["site_key"], F.struct("tile_id", "cloud_pct"), c("obs_id")).select("site_key", "part", c("tiles").alias("features"))
+    return ev.explode_features(collections, ["site_key"])
 
 
 @query("k02_sentinels", ["obs"], """WITH p AS (SELECT DISTINCT site_key FROM obs), e AS (SELECT site_key, 'Clearance' AS change_type, count(*) AS area_px FROM obs WHERE quality_confidence > 0.98 GROUP BY site_key)

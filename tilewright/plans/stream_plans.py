@@ -10,7 +10,7 @@ from ..operators import hooks, pairs
 from ..session import fresh_path
 from ..streaming import jobs
 from .registry import query
-from .scalar_plans import PROB_SQL, CLIP
+from .scalar_plans import SCORED_SQL, with_gaps
 from .sqltext import IDX, CLS, MAJOR, pixel_type, real
 
 c = F.col
@@ -85,19 +85,17 @@ def _detect(pdf):
 
 
 @query("h02_change_hook", ["pixels"], f"""WITH {IDX}, {CLS}, k AS (SELECT *, NOT (bad_b OR bad_a) AS usable, site_id % 5 <> 0 AND abs(nir_a - nir_b) > 0.05 AS m, {real('class_b', 'class_a')} AS is_real, {pixel_type('class_b', 'class_a')} AS change_type FROM cls)
-SELECT site_id, count(*) FILTER (WHERE m) AS model_pixels, count(*) FILTER (WHERE usable AND is_real AND change_type IN {MAJOR} AND (m OR abs(ndvi_a - ndvi_b) > 0.15 OR abs(ndbi_a - ndbi_b) > 0.12 OR abs(ndwi_a - ndwi_b) > 0.15)) AS verified FROM k GROUP BY site_id""")
+SELECT site_id, count(*) FILTER (WHERE m) AS model_pixels, count(*) FILTER (WHERE site_id % 5 = 0) AS failed_pixels, count(*) FILTER (WHERE usable AND is_real AND change_type IN {MAJOR} AND (m OR abs(ndvi_a - ndvi_b) > 0.15 OR abs(ndbi_a - ndbi_b) > 0.12 OR abs(ndwi_a - ndwi_b) > 0.15)) AS verified FROM k GROUP BY site_id""")
 def h02(spark, d):
     px = table(spark, d, "pixels")
     mask = hooks.change_mask(px, ["site_id"], ["nir_b", "nir_a"], _detect)
     df = pairs.classify(px.join(mask, ["site_id", "prow", "pcol"]), model="model_mask")
-    return df.groupBy("site_id").agg(F.count_if("model_mask").alias("model_pixels"), F.count_if("verified").alias("verified"))
+    return df.groupBy("site_id").agg(F.count_if("model_mask").alias("model_pixels"), F.count_if("model_failed").alias("failed_pixels"), F.count_if("verified").alias("verified"))
 
 
-@query("h03_cloud_hook", ["canvas"], f"""WITH v AS (SELECT *, (blue + green + red) / 3 AS vm FROM canvas WHERE NOT isnan(red) AND red > 0), p AS (SELECT scene_id, prow, pcol, noise, {CLIP(PROB_SQL)} AS prob, (blue + nir) / 20000 AS m FROM v)
-SELECT scene_id, prow, pcol, round(CASE WHEN noise % 2 = 0 THEN m ELSE prob END, 9) AS prob FROM p""")
+@query("h03_cloud_hook", ["canvas"], f"""WITH {SCORED_SQL} SELECT scene_id, prow, pcol,
+ round(CASE WHEN isnan(red) OR red <= 0 THEN NULL WHEN noise % 4 = 1 OR noise % 5 = 2 OR noise % 3 = 0 THEN prob ELSE (blue + nir) / 20000 END, 9) AS prob FROM p""")
 def h03(spark, d):
-    df = table(spark, d, "canvas").where("NOT isnan(red) AND red > 0")
     bands = {n: c(n) for n in ("blue", "green", "red", "nir", "swir")}
-    bands["cirrus"] = F.when(c("noise") % 2 == 0, c("swir"))  # a band that half of the pixels lack
     score = hooks.cloud_score(bands, lambda f: (f["blue"] + f["nir"]) / 20000)
-    return df.select("scene_id", "prow", "pcol", F.round(score, 9).alias("prob"))
+    return with_gaps(table(spark, d, "canvas")).select("scene_id", "prow", "pcol", F.round(score, 9).alias("prob"))
\ No newline at end of file

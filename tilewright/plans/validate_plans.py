@@ -175,11 +175,11 @@ def a27(spark, d):
     return df.groupBy("scene_id").agg(F.count(F.lit(1)).alias("total_tiles"), F.count_if(ok).alias("valid_512"), F.when(F.bool_and(ok), "PASS").otherwise("FAIL").alias("status"))
 
 
-@query("t10_review_queue", ["obs"], """SELECT tile_id, round(0.5 * quality_confidence + 0.3 * coalesce(mean_ndvi, 0) + 0.2 * mean_ndbi, 6) AS rank_score FROM obs WHERE obs_id % 3 = 0 ORDER BY rank_score DESC, obs_id LIMIT 200""")
+@query("t10_review_queue", ["obs"], """SELECT tile_id, round(0.5 * quality_confidence + 0.3 * coalesce(mean_ndvi, 0) + 0.2 * mean_ndbi, 6) AS rank_score FROM obs WHERE obs_id % 3 = 0""")
 def t10(spark, d):
     df = table(spark, d, "obs").withColumn("status", F.when(c("obs_id") % 3 == 0, "pending").otherwise("confirmed"))
     queue = evaluate.review_queue(df, {"quality_confidence": 0.5, "mean_ndvi": 0.3, "mean_ndbi": 0.2})
-    return queue.orderBy(c("rank_score").desc(), "obs_id").limit(200).select("tile_id", "rank_score")
+    return queue.select("tile_id", "obs_id", "rank_score").orderBy(c("rank_score").desc(), "obs_id").drop("obs_id")
 
 
 @query("k06_evidence_export", ["obs"], """SELECT tile_id, scene_id, round(quality_confidence, 4) AS confidence, CASE WHEN obs_id % 4 = 0 THEN 'confirmed' ELSE 'rejected' END AS decision FROM obs WHERE obs_id % 2 = 0""")

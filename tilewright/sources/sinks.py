@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import latest_version
+from ..operators.ranges import in_chunks
 from ..session import fresh_path
 
 
@@ -33,16 +34,11 @@ def replace_sites(old: DataFrame, new: DataFrame, site: str) -> DataFrame:
 
 
 def manifests(tiles: DataFrame, run: list[str], record: Column, order: Column, part_rows: int = 10000) -> DataFrame:
-    """One document per run with totals and its tile records.
-
-    A run above ``part_rows`` tiles is written as several documents of bounded size with
-    the same totals and a part number.
-    """
-    sizes = tiles.groupBy(*run).agg(F.count(F.lit(1)).alias("total_tiles"))
-    dealt = tiles.join(sizes, run).withColumn("part", F.pmod(F.xxhash64(order), F.ceil(F.col("total_tiles") / part_rows)))
-    grouped = dealt.groupBy(*run, "total_tiles", "part").agg(
-        F.sort_array(F.collect_list(F.struct(order.alias("_o"), record.alias("_r")))).alias("_l"))
-    return grouped.select(F.lit("2.0.0").alias("manifest_version"), *run, "total_tiles", "part", F.transform("_l", lambda x: x["_r"]).alias("tiles"))
+    """Documents of a run with totals and tile records in order: document ``part`` holds the records
+    part * part_rows and following, whatever the size of the run."""
+    totals = tiles.groupBy(*run).agg(F.count(F.lit(1)).alias("total_tiles"))
+    listed = in_chunks(tiles, run, record, order, "tiles", part_rows)
+    return listed.join(totals, run).select(F.lit("2.0.0").alias("manifest_version"), *run, "total_tiles", "part", "tiles")
 
 
 def feature_lines(df: DataFrame, ring: Column, properties: list[str]) -> DataFrame:
