@@ -59,6 +59,8 @@ class Lexicon:
         totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.tokens, self.distinct = totals.n, totals.v
         top = counts.orderBy(F.desc("n"), "code").limit(known).toPandas()
+        if END not in top["code"].values:  # always known, however rare
+            top = pd.concat([top, counts.where(F.col("code") == END).toPandas()], ignore_index=True)
         self.codes, self.counts = top["code"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64)
         chosen = self.codes[:vocabulary]
         if END not in chosen:

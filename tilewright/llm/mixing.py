@@ -178,9 +178,9 @@ def in_streams(sized: DataFrame, sources: list[Source], rows: int) -> DataFrame:
     return running_start(with_index(sized, sources), ["ix"], bucket, ["doc_id", "size", "text_hash"], "size", "start")
 
 
-def _measured(docs: DataFrame) -> DataFrame:
+def _measured(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
-                       F.xxhash64("text").alias("text_hash"))
+                       F.xxhash64("text").alias("text_hash"), *more)
 
 
 def taken(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, block_words: int = 128, shard_slots: int = 4096,
@@ -213,7 +213,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     single blanks, documents in stream order), n_words and doc_ids (those it holds words of)."""
     schema = "shard bigint, source string, block bigint, round int, text string, n_words bigint, doc_ids array<bigint>"
     spark = docs.sparkSession
-    sized = materialise(_measured(docs).withColumn("text", docs["text"]), "mix-texts")
+    sized = materialise(_measured(docs, "text"), "mix-texts")
     sources = plan_sources(sized, list(weights), most, block_words, max_sources)
     if not any(s.slots for s in sources):
         return spark.createDataFrame([], schema)
