@@ -51,19 +51,28 @@ def ring_area(points):
     return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(points, points[1:])) / 2
 
 
-def test_outlines_enclose_exactly_the_pixels(spark):
+@pytest.fixture(scope="module")
+def drawn(spark):
+    """Random cells, a ring that crosses every block, and parts that touch in corners."""
     rng = random.Random(5)
-    cells = [(r, c) for r in range(20) for c in range(20) if rng.random() < 0.65]
-    df = spark.createDataFrame([("s", r, c) for r, c in cells], "site string, prow bigint, pcol bigint")
-    labelled = regions.label_components(df, ["site"])
-    rings = {}
-    for row in regions.outlines(labelled, ["site"]).collect():
-        assert row.points[0] == row.points[-1]
-        rings.setdefault(row.component, []).append((row.ring, ring_area(row.points)))
-    sizes = {r["component"]: r["count"] for r in labelled.groupBy("component").count().collect()}
-    for component, parts in rings.items():
-        assert sum(a for _, a in parts) == sizes[component]  # holes turn the other way
-        assert min(parts)[1] > 0 and all(a < 0 for i, a in parts if i > 0)
+    cells = {(r, c) for r in range(20) for c in range(20) if rng.random() < 0.65}
+    cells |= {(r, c) for r in range(30, 58) for c in range(30, 58) if r in (30, 57) or c in (30, 57) or (r, c) in ((33, 33), (34, 34), (34, 35))}
+    df = spark.createDataFrame([("s", r, c) for r, c in sorted(cells)], "site string, prow bigint, pcol bigint")
+    return regions.label_components(df, ["site"])
+
+
+def test_outlines_enclose_exactly_the_pixels_for_any_block(spark, drawn):
+    pixels = {r.component: r.n for r in drawn.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = []
+    for block in (5, 8, 512):
+        rings = {}
+        for row in regions.outlines(drawn, ["site"], block).collect():
+            assert row.points[0] == row.points[-1] and (ring_area(row.points) > 0) == (row.ring == 0)
+            rings.setdefault(row.component, {})[row.ring] = tuple(map(tuple, row.points))
+        assert {k: sum(map(ring_area, v.values())) for k, v in rings.items()} == pixels
+        assert all(sorted(v) == list(range(len(v))) for v in rings.values())
+        seen.append(rings)
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_thin_construction_becomes_a_road_and_small_parts_drop(spark):

@@ -122,51 +122,118 @@ def region_features(classified: DataFrame, key: list[str], height: Column | int,
     return features, labelled
 
 
+# unit sides around a pixel with the region on the right hand: neighbour (row, column), start and end corner (column, row)
+SIDES = [((-1, 0), (0, 0), (1, 0)), ((0, 1), (1, 0), (1, 1)), ((1, 0), (1, 1), (0, 1)), ((0, -1), (0, 1), (0, 0))]
+
+
+def _next_side(ends: list, here: tuple, came: tuple | None):
+    """Where two sides leave a corner, turn right: parts that touch in a corner stay apart."""
+    if len(ends) == 1 or came is None:
+        return ends[0]
+    return max(ends, key=lambda e: came[0] * (e[1][0][1] - here[1]) - came[1] * (e[1][0][0] - here[0]))
+
+
+def _chains(sides: dict, stops) -> list[list[tuple]]:
+    """Sides (corner -> [(next corner, points on the way)]) chained into rings, and into open chains that
+    begin and end in corners for which ``stops`` holds."""
+    out = []
+    order = sorted(sides, key=lambda corner: (not stops(corner), corner))
+    for start in order:
+        while start in sides:
+            chain, here, came = [start], start, None
+            while True:
+                step = _next_side(sides[here], here, came)
+                sides[here].remove(step)
+                if not sides[here]:
+                    del sides[here]
+                for point in step[1]:
+                    if len(chain) > 1 and _straight(chain[-2], chain[-1], point):
+                        chain[-1] = point
+                    else:
+                        chain.append(point)
+                came, here = _move(chain[-2], chain[-1]), step[0]
+                if here == start or stops(here):
+                    break
+            out.append(chain)
+    return out
+
+
+def _move(a: tuple, b: tuple) -> tuple[int, int]:
+    return (b[0] > a[0]) - (b[0] < a[0]), (b[1] > a[1]) - (b[1] < a[1])
+
+
+def _straight(a: tuple, b: tuple, c: tuple) -> bool:
+    return _move(a, b) == _move(b, c)
+
+
+def _canonical(ring: list[tuple]) -> list[list[int]]:
+    """A closed ring from its smallest corner on, without corners on straight lines."""
+    ring = ring[:-1]
+    ring = [p for i, p in enumerate(ring) if not _straight(ring[i - 1], p, ring[(i + 1) % len(ring)])]
+    low = ring.index(min(ring))
+    return [list(p) for p in [*ring[low:], *ring[: low + 1]]]
+
+
 def outlines(labelled: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
-    """Boundary rings of every component within each block, as corner points (column, row).
+    """Boundary rings of every component, as corner points (column, row); the same for every block size.
 
-    The first ring is the outer one; later rings are holes.
+    Ring 0 is the outer one; the others are holes, by their first corner. A block sees a rim of one pixel, so a
+    side is drawn only where the component ends. Chains of sides stop on the lines between
+    blocks; those that meet there are joined into rings, grouped by the corners they share.
     """
     types = dict(labelled.dtypes)
-    fields = ", ".join([f"{k} {types[k]}" for k in key] + ["component string", "ring int", "points array<array<bigint>>"])
+    names = ", ".join(f"{k} {types[k]}" for k in key)
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, component = pd.factorize(pdf["component"])
+        rows, cols, own = pdf["prow"].to_numpy(), pdf["pcol"].to_numpy(), pdf["_own"].to_numpy()
+        top, left = rows.min() - 1, cols.min() - 1
+        grid = np.zeros((rows.max() - top + 2, cols.max() - left + 2), np.int64)
+        grid[rows - top, cols - left] = codes + 1
+        sides: list[dict] = [{} for _ in component]
+        r, c, code = rows[own], cols[own], codes[own]
+        for (dr, dc), (ax, ay), (bx, by) in SIDES:
+            open_ = grid[r - top + dr, c - left + dc] != code + 1
+            for row, col, which in zip(r[open_].tolist(), c[open_].tolist(), code[open_].tolist()):
+                end = (col + bx, row + by)
+                sides[which].setdefault((col + ax, row + ay), []).append((end, [end]))
         out = []
-        for component, part in pdf.groupby("component"):
-            cells = set(zip(part["prow"], part["pcol"]))
-            # unit sides with the region on the right hand: start corner -> end corners, corners are (col, row)
-            sides: dict[tuple, list] = {}
-            for r, c in cells:
-                for near, a, b in (((r - 1, c), (c, r), (c + 1, r)), ((r, c + 1), (c + 1, r), (c + 1, r + 1)),
-                                   ((r + 1, c), (c + 1, r + 1), (c, r + 1)), ((r, c - 1), (c, r + 1), (c, r))):
-                    if near not in cells:
-                        sides.setdefault(a, []).append(b)
-            rings = []
-            while sides:
-                start = min(sides)
-                ring, here, came = [start], start, None
-                while True:
-                    ends = sides[here]
-                    # where two sides leave a corner, turn right: corner-touching parts stay apart
-                    step = ends[0] if len(ends) == 1 or came is None else max(
-                        ends, key=lambda e: came[0] * (e[1] - here[1]) - came[1] * (e[0] - here[0]))
-                    ends.remove(step)
-                    if not ends:
-                        del sides[here]
-                    move = (step[0] - here[0], step[1] - here[1])
-                    if move == came:
-                        ring[-1] = step
-                    else:
-                        ring.append(step)
-                    here, came = step, move
-                    if here == start:
-                        break
-                rings.append([[int(x), int(y)] for x, y in ring])
-            head = {k: part[k].iloc[0] for k in key}
-            out += [{**head, "component": component, "ring": i, "points": ring} for i, ring in enumerate(rings)]
-        return pd.DataFrame(out, columns=[*key, "component", "ring", "points"])
-
-    return _blocked(labelled.select(*key, "prow", "pcol", "component"), block).groupBy(*key, "_br", "_bc").applyInPandas(trace, fields)
+        for which, own_sides in enumerate(sides):
+            for chain in _chains(own_sides, lambda corner: corner[0] % block == 0 or corner[1] % block == 0):
+                inside = not (chain[0][0] % block == 0 or chain[0][1] % block == 0)
+                out.append((component[which], inside, _canonical(chain) if inside else [list(p) for p in chain]))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(out) for k in key}, "component": [x[0] for x in out], "inside": [x[1] for x in out], "points": [x[2] for x in out]})
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides: dict[tuple, list] = {}
+        for points in pdf["points"]:
+            points = [tuple(int(v) for v in p) for p in points]
+            sides.setdefault(points[0], []).append((points[-1], points[1:]))
+        rings = [_canonical(chain) for chain in _chains(sides, lambda corner: False)]
+        head = {k: [pdf[k].iloc[0]] * len(rings) for k in [*key, "component"]}
+        return pd.DataFrame({**head, "points": rings})
+
+    row, col = F.floor(F.col("prow") / block), F.floor(F.col("pcol") / block)
+    at = lambda r, c, own: F.struct(r.alias("_br"), c.alias("_bc"), F.lit(own).alias("_own"))
+    near = lambda axis, edge: F.pmod(F.col(axis), F.lit(block)) == edge
+    places = F.array(at(row, col, True), F.when(near("prow", 0), at(row - 1, col, False)), F.when(near("prow", block - 1), at(row + 1, col, False)),
+                     F.when(near("pcol", 0), at(row, col - 1, False)), F.when(near("pcol", block - 1), at(row, col + 1, False)))
+    seen = labelled.select(*key, "prow", "pcol", "component", F.inline(F.filter(places, lambda p: p.isNotNull())))
+    own_blocks = F.max(F.col("_own"))
+    some = seen.groupBy(*key, "_br", "_bc").agg(own_blocks.alias("_any")).where("_any").drop("_any")  # a block of rim pixels only draws nothing
+    chains = cut_lineage(seen.join(some, [*key, "_br", "_bc"]).groupBy(*key, "_br", "_bc").applyInPandas(trace, f"{names}, component string, inside boolean, points array<array<bigint>>"))
+    # chains that touch a line between blocks are grouped by the corners they share
+    corner = lambda p: F.concat_ws("|", *key, "component", p[0], p[1])
+    first, last = F.element_at("points", 1), F.element_at("points", -1)
+    lines = chains.where(~F.col("inside")).withColumns({"_a": corner(first), "_b": corner(last)})
+    names_of = component_names(lines.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    lines = lines.withColumn("old", F.col("_a"))
+    lines = lines.withColumn("_group", F.col("old")) if names_of is None else lines.join(names_of, "old", "left").withColumn("_group", F.coalesce("new", "old"))
+    joined = lines.select(*key, "component", "_group", "points").groupBy(*key, "component", "_group").applyInPandas(join, f"{names}, component string, points array<array<bigint>>")
+    rings = chains.where("inside").select(*key, "component", "points").unionByName(joined)
+    # holes run the other way round; the ring with the smallest corner is the outer one
+    order = Window.partitionBy(*key, "component").orderBy(F.array_min("points"), F.size("points"), "points")
+    return rings.withColumn("ring", F.row_number().over(order) - 1).select(*key, "component", "ring", "points")
 
 
 def water_envelope(classified: DataFrame, pair: list[str], height: Column | int, width: Column | int) -> DataFrame:

@@ -64,11 +64,20 @@ def n06(spark, d):
         F.count(F.lit(1)).alias("pixels"), F.min("prow").alias("r0"), F.max("prow").alias("r1"), F.min("pcol").alias("c0"), F.max("pcol").alias("c1")).drop("component")
 
 
-@query("n07_outlines")
+# rings from blocks of 8 x 8 pixels: signed area and length against pixels and open sides
+@query("n07_outlines", ["pixels"], f"""WITH {CHANGE}, vk AS MATERIALIZED (SELECT site_id, prow, pcol FROM ver WHERE verified), {components_sql('cc', 'vk', 'site_id')},
+i AS (SELECT a.site_id, a.lab, count(*) AS shared FROM cc a JOIN cc b ON a.site_id = b.site_id AND a.lab = b.lab AND abs(a.prow - b.prow) + abs(a.pcol - b.pcol) = 1 GROUP BY ALL),
+n AS (SELECT site_id, lab, count(*) AS pixels FROM cc GROUP BY ALL)
+SELECT site_id, site_id || '|' || (lab // 100000) || '|' || (lab % 100000) AS component, pixels AS area, 4 * pixels - coalesce(shared, 0) AS length, 1::BIGINT AS outer_rings FROM n LEFT JOIN i USING (site_id, lab)""")
 def n07(spark, d):
     px = classified(spark, d).where("verified").select("site_id", "prow", "pcol")
-    rings = regions.outlines(regions.label_components(px, ["site_id"]), ["site_id"])
-    return rings.withColumn("points", F.to_json("points"))
+    rings = regions.outlines(regions.label_components(px, ["site_id"], block=8), ["site_id"], block=8)
+    sides = F.transform(F.sequence(F.lit(2), F.size("points")), lambda k: F.struct(F.element_at("points", k - 1).alias("p"), F.element_at("points", k).alias("q")))
+    total = lambda f: F.aggregate(sides, F.lit(0).cast("bigint"), lambda acc, e: acc + f(e["p"], e["q"]))
+    area = total(lambda p, q: p[0] * q[1] - q[0] * p[1])
+    length = total(lambda p, q: F.abs(p[0] - q[0]) + F.abs(p[1] - q[1]))
+    rings = rings.select("site_id", "component", "ring", area.alias("a"), length.alias("l"))
+    return rings.groupBy("site_id", "component").agg(F.expr("sum(a) div 2").alias("area"), F.sum("l").alias("length"), F.count_if((c("a") > 0) & (c("ring") == 0)).alias("outer_rings"))
 
 
 @query("n09_grid_regions", ["pixels"], f"""WITH {CHANGE}, gp AS MATERIALIZED (SELECT site_id, prow // 2 AS prow, pcol // 2 AS pcol, class_b, class_a, verified FROM ver WHERE prow % 2 = 0 AND pcol % 2 = 0), vk AS MATERIALIZED (SELECT site_id, prow, pcol FROM gp WHERE verified), {components_sql('cc', 'vk', 'site_id')},
@@ -191,6 +200,6 @@ def a20(spark, d):
     return regions.site_summary(temporal(spark, d), ["site_id"])
 
 
-for _name in ("n04_regions", "n05_elongation", "n06_cross_block_components", "n09_grid_regions", "t05_major_boxes", "t05_archive_boxes", "t06_distinct_boxes",
+for _name in ("n04_regions", "n05_elongation", "n06_cross_block_components", "n07_outlines", "n09_grid_regions", "t05_major_boxes", "t05_archive_boxes", "t06_distinct_boxes",
               "t07_consolidated_boxes", "u02_region_union", "j13_touching_features", "w07_earliest_date", "a14_region_breakdown", "a20_site_summary"):
     ORACLES[_name] = recursive(ORACLES[_name])
