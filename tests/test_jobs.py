@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tilewright import constants as K
 from tilewright.functions import cloud
 from tilewright.operators import clusters, components, events, grids, pairs, ranges, regions, search, spatial, timeline, vectors
-from tilewright.sources import sinks
+from tilewright.sources import readers, sinks
 
 
 def flood(cells):
@@ -245,3 +245,39 @@ def test_observations_without_date_are_kept(spark):
 def test_bright_ground_is_not_cloud(spark):
     df = spark.createDataFrame([("s", i < 6, 0.36 if i == 0 else 0.2, 0.4) for i in range(10)], "scene string, bad boolean, blue double, red double")
     assert pairs.sanitize_mask(df, ["scene"], "bad", "blue", "red").where("bad").count() == 1
+
+
+def names_by_part(path):
+    return {p.relative_to(path).as_posix() for p in path.rglob("*.parquet")}
+
+
+def test_upserts_leave_other_partitions_alone(spark, tmp_path):
+    stored = spark.range(100).select((F.col("id") % 5).cast("int").alias("day"), F.col("id").alias("k"), F.lit(1).alias("batch"), F.lit(0).alias("v"))
+    path = tmp_path / "tiles"
+    stored.write.partitionBy("day").parquet(str(path))
+    before = names_by_part(path)
+    new = spark.createDataFrame([(2, 7, 2, 9), (2, 1002, 2, 9)], "day int, k bigint, batch int, v int")
+    sinks.upsert_in_place(spark, str(path), new, ["day"], ["k"], "batch")
+    after = names_by_part(path)
+    assert {x for x in before if "day=2" not in x} == {x for x in after if "day=2" not in x} and not {x for x in before & after if "day=2" in x}
+    got = {(r.k, r.v) for r in spark.read.parquet(str(path)).where("day = 2").collect()}
+    assert got == {(k, 9 if k == 7 else 0) for k in range(2, 100, 5)} | {(1002, 9)} and spark.read.parquet(str(path)).count() == 101
+    path = tmp_path / "events"
+    rows = spark.range(300).select(F.concat(F.lit("s"), F.col("id") % 30).alias("site"), "id")
+    sinks.site_buckets(rows, "site").write.partitionBy("bucket").parquet(str(path))
+    before = names_by_part(path)
+    for _ in range(2):
+        sinks.replace_in_place(spark, str(path), spark.createDataFrame([("s3", -1)], "site string, id bigint"), "site")
+    assert len({x.split("/")[0] for x in before - names_by_part(path)}) == 1
+    got = spark.read.parquet(str(path))
+    assert [r.id for r in got.where("site = 's3'").collect()] == [-1] and got.count() == 291
+
+
+def test_registries_of_any_layout(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "version": "1",\n "aois": [\n  {"aoi_id": "x",\n   "target_years": [2017, 2020]},\n  {"aoi_id": "y", "target_years": [2019]}\n ]\n}\n')
+    (tmp_path / "b.json").write_text('{"version":"1","aois":[{"aoi_id":"z","target_years":[2023]}]}')
+    (tmp_path / "c.json").write_text('{"version": "1", "aois": [')
+    got = {(r.aoi_id, r.year) for r in readers.aoi_registry(spark, str(tmp_path)).collect()}
+    assert got == {("x", 2017), ("x", 2020), ("y", 2019), ("z", 2023)}
+    (bad,) = readers.unreadable_documents(spark, str(tmp_path), readers.AOI_REGISTRY).collect()
+    assert bad.file.endswith("c.json")

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -138,8 +138,13 @@ def density_labels(vectors: DataFrame, radius: float, min_points: int, min_size:
     labelled = connected(core_points.select(F.col("point").alias("id")), edges)
     sized = labelled.join(points.select(F.col("point").alias("id"), "weight"), "id")
     kept = sized.groupBy("component").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_size)
-    final = sized.join(kept, "component").select(F.col("id").alias("point"), F.col("component"))
-    return keyed.join(final, "point", "left").select("tile_id", F.coalesce("component", F.lit(-1).cast("bigint")).alias("label"))
+    placed = cut_lineage(keyed.join(sized.join(kept, "component").select(F.col("id").alias("point"), "component", "size"), "point", "left").select("tile_id", "component", "size"))
+    points.unpersist()
+    # one row per cluster: numbers by size, then by smallest tile id
+    order = Window.orderBy(F.col("size").desc(), "first")
+    numbers = placed.where("component IS NOT NULL").groupBy("component", "size").agg(F.min("tile_id").alias("first")).select(
+        "component", (F.row_number().over(order) - 1).cast("bigint").alias("label"))
+    return placed.join(numbers, "component", "left").select("tile_id", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"))
 
 
 def cluster_archive(vectors: DataFrame, radius: float) -> DataFrame:

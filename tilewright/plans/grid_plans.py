@@ -66,7 +66,10 @@ def g01(spark, d):
     day = tiles.select("site_key", "tile_id", c("acquisition_date").cast("date").alias("day"))
     # buckets of a site are few; the equi-join on site with a range filter keeps all buckets
     cond = (c("b.site_key") == c("o.site_key")) & c("o.day").between(c("b.bucket_start"), c("b.bucket_end"))
-    return buckets.alias("b").join(day.alias("o"), cond, "left").groupBy("b.site_key", "bucket", "bucket_start", "bucket_end").agg(F.count("o.tile_id").alias("scenes"))
+    # counted over an inner join, whose large side may be split, then joined to the empty buckets
+    keys = ["site_key", "bucket", "bucket_start", "bucket_end"]
+    counts = day.alias("o").join(buckets.alias("b"), cond).groupBy(*[f"b.{k}" for k in keys]).agg(F.count("o.tile_id").alias("scenes"))
+    return buckets.select(*keys).join(counts, keys, "left").withColumn("scenes", F.coalesce("scenes", F.lit(0).cast("bigint")))
 
 
 @query("g06_sample_grid", ["pixels"], f"""WITH {CHANGE} SELECT site_id, prow // 2 AS grid_row, string_agg(printf('%.3f', ndvi_b), ',' ORDER BY pcol) AS ndvi, string_agg(class_a, ',' ORDER BY pcol) AS classes FROM ver WHERE prow % 2 = 0 AND pcol % 2 = 0 GROUP BY ALL""")

@@ -182,12 +182,23 @@ def j15(spark, d):
     return vectors.approximate_nearest(q, v, 8).select("query_id", "tile_id", F.round("score", 9).alias("score"), "place")
 
 
-@query("m02_kmeans")
+# cluster numbers are arbitrary: checked is that every tile is in the cluster whose mean vector is nearest
+@query("m02_kmeans", ["vectors"], "SELECT tile_id, true AS at_nearest FROM vectors")
 def m02(spark, d):
-    return clusters.kmeans_labels(vec(spark, d), 5)
-
-
-@query("m03_density_clusters")
+    labels = clusters.kmeans_labels(vec(spark, d), 5)
+    points = vec(spark, d).select("tile_id", vectors.unit(c("embedding")).alias("v")).join(labels, "tile_id")
+    centres = vectors.mean_vectors(points, ["label"], "v", "centre").agg(F.collect_list(F.struct("label", "centre")).alias("all"))  # five rows
+    away = F.transform("all", lambda x: F.struct(F.round(vectors.euclidean(c("v"), x["centre"]), 6).alias("d"), x["label"].alias("label")))
+    best = F.array_min(F.transform(away, lambda x: x["d"]))
+    own = F.element_at(F.filter(away, lambda x: x["label"] == c("label")), 1)["d"]
+    return points.join(F.broadcast(centres)).select("tile_id", (own <= best + 1e-3).alias("at_nearest"))
+
+
+@query("m03_density_clusters", ["vectors"], """WITH u AS (SELECT tile_id, list_transform(embedding, lambda x: round(x::DOUBLE / CASE WHEN n = 0 THEN 1 ELSE n END, 9)) AS v FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM vectors)),
+p AS MATERIALIZED (SELECT a.tile_id AS a, b.tile_id AS b FROM u a, u b WHERE list_distance(a.v, b.v) <= 0.9), core AS MATERIALIZED (SELECT a FROM p GROUP BY a HAVING count(*) >= 5),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), r(id, c) AS (SELECT a, a FROM core UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id), z AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS label FROM m GROUP BY c HAVING count(*) >= 5)
+SELECT tile_id, coalesce(label, -1) AS label FROM u LEFT JOIN m ON id = tile_id LEFT JOIN z USING (c)""")
 def m03(spark, d):
     return clusters.density_labels(vec(spark, d), 0.9, 5, 5)
 
@@ -205,5 +216,5 @@ def k08(spark, d):
     return sinks.write_and_read(out, "tiles_clustered").select("tile_id", "cluster_id")
 
 
-for _name in ("t03_distinct_places", "t09_image_search", "t02_similar_tiles"):
+for _name in ("m03_density_clusters", "t03_distinct_places", "t09_image_search", "t02_similar_tiles"):
     ORACLES[_name] = recursive(ORACLES[_name])

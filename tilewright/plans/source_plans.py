@@ -20,7 +20,7 @@ c = F.col
 def s01(spark, d):
     tiles = table(spark, d, "obs").select("tile_id", "region_id", c("acquisition_date").cast("date").alias("day"), "cloud_pct", "sensor")
     path = fresh_path(spark, "catalogue")
-    tiles.repartition("region_id", "day").write.partitionBy("region_id", "day").parquet(path)
+    tiles.hint("rebalance", "region_id", "day").write.partitionBy("region_id", "day").parquet(path)
     return readers.catalogue(spark, path, ["region_1", "region_5"], "2024-01-03", "2024-01-09").select("tile_id", "region_id", "day", "cloud_pct")
 
 
@@ -60,16 +60,17 @@ def s03(spark, d):
 
 @query("s04_aoi_registry", ["areas"], """SELECT aoi_id, year, '07-01/10-31' AS seasonal_window, CAST(aoi_no % 3 AS INT) AS priority FROM areas, unnest(CASE WHEN aoi_no % 2 = 0 THEN [2017, 2020, 2023] ELSE [2019] END) AS u(year)""")
 def s04(spark, d):
-    doc = """concat('{"version":"1","aois":[{"aoi_id":"', aoi_id, '","target_years":', CASE WHEN aoi_no % 2 = 0 THEN '[2017,2020,2023]' ELSE '[2019]' END, ',"seasonal_window":"07-01/10-31","priority":', aoi_no % 3, ',"status":"active"}]}') AS value"""
-    path = sinks.write_lines(table(spark, d, "areas").selectExpr(doc), "aoi_registry")
-    return readers.aoi_registry(spark.read.text(path), "value").select("aoi_id", "year", "seasonal_window", "priority")
+    entry = F.struct("aoi_id", F.expr("CASE WHEN aoi_no % 2 = 0 THEN array(2017, 2020, 2023) ELSE array(2019) END").alias("target_years"), F.lit("07-01/10-31").alias("seasonal_window"),
+                     F.expr("CAST(aoi_no % 3 AS INT)").alias("priority"), F.lit("active").alias("status"))
+    path = sinks.write_documents(table(spark, d, "areas"), F.expr("aoi_no div 50"), entry, c("aoi_no"), "aois", "aoi_registry")
+    return readers.aoi_registry(spark, path).select("aoi_id", "year", "seasonal_window", "priority")
 
 
 @query("s05_dataset_registry", ["registry"], "SELECT dataset_id, display_name, domain, modality, task, status, notes FROM registry")
 def s05(spark, d):
     df = table(spark, d, "registry").drop("entry_no")
-    path = sinks.write_lines(df.select(F.to_json(F.struct(F.lit("1").alias("version"), F.array(F.struct("*")).alias("datasets"))).alias("value")), "datasets")
-    return readers.dataset_registry(spark.read.text(path), "value").select("dataset_id", "display_name", "domain", "modality", "task", "status", "notes")
+    path = sinks.write_documents(table(spark, d, "registry"), F.expr("entry_no div 100"), F.struct(*df.columns), c("entry_no"), "datasets", "datasets")
+    return readers.dataset_registry(spark, path).select("dataset_id", "display_name", "domain", "modality", "task", "status", "notes")
 
 
 @query("s06_item_scan", ["items"], """SELECT item_id AS scene_id, CASE WHEN item_no % 3 = 0 THEN 'Sentinel-2' ELSE 'sentinel-2b' END AS sensor, CASE item_no % 4 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'EPSG:32643' ELSE 'EPSG:32644' END AS crs, coalesce(CASE WHEN item_no % 5 <> 0 THEN cloud_cover END, 0) AS cloud_cover,
@@ -129,9 +130,13 @@ def s10(spark, d):
 SELECT tile_id, cloud_pct, batch FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY batch DESC) AS k FROM (SELECT * FROM o UNION ALL SELECT * FROM n)) WHERE k = 1""")
 def k01(spark, d):
     tiles = table(spark, d, "obs")
-    old = tiles.where("obs_id % 5 <> 4").select("tile_id", "cloud_pct", F.lit(1).alias("batch"))
-    new = tiles.where("obs_id % 3 = 0").select("tile_id", (c("cloud_pct") / 2).alias("cloud_pct"), F.lit(2).alias("batch"))
-    return sinks.write_and_read(sinks.upsert(sinks.write_and_read(old, "tiles"), new, ["tile_id"], "batch"), "tiles")
+    places = [c("region_id"), c("acquisition_date").cast("date").alias("day")]
+    old = tiles.where("obs_id % 5 <> 4").select("tile_id", "cloud_pct", F.lit(1).alias("batch"), *places)
+    new = tiles.where("obs_id % 3 = 0").select("tile_id", (c("cloud_pct") / 2).alias("cloud_pct"), F.lit(2).alias("batch"), *places)
+    path = fresh_path(spark, "tiles")
+    old.hint("rebalance", "region_id", "day").write.partitionBy("region_id", "day").parquet(path)
+    sinks.upsert_in_place(spark, path, new, ["region_id", "day"], ["tile_id"], "batch")
+    return spark.read.parquet(path).select("tile_id", "cloud_pct", "batch")
 
 
 @query("k02_replace_sites", ["obs"], """SELECT site_key, tile_id, 'old' AS version FROM obs WHERE site_key NOT IN (SELECT site_key FROM obs WHERE quality_confidence > 0.99)
@@ -140,7 +145,10 @@ def k02(spark, d):
     tiles = table(spark, d, "obs")
     old = tiles.select("site_key", "tile_id", F.lit("old").alias("version"))
     new = tiles.where("quality_confidence > 0.99").select("site_key", "tile_id", F.lit("new").alias("version"))
-    return sinks.write_and_read(sinks.replace_sites(sinks.write_and_read(old, "events"), new, "site_key"), "events")
+    path = fresh_path(spark, "events")
+    sinks.site_buckets(old, "site_key").write.partitionBy("bucket").parquet(path)
+    sinks.replace_in_place(spark, path, new, "site_key")
+    return spark.read.parquet(path).select("site_key", "tile_id", "version")
 
 
 @query("k03_manifest_export", ["obs"], """SELECT region_id, strftime(acquisition_date, '%Y-%m-%d') AS day, count(*) AS total_tiles, count(*) FILTER (WHERE quality_confidence >= 0.70) AS passed, min(tile_id) AS first_tile FROM obs GROUP BY ALL""")
@@ -150,7 +158,7 @@ def k03(spark, d):
     tiles = table(spark, d, "obs").withColumn("day", F.date_format("acquisition_date", "yyyy-MM-dd"))
     docs = sinks.manifests(tiles, ["region_id", "day"], record, c("obs_id"))
     path = fresh_path(spark, "export")
-    docs.withColumns({"region": c("region_id"), "date": c("day")}).repartition("region", "date").write.partitionBy("region", "date").json(path)
+    docs.withColumns({"region": c("region_id"), "date": c("day")}).hint("rebalance", "region", "date").write.partitionBy("region", "date").json(path)
     back = spark.read.schema("region_id string, day string, total_tiles bigint, tiles array<struct<tile_id: string, quality: struct<passed_gate: boolean>>>").json(path)
     return back.select("region_id", "day", "total_tiles", F.inline("tiles")).groupBy("region_id", "day", "total_tiles").agg(
         F.count_if("quality.passed_gate").alias("passed"), F.min("tile_id").alias("first_tile"))
@@ -159,7 +167,7 @@ def k03(spark, d):
 @query("k04_tile_partitions", ["obs"], "SELECT region_id, CAST(acquisition_date AS DATE) AS day, count(*) AS tiles FROM obs GROUP BY ALL")
 def k04(spark, d):
     tiles = table(spark, d, "obs").select("tile_id", "region_id", c("acquisition_date").cast("date").alias("day"), "mean_ndvi")
-    return sinks.write_and_read(tiles.repartition("region_id", "day"), "tile_data", ["region_id", "day"]).groupBy("region_id", "day").agg(F.count(F.lit(1)).alias("tiles"))
+    return sinks.write_and_read(tiles.hint("rebalance", "region_id", "day"), "tile_data", ["region_id", "day"]).groupBy("region_id", "day").agg(F.count(F.lit(1)).alias("tiles"))
 
 
 @query("k05_feature_export", ["obs"], """SELECT site_key, count(*) AS features, round(max(centroid_lon + 0.0256), 6) AS east FROM obs GROUP BY site_key""")

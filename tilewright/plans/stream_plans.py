@@ -27,15 +27,16 @@ def replay(spark, df, order: str, run, slices: int = 3) -> None:
         run(jobs.file_stream(spark, path, df.schema), checkpoint)
 
 
-@query("z01_incremental_ingest", ["obs"], """SELECT tile_id, round(1 - cloud_pct, 4) AS quality, quality_confidence >= 0.7 AS passed_gate FROM obs""")
+@query("z01_incremental_ingest", ["obs"], """SELECT tile_id, CASE WHEN cloud_pct < 0.1 THEN 2 ELSE 1 END AS version, round(1 - CASE WHEN cloud_pct < 0.1 THEN cloud_pct / 2 ELSE cloud_pct END, 4) AS quality, quality_confidence >= 0.7 AS passed_gate FROM obs""")
 def z01(spark, d):
-    tiles = table(spark, d, "obs").select("tile_id", "cloud_pct", "quality_confidence", "acquisition_date")
-    # a tenth of the tiles is delivered twice
-    sent = tiles.unionByName(tiles.where("cloud_pct < 0.1"))
+    tiles = table(spark, d, "obs").select("tile_id", "cloud_pct", "quality_confidence", "acquisition_date", F.lit(1).alias("version"))
+    # a tenth of the tiles has a second version, in the same batch or a late one, some of them before the first
+    again = tiles.where("cloud_pct < 0.1").withColumns({"version": F.lit(2), "cloud_pct": c("cloud_pct") / 2, "acquisition_date": F.when(c("cloud_pct") < 0.05, c("acquisition_date")).otherwise(
+        c("acquisition_date") + F.make_interval(days=F.when(c("cloud_pct") < 0.07, F.lit(200)).otherwise(F.lit(-200))))})
     path = fresh_path(spark, "tiles")
     quality = lambda df: df.withColumns({"quality": F.round(1 - c("cloud_pct"), 4), "passed_gate": c("quality_confidence") >= 0.7})
-    replay(spark, sent, "acquisition_date", lambda stream, checkpoint: jobs.ingest_tiles(stream, checkpoint, path, quality))
-    return jobs.latest(spark, path, ["tile_id"]).select("tile_id", "quality", "passed_gate")
+    replay(spark, tiles.unionByName(again), "acquisition_date", lambda stream, checkpoint: jobs.ingest_tiles(stream, checkpoint, path, quality, "version"))
+    return jobs.latest_by(spark, path, ["tile_id"], "version").select("tile_id", "version", "quality", "passed_gate")
 
 
 @query("z02_predecessor_pairs", ["obs"], """WITH r AS (SELECT site_key, obs_id AS before_id, mean_ndbi AS b, acquisition_date AS d1, lead(obs_id) OVER w AS after_id, lead(mean_ndbi) OVER w AS a, lead(acquisition_date) OVER w AS d2 FROM obs WHERE quality_confidence >= 0.3 WINDOW w AS (PARTITION BY site_key ORDER BY acquisition_date, obs_id))

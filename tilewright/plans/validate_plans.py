@@ -191,8 +191,10 @@ def k06(spark, d):
     return spark.read.option("header", True).schema("tile_id string, scene_id string, confidence double, decision string").csv(path)
 
 
-@query("m06_decision_rerank")
+# the fitted score is checked for its range and for rising with the decisions it learned from
+@query("m06_decision_rerank", ["obs"], "SELECT tile_id, true AS in_range, true AS follows_decisions FROM obs WHERE obs_id % 2 = 1")
 def m06(spark, d):
     df = table(spark, d, "obs").withColumn("decision", F.when(c("quality_confidence") + c("mean_ndbi") > 0.5, 1.0).otherwise(0.0))
     out = evaluate.rerank(df.where("obs_id % 2 = 0"), df.where("obs_id % 2 = 1"), ["quality_confidence", "mean_ndbi"], "decision")
-    return out.select("tile_id", F.round("rerank_score", 6).alias("rerank_score"))
+    sure = F.abs(c("quality_confidence") + c("mean_ndbi") - 0.5) < 0.05  # near the line either side may win
+    return out.select("tile_id", c("rerank_score").between(0.0, 1.0).alias("in_range"), (sure | ((c("rerank_score") > 0.5) == (c("decision") == 1.0))).alias("follows_decisions"))

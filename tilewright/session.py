@@ -29,6 +29,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "8
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.driver.extraJavaOptions", "-Dlog4j2.level=ERROR")
         .getOrCreate()
     )
@@ -61,6 +62,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint, so a lost executor never restarts an iterative job."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Store the rows in the shared folder and read them back, so that a lost executor never
+    restarts an iterative job. Columnar and compressed, so later steps read only their columns."""
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this package has stored below the shared folder; for the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark).rstrip("/"), "tilewright"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -66,15 +66,28 @@ def areas(documents: DataFrame, text: str = "document") -> DataFrame:
     return df.withColumns(dict(zip(("min_lon", "min_lat", "max_lon", "max_lat"), bounds)))
 
 
-def aoi_registry(documents: DataFrame, text: str = "document") -> DataFrame:
+DATASET_REGISTRY = "version string, datasets array<struct<" + ", ".join(f"{f}: string" for f in K.REGISTRY_FIELDS) + ">>"
+
+
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per file, each a JSON document of any layout; ``_unreadable`` holds the text of a broken one."""
+    return spark.read.schema(schema + ", _unreadable string").json(path, multiLine=True, recursiveFileLookup=True, columnNameOfCorruptRecord="_unreadable")
+
+
+def unreadable_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files that hold no such document."""
+    docs = json_documents(spark, path, schema).withColumn("file", F.input_file_name())
+    return docs.where("_unreadable IS NOT NULL").select("file", "_unreadable")
+
+
+def aoi_registry(spark: SparkSession, path: str) -> DataFrame:
     """One row per registered area and target year."""
-    df = documents.select(F.inline(F.from_json(text, AOI_REGISTRY)["aois"]))
+    df = json_documents(spark, path, AOI_REGISTRY).select(F.inline("aois"))
     return df.withColumn("year", F.explode("target_years")).drop("target_years")
 
 
-def dataset_registry(documents: DataFrame, text: str = "document") -> DataFrame:
-    fields = ", ".join(f"{f}: string" for f in K.REGISTRY_FIELDS)
-    return documents.select(F.inline(F.from_json(text, f"version string, datasets array<struct<{fields}>>")["datasets"]))
+def dataset_registry(spark: SparkSession, path: str) -> DataFrame:
+    return json_documents(spark, path, DATASET_REGISTRY).select(F.inline("datasets"))
 
 
 def items(documents: DataFrame, text: str = "document") -> DataFrame:

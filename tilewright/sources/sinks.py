@@ -28,6 +28,34 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], batch: str) -> DataFr
     return latest_version(old.unionByName(new), key, F.col(batch))
 
 
+def _touched(spark: SparkSession, path: str, new: DataFrame, parts: list[str]) -> DataFrame:
+    """The stored rows of the partitions that ``new`` has rows for; other folders aren't opened."""
+    return spark.read.parquet(path).join(new.select(*parts).distinct(), parts, "left_semi")
+
+
+def _overwrite(df: DataFrame, path: str, parts: list[str]) -> None:
+    """Replace the partitions that ``df`` has rows of. It is stored first, because it is made from them."""
+    stored = write_and_read(df, "staged")
+    stored.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def upsert_in_place(spark: SparkSession, path: str, new: DataFrame, parts: list[str], key: list[str], batch: str) -> None:
+    """Merge ``new`` into a table stored by ``parts`` (functions of the key): only partitions with new rows are rewritten."""
+    merged = upsert(_touched(spark, path, new, parts).select(*new.columns), new, [*parts, *key], batch)
+    _overwrite(merged, path, parts)
+
+
+def site_buckets(rows: DataFrame, site: str, buckets: int = 64) -> DataFrame:
+    """Add the partition column of tables kept by site."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(site), F.lit(buckets)).cast("int"))
+
+
+def replace_in_place(spark: SparkSession, path: str, new: DataFrame, site: str, buckets: int = 64) -> None:
+    """All stored rows of the sites in ``new`` replaced by its rows: only their buckets are rewritten."""
+    new = site_buckets(new, site, buckets)
+    _overwrite(replace_sites(_touched(spark, path, new, ["bucket"]).select(*new.columns), new, site), path, ["bucket"])
+
+
 def replace_sites(old: DataFrame, new: DataFrame, site: str) -> DataFrame:
     """All rows of the sites in ``new`` replaced by its rows."""
     return old.join(new.select(site).distinct(), site, "left_anti").unionByName(new)
@@ -47,6 +75,15 @@ def feature_lines(df: DataFrame, ring: Column, properties: list[str]) -> DataFra
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
+def write_documents(rows: DataFrame, number: Column, entry: Column, order: Column, name: str, folder: str) -> str:
+    """Pretty-printed JSON documents of a bounded number of entries each, one per file."""
+    listed = rows.groupBy(number.alias("document")).agg(F.sort_array(F.collect_list(F.struct(order.alias("_o"), entry.alias("_e")))).alias("_l"))
+    text = F.to_json(F.struct(F.lit("1").alias("version"), F.transform("_l", lambda x: x["_e"]).alias(name)), {"pretty": "true"})
+    path = fresh_path(rows.sparkSession, folder)
+    listed.select("document", text.alias("value")).repartition("document").write.partitionBy("document").text(path)
+    return path
+
+
 def write_lines(lines: DataFrame, name: str) -> str:
     path = fresh_path(lines.sparkSession, name)
     lines.write.text(path)

@@ -38,9 +38,14 @@ def latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     return latest_version(spark.read.parquet(path), key, F.col("batch"))
 
 
-def ingest_tiles(stream: DataFrame, checkpoint: str, path: str, quality: Callable[[DataFrame], DataFrame]) -> None:
-    """New tiles with their quality columns, upserted by tile id."""
-    run_batches(stream, checkpoint, lambda df, batch: write_batch(quality(df).dropDuplicates(["tile_id"]), path, batch))
+def ingest_tiles(stream: DataFrame, checkpoint: str, path: str, quality: Callable[[DataFrame], DataFrame], version: str) -> None:
+    """New tiles with their quality columns, upserted by tile id; of several versions in a batch the greatest stays."""
+    run_batches(stream, checkpoint, lambda df, batch: write_batch(latest_version(quality(df), ["tile_id"], F.col(version)), path, batch))
+
+
+def latest_by(spark: SparkSession, path: str, key: list[str], version: str) -> DataFrame:
+    """One row per key over all batches: the greatest version, of equal ones the newest batch."""
+    return latest_version(spark.read.parquet(path), key, F.struct(version, "batch"))
 
 
 def compare_with_predecessor(stream: DataFrame, checkpoint: str, pairs_path: str, late_path: str, state_path: str, site: str, when: str,
