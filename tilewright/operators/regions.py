@@ -51,17 +51,16 @@ def _blocked(pixels: DataFrame, block: int) -> DataFrame:
 def label_components(pixels: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     """4-connected components of the given pixels as (key, prow, pcol, component)."""
     types = dict(pixels.dtypes)
-    fields = ", ".join([f"{k} {types[k]}" for k in key] + ["prow bigint", "pcol bigint", "part string"])
+    fields = ", ".join([f"{k} {types[k]}" for k in key] + ["prow bigint", "pcol bigint", "_r bigint", "_c bigint"])
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         first_row, first_col = _local_labels(pdf["prow"].to_numpy(), pdf["pcol"].to_numpy())
-        head = "|".join(str(pdf[k].iloc[0]) for k in key)
-        part = [f"{head}|{r}|{c}" for r, c in zip(first_row, first_col)]
-        return pd.DataFrame({**{k: pdf[k] for k in key}, "prow": pdf["prow"], "pcol": pdf["pcol"], "part": part})
+        return pd.DataFrame({**{k: pdf[k] for k in key}, "prow": pdf["prow"], "pcol": pdf["pcol"], "_r": first_row, "_c": first_col})
 
     groups = [*key, "_br", "_bc"]
     keyed = _blocked(pixels.select(*key, F.col("prow").cast("bigint"), F.col("pcol").cast("bigint")), block)
-    labelled = cut_lineage(keyed.groupBy(*groups).applyInPandas(local, fields))
+    labelled = keyed.groupBy(*groups).applyInPandas(local, fields)
+    labelled = cut_lineage(labelled.select(*key, "prow", "pcol", F.concat_ws("|", *key, "_r", "_c").alias("part")))
     border = None
     for axis in ("prow", "pcol"):
         low = labelled.where(F.pmod(F.col(axis), F.lit(block)) == block - 1).select(
@@ -119,7 +118,7 @@ def region_features(classified: DataFrame, key: list[str], height: Column | int,
         *[F.bround(F.col(f"at.{n}_{s}"), 3).alias(f"{n}_{s}") for s in "ba" for n in ("ndvi", "ndbi", "ndwi")],
     ).where(F.col("change_type").isin(K.MAJOR_TYPES))
     features = features.withColumn("transition_label", change.transition_label(F.col("class_b"), F.col("class_a"), F.col("change_type")))
-    return features, labelled
+    return cut_lineage(features), labelled  # stored once: boxes go over them several times
 
 
 # unit sides around a pixel with the region on the right hand: neighbour (row, column), start and end corner (column, row)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..operators import grids, pairs, regions
+from ..session import cut_lineage
 from .change_plans import WATER_SQL, classified
 from .registry import ORACLES, query, recursive
 from .sqltext import CHANGE
@@ -39,7 +40,7 @@ _cols = ["area_px", "area_m2", "r0", "c0", "x", "y", "w", "h", "change_type", "c
 
 
 def features_of(spark, d):
-    px = classified(spark, d)
+    px = cut_lineage(classified(spark, d))  # classified once for the features, the water extent and the envelope
     features, labelled = regions.region_features(px, ["site_id"], SIZE, SIZE, F.lit(23.0) + c("site_id") * 0.01)
     return px, features, labelled
 
