@@ -33,10 +33,12 @@ def change_metrics(pixels: DataFrame, predicted: str, actual: str) -> DataFrame:
                      ratio(2 * tp, p + a).alias("f1"), ratio(tp, p + a - tp).alias("iou"))
 
 
-def latency_report(log: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Median and 95th percentile, count and total."""
-    return log.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"), F.percentile(value, F.lit(0.5)).alias("p50"),
-                                 F.percentile(value, F.lit(0.95)).alias("p95"), F.sum(value).alias("total"))
+def latency_report(log: DataFrame, key: list[str], value: str, digits: int = 3) -> DataFrame:
+    """Median and 95th percentile, count and total. Values are counted at ``digits`` decimals first, so the
+    percentiles see one row per distinct value, summed before the shuffle, and not the log."""
+    counted = log.withColumn("_v", F.round(value, digits)).groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_t"))
+    return counted.groupBy(*key).agg(F.sum("_n").alias("runs"), F.percentile("_v", F.lit(0.5), F.col("_n")).alias("p50"),
+                                     F.percentile("_v", F.lit(0.95), F.col("_n")).alias("p95"), F.sum("_t").alias("total"))
 
 
 def review_queue(items: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -62,7 +64,7 @@ def ordered_bands(files: DataFrame, scene: list[str], priority: dict[str, int])
     df = files.groupBy(*scene, "band").agg(
         F.min("min_lon").alias("x0"), F.min("min_lat").alias("y0"), F.max("max_lon").alias("x1"), F.max("max_lat").alias("y1"),
         F.min(F.struct("file_no", "crs")).alias("c"), F.min("file_no").alias("no"))
-    # a scene has a handful of distinct band roles, so the list is small however many files it has
+    # one entry per distinct band name of the scene; files that share a name share an entry
     return df.groupBy(*scene).agg(
         F.min("x0").alias("min_lon"), F.min("y0").alias("min_lat"), F.max("x1").alias("max_lon"), F.max("y1").alias("max_lat"),
         F.min("c")["crs"].alias("crs"), F.sort_array(F.collect_list(F.struct(rank.alias("r"), F.col("no"), F.col("band")))).alias("_b")).withColumn(

@@ -108,6 +108,7 @@ def _scan_scores(head: list, vectors: DataFrame, k: int, keep: list[str]) -> Dat
 
     def score(batches):
         matrix = shared.value
+        best: dict[tuple, list] = {}  # per label and query the k best of the task so far
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -117,16 +118,25 @@ def _scan_scores(head: list, vectors: DataFrame, k: int, keep: list[str]) -> Dat
             groups = {}
             for position, label in enumerate(labels):
                 groups.setdefault(label, []).append(position)
-            columns = {"query_id": [], **{c: [] for c in keep}, "tile_id": [], "score": []}
             for label, rows in groups.items():
                 rows = np.asarray(rows)
-                for j, query in enumerate(ids):
+                kept = best.setdefault(label, [None] * len(ids))
+                for j in range(len(ids)):
                     picked = rows[_best(scores[rows, j], names[rows], k)]
-                    columns["query_id"] += [query] * len(picked)
-                    for c, value in zip(keep, label):
-                        columns[c] += [value] * len(picked)
-                    columns["tile_id"] += names[picked].tolist()
-                    columns["score"] += scores[picked, j].tolist()
+                    found, named = scores[picked, j], names[picked]
+                    if kept[j] is not None:
+                        found, named = np.concatenate([kept[j][0], found]), np.concatenate([kept[j][1], named])
+                        again = _best(found, named, k)
+                        found, named = found[again], named[again]
+                    kept[j] = found, named
+        for label, kept in best.items():
+            columns = {"query_id": [], **{c: [] for c in keep}, "tile_id": [], "score": []}
+            for query, (found, named) in zip(ids, kept):
+                columns["query_id"] += [query] * len(found)
+                for c, value in zip(keep, label):
+                    columns[c] += [value] * len(found)
+                columns["tile_id"] += named.tolist()
+                columns["score"] += found.tolist()
             yield pa.RecordBatch.from_pydict(columns)
 
     return vectors.select(*keep, "tile_id", "embedding").mapInArrow(score, fields)
