@@ -13,6 +13,19 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFra
     """Precision, recall and nDCG at k per query. ``ranked`` has query_id, tile_id, rank (1-based)."""
     wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     hits = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", "tile_id").withColumn("_hit", F.lit(1)), ["query_id", "tile_id"], "left")
+    return _at_k(hits, wanted, k)
+
+
+def cluster_metrics(ranked: DataFrame, seeds: DataFrame, members: DataFrame, cluster: str, k: int) -> DataFrame:
+    """As ``retrieval_metrics``, with all members of the seed's cluster relevant. Labels are joined to the
+    k hits and counted per cluster, so the relevant pairs themselves are never made."""
+    sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("relevant"))
+    wanted = seeds.select("query_id", F.col(cluster).alias("_own")).join(sizes, F.col("_own") == F.col(cluster)).select("query_id", "_own", "relevant")
+    hits = ranked.where(F.col("rank") <= k).join(members.select("tile_id", cluster), "tile_id").join(wanted.select("query_id", "_own"), "query_id")
+    return _at_k(hits.withColumn("_hit", F.when(F.col(cluster) == F.col("_own"), 1)), wanted, k)
+
+
+def _at_k(hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     gain = F.col("_hit") / F.log2(F.col("rank") + 1)
     per = hits.groupBy("query_id").agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("hits"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))

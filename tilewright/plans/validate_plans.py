@@ -135,8 +135,7 @@ def a23(spark, d):
     v = vec(spark, d)
     ranked = search.search_vectors(queries_of(spark, d), v, 5)
     seeds = v.where("vec_id % 4 = 0").selectExpr("concat('q_', CAST(floor(vec_id / 4) AS BIGINT)) AS query_id", "cluster_no")
-    relevant = seeds.join(v.select("cluster_no", "tile_id"), "cluster_no").select("query_id", "tile_id")
-    out = evaluate.retrieval_metrics(ranked, relevant, 10)
+    out = evaluate.cluster_metrics(ranked, seeds, v.select("cluster_no", "tile_id"), "cluster_no", 10)
     return out.select("query_id", "precision", F.round("recall", 9).alias("recall"), F.round("ndcg", 9).alias("ndcg"))
 
 
