@@ -43,12 +43,12 @@ def z01(spark, d):
 SELECT site_key, before_id, after_id, CAST(floor((epoch_us(d2) - epoch_us(d1)) / 86400000000.0) AS BIGINT) AS elapsed_days, round(a - b, 6) AS delta_mean_ndbi FROM r WHERE after_id IS NOT NULL""")
 def z02(spark, d):
     usable = table(spark, d, "obs").where("quality_confidence >= 0.3").select("site_key", "obs_id", "acquisition_date", "mean_ndbi")
-    out, late, state = (fresh_path(spark, n) for n in ("pairs", "late", "state"))
+    out, late, state, history = (fresh_path(spark, n) for n in ("pairs", "late", "state", "history"))
     # a few observations are stamped as delivered earlier than they were taken, so they arrive late
     sent = usable.withColumn("delivered", F.expr("CASE WHEN site_key IN ('site_3', 'site_40') THEN acquisition_date + make_interval(0, 0, 0, CAST(obs_id % 20 AS INT)) ELSE acquisition_date END"))
     fields = ("site_key", "acquisition_date", "obs_id", ["mean_ndbi"])
-    replay(spark, sent, "delivered", lambda stream, checkpoint: jobs.compare_with_predecessor(stream, checkpoint, out, late, state, *fields))
-    pairs_found = jobs.settled_pairs(spark.read.parquet(out), spark.read.parquet(late), usable, *fields)
+    replay(spark, sent, "delivered", lambda stream, checkpoint: jobs.compare_with_predecessor(stream, checkpoint, out, late, state, history, *fields))
+    pairs_found = jobs.settled_pairs(spark.read.parquet(out), spark.read.parquet(late), spark.read.parquet(history), *fields)
     return pairs_found.select("site_key", "before_id", "after_id", "elapsed_days", F.round("delta_mean_ndbi", 6).alias("delta_mean_ndbi"))
 
 

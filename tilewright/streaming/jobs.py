@@ -48,39 +48,58 @@ def latest_by(spark: SparkSession, path: str, key: list[str], version: str) -> D
     return latest_version(spark.read.parquet(path), key, F.struct(version, "batch"))
 
 
-def compare_with_predecessor(stream: DataFrame, checkpoint: str, pairs_path: str, late_path: str, state_path: str, site: str, when: str,
+def compare_with_predecessor(stream: DataFrame, checkpoint: str, pairs_path: str, late_path: str, state_path: str, history_path: str, site: str, when: str,
                              tie: str, indices: list[str]) -> None:
     """Each usable observation against its predecessor at the site, as it arrives.
 
-    The state is one row per site: the last usable observation, stored per batch. A row
-    older than its site's state goes to the late table, from which pairs are recomputed.
-    Rows of one site are ordered in monthly spans, so a busy site is many tasks.
+    A batch writes its rows to the history, and to the state the last usable observation of each site it
+    has rows of: other sites' state isn't touched. The state of a site is its newest row of the earlier batches,
+    so a replayed batch sees what it saw at first. A row older than its site's state, or
+    without a date, goes to the late table, from which pairs are recomputed. Rows of one
+    site are ordered in monthly spans, so a busy site is many tasks.
     """
     columns = [site, when, tie, *indices]
 
     def handle(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        rows = df.select(*columns)
+        rows = df.select(*columns).persist()  # read for the history, the late rows, the pairs and the state
+        write_batch(rows, history_path, batch)
+        fresh_rows = rows.where(F.col(when).isNotNull())
+        late = rows.where(F.col(when).isNull())
         if batch > 0:
-            state = spark.read.parquet(f"{state_path}/batch={batch - 1}").select(*columns)
-            known = state.select(site, F.struct(when, tie).alias("_last"))
-            tagged = rows.join(known, site, "left")
+            earlier = spark.read.parquet(state_path).where(F.col("batch") < batch)
+            state = latest_version(earlier.join(rows.select(site).distinct(), site, "left_semi"), [site], F.struct(when, tie)).select(*columns)
+            tagged = fresh_rows.join(state.select(site, F.struct(when, tie).alias("_last")), site, "left")
             fresh = F.col("_last").isNull() | (F.struct(when, tie) > F.col("_last"))
-            write_batch(tagged.where(~fresh).drop("_last"), late_path, batch)
-            rows = state.withColumn("_old", F.lit(True)).unionByName(tagged.where(fresh).drop("_last").withColumn("_old", F.lit(False)))
-        else:
-            rows = rows.withColumn("_old", F.lit(False))
-        ordered = in_sequence(rows, [site], when, tie, indices)
+            late = late.unionByName(tagged.where(~fresh).drop("_last"))
+            fresh_rows = state.unionByName(tagged.where(fresh).drop("_last"))
+        write_batch(late, late_path, batch)
+        ordered = in_sequence(fresh_rows, [site], when, tie, indices)
         found = ordered.where(F.col("next_row").isNotNull()).select(
             site, F.col(tie).alias("before_id"), F.col("next_row")[tie].alias("after_id"),
             elapsed_days(F.col(when), F.col("next_row")[when]).alias("elapsed_days"),
             *[(F.col("next_row")[n] - F.col(n)).alias(f"delta_{n}") for n in indices])
         write_batch(found, pairs_path, batch)
-        write_batch(latest_version(rows.select(*columns), [site], F.struct(when, tie)).select(*columns), state_path, batch)
+        write_batch(latest_version(fresh_rows.select(*columns), [site], F.struct(when, tie)).select(*columns), state_path, batch)
+        rows.unpersist()
 
     run_batches(stream, checkpoint, handle)
 
 
+def compact(spark: SparkSession, path: str, key: list[str], version: list[str], upto: int) -> None:
+    """Rewrite the batches 0..upto of a table read by its newest version as batch ``upto`` alone."""
+    stored = spark.read.parquet(path).where(F.col("batch") <= upto)
+    merged = sorted(r["batch"] for r in stored.select("batch").distinct().collect() if r["batch"] < upto)
+    newest = latest_version(stored, key, F.struct(*version, "batch")).drop("batch")
+    staged = f"{path}-compacted-{upto}"
+    newest.write.mode("overwrite").parquet(staged)
+    write_batch(spark.read.parquet(staged), path, upto)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for batch in merged:
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}"), True)
+
+
 def settled_pairs(found: DataFrame, late: DataFrame, history: DataFrame, site: str, when: str, tie: str, indices: list[str]) -> DataFrame:
     """Pairs of all sites: as found on arrival, or recomputed where an observation came late."""
     touched = late.select(site).distinct()
