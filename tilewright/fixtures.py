@@ -1,8 +1,10 @@
 """Domain tables as deterministic projections of the sample parquet tables.
 
 The sample data holds no imagery, so tiles, pixels, vectors and scenes are
-computed from its rows. Each text is plain SQL with ``{table}`` placeholders: the
-same text runs in Spark (``table``) and in the DuckDB check (``cte``).
+computed from its rows. Each text is SQL with ``{table}`` placeholders and runs in Spark
+(``table``) and in the DuckDB check (``cte``), but for the words of ``_SPARK_TEXT`` and
+``_DUCKDB_TEXT``: array types, exploding a list and looking up its n-th value are spelt
+differently by the two.
 """
 
 from __future__ import annotations
