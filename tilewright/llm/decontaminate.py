@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import NOT_SPACE, Texts, Words, distinct, hit, shingles, signed
-from .store import bitmap, materialise
+from .store import bitmap, materialise, without
 
 WIDTH = 5
 
@@ -97,6 +97,5 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that hold no item. Rows with null ids are judged together."""
-    bad = contained(docs, items, percent).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that hold no item. Rows with null ids can't be told apart and stay."""
+    return without(docs, contained(docs, items, percent))

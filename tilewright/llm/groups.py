@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, materialise
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +55,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).distinct()
-        edges, before = materialise(small, "links"), mark
+        done, edges, before = edges, materialise(small, "links"), mark
         mark = _mark(edges)
+        discard(done)
         if mark == before:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -13,7 +13,7 @@ apart by 64-bit hashes.
 4. *Scoring*: each document is read as a whole, its state carried across windows. Another word's
    probability is that of the symbol times the word's share among all other words, add-half
    smoothed; so every text has a probability.
-5. Counts of the ``known`` most frequent tokens (a bound on the broadcast) are looked up in the
+5. Counts of the most frequent tokens (at most ``known``, a bound on the broadcast) are looked up in the
    tasks. Rarer words are joined with the counts by hash, one row per document and word.
 
 Null texts hold only the end. Null ids belong to no held-out part. Repeated rows are scored
@@ -58,9 +58,14 @@ class Lexicon:
     def __init__(self, counts: DataFrame, known: int, vocabulary: int):
         totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.tokens, self.distinct = totals.n, totals.v
-        top = counts.orderBy(F.desc("n"), "code").limit(known).toPandas()
+        # counts fall into some hundred classes; those from the top are taken while they hold at most ``known`` tokens
+        counts = counts.withColumn("size", F.floor(F.log2("n") * 16))
+        sizes = sorted(counts.groupBy("size").agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["size"])
+        held = np.cumsum([r["v"] for r in sizes])
+        least = ([0] + [r["size"] for r, v in zip(sizes, held) if v <= known])[-1] if len(sizes) and held[0] <= known else None
+        top = counts.where(F.lit(False) if least is None else F.col("size") >= least).select("code", "n").toPandas().sort_values(["n", "code"], ascending=[False, True], ignore_index=True)
         if END not in top["code"].values:  # always known, however rare
-            top = pd.concat([top, counts.where(F.col("code") == END).toPandas()], ignore_index=True)
+            top = pd.concat([top, counts.where(F.col("code") == END).select("code", "n").toPandas()], ignore_index=True)
         self.codes, self.counts = top["code"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64)
         chosen = self.codes[:vocabulary]
         if END not in chosen:

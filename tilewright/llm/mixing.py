@@ -213,11 +213,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     single blanks, documents in stream order), n_words and doc_ids (those it holds words of)."""
     schema = "shard bigint, source string, block bigint, round int, text string, n_words bigint, doc_ids array<bigint>"
     spark = docs.sparkSession
-    sized = materialise(_measured(docs, "text"), "mix-texts")
+    sized = materialise(_measured(docs), "mix-sizes")
     sources = plan_sources(sized, list(weights), most, block_words, max_sources)
     if not any(s.slots for s in sources):
         return spark.createDataFrame([], schema)
-    streams = in_streams(sized.where("size > 0"), sources, sized.count())
+    # texts are read again rather than stored again; their sums come from their sizes
+    streams = in_streams(_measured(docs, "text").where("size > 0"), sources, sized.count())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from .groups import components
 from .kernel import NOT_SPACE, PLACE, STEP, Texts, Words, distinct, hit, mix, shingles, signed, step
-from .store import bitmap, materialise
+from .store import bitmap, discard, folded, folded_column, materialise, without
 
 U = np.uint64
-SLOTS, BANDS, BLOCK = 128, 32, 256
+SLOTS, BANDS, BLOCK = 128, 32, 1024
 UNSET = U(2**64 - 1)
 
 
@@ -102,20 +102,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SKETCH = "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"
 
 
-def folded(ids: np.ndarray) -> np.ndarray:
-    """Document ids as bitmap places; ``_folded`` is the same for Spark."""
-    ids = np.ascontiguousarray(ids).view(U)
-    return ids ^ (ids >> U(24))
-
-
-def _folded(column: str) -> F.Column:
-    return F.col(column).bitwiseXOR(F.shiftrightunsigned(column, 24))
-
-
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and codes (the set's sorted hashes) of the documents in ``ids``. A bitmap of fixed size
     keeps most other texts from being cut up; the join behind it is exact."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(_folded("doc_id").alias("hash"))))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(folded_column("doc_id").alias("hash"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +128,7 @@ def enough(common, x, y, percent: int):
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets overlap enough: 100 * common >= percent * union."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = sets_of(docs, materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +143,9 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("codes").alias(f"codes_{k}")) for k in ("a", "b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "codes_a", "codes_b")
-    return both.mapInArrow(check, "a bigint, b bigint")
+    links = materialise(both.mapInArrow(check, "a bigint, b bigint"), "verified")
+    discard(sets)
+    return links
 
 
 def linkable(sets: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     buckets = materialise(banded.join(hubs, "code"), "buckets")
     stars = buckets.where("doc_id != lead").groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"))
     first = stars.groupBy("doc_id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-    links = materialise(verified(docs, first, percent), "verified")
+    links = verified(docs, materialise(first, "stars"), percent)
     labels = materialise(components(links, "a", "b"), "labels")
 
     placed = buckets.select("code", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -270,7 +262,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         sets = sets_of(docs, members.select("doc_id").distinct())
         members = _open(members.join(linkable(sets, percent), "doc_id"))
         links = links.unionByName(materialise(across(members, sets, percent), "links-across"))
+        discard(sets, labels)
         labels = components(links, "a", "b")
+    discard(buckets)
 
     out = sketch.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
@@ -281,8 +275,7 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` without the documents of a group that aren't its smallest id; rows that share an id are
     one document, of which any row stays. Rows with null ids stay."""
     found = materialise(near_duplicates(docs, percent).select("doc_id", "kept").where("doc_id IS NOT NULL"), "groups")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    left = without(docs, found.where("NOT kept"))
     repeated = materialise(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated")
     if repeated.isEmpty():
         return left

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import ALPHANUMERIC, Texts, Words, byte_class, distinct
-from .store import materialise
+from .store import discard, materialise, without
 
 U = np.uint64
 BUCKET_BITS = 17  # word counts are kept per bucket of the hash: a bound on the table
@@ -197,7 +197,7 @@ def assess(docs: DataFrame, labels: DataFrame, limit: float = 0.5, fit_rows: int
     sample = sample.select(F.col("doc_id").alias("_id"), F.col("bad").alias("own_bad"), F.col("toxic").alias("own_toxic"))
     own = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"], "left")  # about fit_rows rows of 16 bytes
     evidence = count_words(own.where("_id IS NOT NULL").select("text", F.col("own_bad").alias("bad"), F.col("own_toxic").alias("toxic")))
-    found = materialise(features(own, evidence), "features")
+    found = measured = materialise(features(own, evidence), "features")
 
     fitted = found.where("own_bad IS NOT NULL OR own_toxic IS NOT NULL").select("own_bad", "own_toxic", *FEATURES).toPandas()
     found = found.drop("own_bad", "own_toxic").join(labels, "doc_id", "left")
@@ -213,6 +213,7 @@ def assess(docs: DataFrame, labels: DataFrame, limit: float = 0.5, fit_rows: int
     found = found.select("doc_id", "host", "path", "e_bad", "e_toxic", F.coalesce(F.col("bad").cast("double"), chance(F.col("e_bad"))).alias("y_bad"),
                          F.coalesce(F.col("toxic").cast("double"), chance(F.col("e_toxic"))).alias("y_toxic"))
     found = materialise(found, "evidence")
+    discard(measured)
     for name in ("bad", "toxic"):
         found = shrunk(found, name)
         rate = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(f"rate_{name}")))
@@ -224,5 +225,4 @@ def assess(docs: DataFrame, labels: DataFrame, limit: float = 0.5, fit_rows: int
 def keep_good(docs: DataFrame, labels: DataFrame, host, path) -> DataFrame:
     """``docs`` without the rejected ones; rows with null ids stay."""
     judged = assess(docs.withColumns({"host": host, "path": path}), labels)
-    bad = materialise(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"].cast("bigint") == bad["_bad"], "left_anti")
+    return without(docs, judged.where(~F.col("kept")))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from .kernel import BITS
+from .kernel import BITS, hit
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -15,7 +16,51 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a read, and later uses don't compute it again."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folded(ids: np.ndarray) -> np.ndarray:
+    """Document ids as bitmap places; ``folded_column`` is the same for Spark."""
+    ids = np.ascontiguousarray(ids).view(np.uint64)
+    return ids ^ (ids >> np.uint64(24))
+
+
+def folded_column(column: str) -> Column:
+    return F.col(column).bitwiseXOR(F.shiftrightunsigned(column, 24))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (column doc_id); null ids stay.
+
+    Texts aren't shuffled to drop some of them: a bitmap of fixed size tells the rows that are surely
+    not in ``gone``. The ids of the others are joined exactly, and those that the bitmap took for gone come
+    back by a join with just them. A bitmap that fills up costs a shuffle, not rows.
+    """
+    gone = materialise(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "gone")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(folded_column("doc_id").alias("hash"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        return pd.Series(known & hit(bits.value, folded(ids.fillna(0).to_numpy(np.int64))))
+
+    key = docs["doc_id"].cast("bigint")
+    doubtful = docs.where(maybe(key))
+    wrongly = materialise(doubtful.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "_back"), "wrongly-gone")
+    clear = docs.where(~maybe(key))
+    if wrongly.isEmpty():
+        return clear
+    return clear.unionByName(doubtful.join(wrongly, key == F.col("_back"), "left_semi"))
 
 
 def running_start(df: DataFrame, keys: list[str], bucket: Column, order: list, size: str, out: str) -> DataFrame:
