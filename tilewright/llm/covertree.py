@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-SLACK = 1e-9  # distances are bounded with this room for rounding; links themselves are decided by cosine
-PAIRS = 1 << 15  # node pairs whose vectors are gathered at a time
+SLACK = 1e-6  # distances come from dot products and are off by up to 1e-7; links themselves are decided by cosine
+PAIRS = 1 << 15  # pairs of points whose vectors are gathered at a time
+
+
+def _apart(dots: np.ndarray) -> np.ndarray:
+    """Distance of unit vectors from their dot product."""
+    return np.sqrt(np.maximum(2 - 2 * dots, 0))
 
 
 class Tree:
@@ -22,11 +27,19 @@ class Tree:
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
         self.first, self.last = np.array(self.first), np.array(self.last)
         self.leaf = np.array([not k for k in self.kids], bool)
+        self._below: dict[int, tuple] = {}
+
+    def below(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """The children of a node and their centres' vectors."""
+        if node not in self._below:
+            kids = np.array(self.kids[node])
+            self._below[node] = kids, self.points[self.centre[kids]]
+        return self._below[node]
 
     def _node(self, first: int, last: int) -> int:
         own = self.points[self.order[first:last]]
         self.centre.append(int(self.order[first]))
-        self.radius.append(float(np.sqrt(((own - own[0]) ** 2).sum(1).max())) if last - first > 1 else 0.0)
+        self.radius.append(float(_apart((own @ own[0]).min())) if last - first > 1 else 0.0)
         self.first.append(first)
         self.last.append(last)
         self.kids.append([])
@@ -41,15 +54,18 @@ class Tree:
                 continue
             while radius > self.radius[node] and radius > 1e-6:
                 radius /= 2  # levels on which the node would be its own only child
-            left, at, runs = self.order[first:last], first, []
-            while len(left):
-                away = np.sqrt(((self.points[left] - self.points[left[0]]) ** 2).sum(1)) if radius > 1e-6 else np.where(np.arange(len(left)), 9.0, 0.0)
-                near = away <= radius
+            own = self.order[first:last].copy()
+            vectors, left, at, runs = self.points[own], np.arange(last - first), first, []
+            while len(left):  # the first point left is the next centre of the net
+                if radius > 1e-6:
+                    near = _apart(vectors[left] @ vectors[left[0]]) <= radius
+                    near[0] = True
+                else:
+                    near = np.arange(len(left)) == 0
                 n = int(near.sum())
-                self.order[at : at + n], rest = left[near], left[~near]
+                self.order[at : at + n] = own[left[near]]
                 runs.append((at, at + n))
-                self.order[at + n : last] = rest
-                left, at = self.order[at + n : last].copy(), at + n
+                left, at = left[~near], at + n
             for run in runs:
                 child = self._node(*run)
                 self.kids[node].append(child)
@@ -61,19 +77,15 @@ def close_pairs(left: Tree, right: Tree | None, cosine: float, norms: tuple[np.n
     reaches ``cosine``, each pair once. ``raw`` and ``norms``: the vectors before they were scaled."""
     same = right is None
     right = left if same else right
-    reach = np.sqrt(2 - 2 * cosine)
+    reach = float(np.sqrt(2 - 2 * cosine))
     a, b = np.array([0]), np.array([0])
+    far = _apart(left.points[left.centre[a]] @ right.points[right.centre[0]])
     while len(a):
-        keep, inside = [], []
-        for low in range(0, len(a), PAIRS):
-            x, y = left.centre[a[low : low + PAIRS]], right.centre[b[low : low + PAIRS]]
-            far = np.sqrt(((left.points[x] - right.points[y]) ** 2).sum(1))
-            bound = left.radius[a[low : low + PAIRS]] + right.radius[b[low : low + PAIRS]]
-            keep.append(far <= reach + bound + SLACK)
-            inside.append(far + bound <= reach - SLACK)
-        keep, inside = np.concatenate(keep), np.concatenate(inside)
+        bound = left.radius[a] + right.radius[b]
+        near = far <= reach + bound + SLACK
+        a, b, far, bound = a[near], b[near], far[near], bound[near]
         single = left.leaf[a] & right.leaf[b]
-        whole = inside & ~single  # every pair of these nodes is close
+        whole = (far + bound <= reach - SLACK) & ~single  # every pair of these nodes is close
         for p, q in zip(a[whole].tolist(), b[whole].tolist()):
             i, j = left.order[left.first[p] : left.last[p]], right.order[right.first[q] : right.last[q]]
             if same and p == q:
@@ -81,29 +93,32 @@ def close_pairs(left: Tree, right: Tree | None, cosine: float, norms: tuple[np.n
                 yield i[u], i[v]
             else:
                 yield np.repeat(i, len(j)), np.tile(j, len(i))
-        ends = np.flatnonzero(keep & single & ((a != b) if same else True))
+        ends = np.flatnonzero(single & ((a != b) if same else True))
         for low in range(0, len(ends), PAIRS):
             part = ends[low : low + PAIRS]
             i, j = left.centre[a[part]], right.centre[b[part]]
-            near = (raw[0][i] * raw[1][j]).sum(1) / (norms[0][i] * norms[1][j]) >= cosine
-            yield i[near], j[near]
-        open_pairs = np.flatnonzero(keep & ~single & ~whole)
+            close = np.einsum("ij,ij->i", raw[0][i], raw[1][j]) / (norms[0][i] * norms[1][j]) >= cosine
+            yield i[close], j[close]
+        open_pairs = np.flatnonzero(~single & ~whole)
         a, b = a[open_pairs], b[open_pairs]
-        if not len(a):
-            return
         # the wider node is split; a node paired with itself gives each pair of its children once
         split_left = ~left.leaf[a] & (right.leaf[b] | (left.radius[a] >= right.radius[b]))
-        new_a, new_b = [], []
+        new: list[tuple] = []
         for p, q, go_left in zip(a.tolist(), b.tolist(), split_left.tolist()):
             if same and p == q:
-                kids = np.array(left.kids[p])
+                kids, points = left.below(p)
                 u, v = np.triu_indices(len(kids))
-                new_a.append(kids[u])
-                new_b.append(kids[v])
+                dots, kids_a, kids_b = (points @ points.T)[u, v], kids[u], kids[v]
             elif go_left:
-                new_a.append(np.array(left.kids[p]))
-                new_b.append(np.full(len(left.kids[p]), q))
+                kids_a, points = left.below(p)
+                dots, kids_b = points @ right.points[right.centre[q]], np.full(len(kids_a), q)
             else:
-                new_b.append(np.array(right.kids[q]))
-                new_a.append(np.full(len(right.kids[q]), p))
-        a, b = np.concatenate(new_a), np.concatenate(new_b)
+                kids_b, points = right.below(q)
+                dots, kids_a = points @ left.points[left.centre[p]], np.full(len(kids_b), p)
+            away = _apart(dots)
+            kept = away <= reach + left.radius[kids_a] + right.radius[kids_b] + SLACK
+            if kept.any():
+                new.append((kids_a[kept], kids_b[kept], away[kept]))
+        if not new:
+            return
+        a, b, far = (np.concatenate(x) for x in zip(*new))
