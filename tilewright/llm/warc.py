@@ -228,8 +228,10 @@ def locate(archives: DataFrame) -> DataFrame:
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """All records of the archives (column path): page_id, url, record_type, refers_to, payload_bytes,
     payload_digest (both of the full payload, for revisits too) and payload (null for revisits)."""
-    ranges = locate(archives)
-    dealt = ranges.repartition("path", F.expr(f"at div {4 * READ_BYTES}")).sortWithinPartitions("path", "at")
+    ranges = materialise(locate(archives), "ranges")
+    # tasks by the bytes they will read, not by the size of the rows that name them
+    tasks = 1 + (ranges.agg(F.sum("length")).first()[0] or 0) // (2 * READ_BYTES)
+    dealt = ranges.repartition(tasks, "path", F.expr(f"at div {READ_BYTES}")).sortWithinPartitions("path", "at")
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
