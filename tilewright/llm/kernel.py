@@ -88,7 +88,7 @@ class Texts:
         self.offsets = offsets - first
         self.rows = len(column)
 
-    def parts(self, limit: int = 8 * PIECE) -> Iterator[tuple[int, int]]:
+    def parts(self, limit: int = 2 * PIECE) -> Iterator[tuple[int, int]]:
         """Row ranges of about ``limit`` bytes; a longer row is a range of its own."""
         row = 0
         while row < self.rows:

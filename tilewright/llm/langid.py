@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         for batch in batches:
             texts = Texts(batch.column(1))
-            for first, last in texts.parts():
+            for first, last in texts.parts(1 << 23):
                 words = Words(texts, first, last, LETTERS)
                 _, some, back = np.unique(words.code, return_index=True, return_inverse=True)
                 logs = np.zeros((len(some), len(m.langs)))

@@ -81,7 +81,7 @@ def _sets(texts: Texts, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = Texts(batch.column(1))
-        for first, last in texts.parts(1 << 21):
+        for first, last in texts.parts(1 << 20):
             n = last - first
             rows, codes = _sets(texts, first, last)
             counts = np.bincount(rows, minlength=n)
@@ -112,7 +112,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             batch = batch.filter(pa.compute.is_valid(batch.column(0)))
             batch = batch.filter(pa.array(hit(bits.value, folded(batch.column(0).to_numpy()))))
             texts = Texts(batch.column(1))
-            for first, last in texts.parts(1 << 21):
+            for first, last in texts.parts(1 << 20):
                 rows, codes = _sets(texts, first, last)
                 cuts = np.searchsorted(rows, np.arange(last - first + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first),
