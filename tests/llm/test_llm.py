@@ -410,6 +410,24 @@ def test_language_model_scores(spark, known):
     assert len(empty) == len(rows) and all(r.n_known == 0 and math.isfinite(r.score) for r in empty)
 
 
+def test_every_training_document_is_learnt(spark):
+    for i in [0, 1, 2, 3, None]:
+        docs = frame(spark, [(i, "w1 w2 w3 " * 100)])
+        lexicon = lm.Lexicon(lm.token_counts(docs), 1 << 17, 20)
+        model, start = lm.fit(docs, lexicon, hidden=4), gru.start(lexicon.amount, 4, 1)
+        assert any((model[k] != start[k]).any() for k in model), i
+
+
+def test_a_stream_in_parts_carries_the_sums():
+    stream = np.array([3, 5, 7, 9, 1, 0] * 600, np.int32)
+    seen, model = {}, gru.start(np.ones(12), 8, 1)
+    for part in np.split(stream, 3):
+        before = {k: v.copy() for k, v in seen.items()}
+        model = gru.train(model, part, 0, seen=seen)
+        assert all((seen[k] >= before[k]).all() for k in before) and (seen["bias"] > before.get("bias", 1e-4)).any()
+    assert all(np.isfinite(v).all() for v in model.values())
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({"host": F.col("source"), "path": F.col("lang")})
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -13,7 +13,10 @@ WINDOW = 32
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.negative(x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def start(counts: np.ndarray, hidden: int, seed: int) -> dict[str, np.ndarray]:
@@ -48,16 +51,23 @@ def restore(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 def step(model: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple:
     """One step for rows of word numbers ``x`` and states ``h``: new state and what the gradient needs."""
     size = h.shape[1]
-    given, own = model["input"][x] + model["bias"], h @ model["hidden"]
+    given, own = model["input"][x], h @ model["hidden"]
+    given += model["bias"]
     gates = logistic(given[:, : 2 * size] + own[:, : 2 * size])
     reset, update = gates[:, :size], gates[:, size:]
-    new = np.tanh(given[:, 2 * size :] + reset * own[:, 2 * size :])
-    return new + update * (h - new), (reset, update, new, own[:, 2 * size :])
+    new = reset * own[:, 2 * size :]
+    new += given[:, 2 * size :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= update
+    after += new
+    return after, (reset, update, new, own[:, 2 * size :])
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    x = x - top[:, None]
+    return top + np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
 def log_prob(model: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -100,77 +110,121 @@ def score(model: dict[str, np.ndarray], words: np.ndarray, first: np.ndarray, co
     return out
 
 
-def gradient(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[dict, np.ndarray]:
+def _window(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradient of the mean loss over a window (time, lanes) by backpropagation cut at its start;
-    states are reset where ``fresh``. Returns the gradient and the state at the end."""
+    states are reset where ``fresh``. Returns per parameter (the rows that have a gradient, it), where
+    rows are all or those that occurred, and the state at the end."""
     steps, lanes = x.shape
     size = h.shape[1]
-    kept, before, states = [], [], []
+    kind = model["hidden"].dtype
+    keep = (~fresh).astype(kind)[:, None, :]
+    # units by lanes, so that every gate is one block of memory; reset and update negated for the logistic function
+    sign = np.where(np.arange(3 * size) < 2 * size, -1, 1).astype(kind)
+    given = np.ascontiguousarray(((model["input"][x] + model["bias"]) * sign).transpose(0, 2, 1))
+    forth = np.ascontiguousarray((model["hidden"] * sign).T)
+    h = np.ascontiguousarray(h.T)
+    own, gates = np.empty((steps, 3 * size, lanes), kind), np.empty((steps, 2 * size, lanes), kind)
+    before, states, news = (np.empty((steps, size, lanes), kind) for _ in range(3))
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        before.append(h)
-        h, parts = step(model, x[t], h)
-        kept.append(parts)
-        states.append(h)
-    flat, target = np.concatenate(states), y.ravel()
+        h = np.multiply(h, keep[t], out=before[t])
+        np.matmul(forth, h, out=own[t])
+        g = np.add(given[t, : 2 * size], own[t, : 2 * size], out=gates[t])
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        new = np.multiply(g[:size], own[t, 2 * size :], out=news[t])
+        new += given[t, 2 * size :]
+        np.tanh(new, out=new)
+        h = np.subtract(h, new, out=states[t])
+        h *= g[size:]
+        h += new
+    end = np.ascontiguousarray(h.T)
+    by_row = lambda z: z.transpose(0, 2, 1).reshape(steps * lanes, -1)
+    flat, target = by_row(states), y.ravel()
     group = target // SIZE
-    grad = {k: np.zeros_like(v) for k, v in model.items()}
-    logits = flat @ model["class"].T + model["class_bias"]
-    p = np.exp(logits - _log_sum(logits)[:, None])
-    p[np.arange(len(target)), group] -= 1
-    p /= len(target)
-    grad["class"], grad["class_bias"] = p.T @ flat, p.sum(0)
+    n, every = len(target), np.arange(len(target))
+    grad = {}
+    p = flat @ model["class"].T + model["class_bias"]
+    p = np.exp(p - p.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[every, group] -= 1
+    p /= n
+    grad["class"], grad["class_bias"] = (slice(None), p.T @ flat), (slice(None), p.sum(0))
     back = p @ model["class"]
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(len(model["class"]) + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        rows = order[cuts[c] : cuts[c + 1]]
-        logits = flat[rows] @ model["word"][c].T + model["word_bias"][c]
-        p = np.exp(logits - _log_sum(logits)[:, None])
-        p[np.arange(len(rows)), target[rows] - c * SIZE] -= 1
-        p /= len(target)
-        grad["word"][c], grad["word_bias"][c] = p.T @ flat[rows], p.sum(0)
-        back[rows] += p @ model["word"][c]
-    back = back.reshape(steps, lanes, size)
+    used = np.flatnonzero(np.diff(cuts))
+    spans = [(c, slice(cuts[c], cuts[c + 1])) for c in used.tolist()]
+    sorted_states = flat[order]
+    p = np.empty((n, SIZE), kind)
+    for c, rows in spans:
+        np.matmul(sorted_states[rows], model["word"][c].T, out=p[rows])
+        p[rows] += model["word_bias"][c]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    p[every, target[order] - group[order] * SIZE] -= 1
+    p /= n
+    inner, through = np.empty((len(used), SIZE, size), kind), np.empty((n, size), kind)
+    for i, (c, rows) in enumerate(spans):
+        np.matmul(p[rows].T, sorted_states[rows], out=inner[i])
+        np.matmul(p[rows], model["word"][c], out=through[rows])
+    grad["word"], grad["word_bias"] = (used, inner), (used, np.add.reduceat(p, cuts[used]))
+    back[order] += through
+    back = np.ascontiguousarray(back.reshape(steps, lanes, size).transpose(0, 2, 1))
+    # derivatives of the gates by that of the state don't depend on later steps: all steps at once
+    reset, update = gates[:, :size], gates[:, size:]
+    by_new = (1 - update) * (1 - news * news)
+    factor = np.stack([by_new * own[:, 2 * size :] * reset * (1 - reset), (before - news) * update * (1 - update), by_new * reset], 1)
+    inside, slope = np.empty_like(factor), np.empty_like(back)
     carried = np.zeros_like(h)
-    given = np.empty((steps, lanes, 3 * size), np.float32)
     for t in range(steps - 1, -1, -1):
-        reset, update, new, own = kept[t]
-        dh = back[t] + carried
-        dnew = dh * (1 - update) * (1 - new * new)
-        dupdate = dh * (before[t] - new) * update * (1 - update)
-        dreset = dnew * own * reset * (1 - reset)
-        given[t] = np.concatenate([dreset, dupdate, dnew], 1)
-        inner = np.concatenate([dreset, dupdate, dnew * reset], 1)
-        grad["hidden"] += before[t].T @ inner
-        carried = np.where(fresh[t][:, None], np.float32(0), dh * update + inner @ model["hidden"].T)
-    grad["bias"] = given.sum((0, 1))
-    np.add.at(grad["input"], x.ravel(), given.reshape(-1, 3 * size))
+        dh = np.add(back[t], carried, out=slope[t])
+        np.multiply(dh, factor[t], out=inside[t])
+        np.matmul(model["hidden"], inside[t].reshape(3 * size, lanes), out=carried)
+        dh = dh * update[t]
+        carried += dh
+        carried *= keep[t]
+    inside = inside.reshape(steps, 3 * size, lanes)
+    outer = by_row(np.concatenate([inside[:, : 2 * size], slope * by_new], 1))
+    grad["hidden"], grad["bias"] = (slice(None), by_row(before).T @ by_row(inside)), (slice(None), outer.sum(0))
+    order = np.argsort(x.ravel(), kind="stable")
+    read, cuts = np.unique(x.ravel()[order], return_index=True)
+    grad["input"] = read, np.add.reduceat(outer[order], cuts)
+    return grad, end
+
+
+def gradient(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[dict, np.ndarray]:
+    """The gradient of ``_window`` with all rows, and the state at the end."""
+    found, h = _window(model, x, y, h, fresh)
+    grad = {k: np.zeros_like(v) for k, v in model.items()}
+    for k, (rows, g) in found.items():
+        grad[k][rows] = g
     return grad, h
 
 
-def train(model: dict[str, np.ndarray], words: np.ndarray, end: int, lanes: int = 32, window: int = 16, rate: float = 0.05) -> dict[str, np.ndarray]:
+def train(model: dict[str, np.ndarray], words: np.ndarray, end: int, lanes: int = 32, window: int = 16, rate: float = 0.05,
+          seen: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """One pass over a stream of documents, each closed by ``end``: truncated backpropagation
-    through time with Adagrad. The stream is read in parallel lanes."""
+    through time with Adagrad. The stream is read in parallel lanes. ``seen`` carries Adagrad's sums
+    from one part of a stream to the next; it is filled in place."""
     lanes = max(1, min(lanes, len(words) // (2 * window)))
     length = len(words) // lanes
     y = words[: lanes * length].reshape(lanes, length).T
     x = np.concatenate([np.full((1, lanes), end, words.dtype), y[:-1]])
     model = {k: v.copy() for k, v in model.items()}
-    seen = {k: np.full_like(v, 1e-4) for k, v in model.items()}
+    seen = {} if seen is None else seen
+    for k, v in model.items():
+        seen.setdefault(k, np.full_like(v, 1e-4))
     h = np.zeros((lanes, model["hidden"].shape[0]), np.float32)
     for at in range(0, length, window):
         part = slice(at, at + window)
-        grad, h = gradient(model, x[part], y[part], h, x[part] == end)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        for k, g in grad.items():
+        grad, h = _window(model, x[part], y[part], h, x[part] == end)
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for _, g in grad.values()))
+        for k, (rows, g) in grad.items():  # other rows have no gradient and stay
             if norm > 1:
                 g *= np.float32(1 / norm)
-            if k == "input":  # only rows that occurred
-                rows = np.unique(x[part])
-                seen[k][rows] += g[rows] ** 2
-                model[k][rows] -= rate * g[rows] / np.sqrt(seen[k][rows])
-            else:
-                seen[k] += g * g
-                model[k] -= rate * g / np.sqrt(seen[k])
+            total = seen[k][rows] + g * g
+            seen[k][rows] = total
+            model[k][rows] -= rate * g / np.sqrt(total)
     return model

@@ -6,8 +6,8 @@ apart by 64-bit hashes.
 1. *Counts*: tokens of all training documents, summed per block of texts before the shuffle.
 2. The most frequent ``vocabulary`` tokens, the end and one symbol for all other words form the
    model's output; its classes follow the frequencies.
-3. *Training* (``gru``): a fixed share of the training documents, chosen by a hash of the id, in
-   ``rounds`` parts. Every task trains on its own documents from the same start; the
+3. *Training* (``gru``): all training documents once, dealt by a hash of the id to ``rounds`` parts
+   (``share`` > 1 reads one in so many). Every task trains on its own documents from the same start; the
    parameters are averaged by Spark, weighted by tokens, in two steps so that no task holds more
    than 64 copies of a slice at first.
 4. *Scoring*: each document is read as a whole, its state carried across windows. Another word's
@@ -37,6 +37,7 @@ from .store import materialise
 U = np.uint64
 END = 0x0E0D0E0D0E0D0E0D  # code of the end, outside of what words are likely to hash to
 SLICE = 4096
+STREAM = 1 << 22  # tokens that a task trains on at once
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +105,8 @@ def with_ends(words: Words, numbers: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, first, count
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, hidden: int = 24, share: int = 16, rounds: int = 2, seed: int = 1) -> dict[str, np.ndarray]:
-    """Train on one in ``share`` documents; the amount grows with the input."""
+def fit(docs: DataFrame, lexicon: Lexicon, hidden: int = 24, share: int = 1, rounds: int = 2, seed: int = 1) -> dict[str, np.ndarray]:
+    """Train on one in ``share`` documents, each read in one of the rounds."""
     spark = docs.sparkSession
     model = gru.start(lexicon.amount, hidden, seed)
     for turn in range(rounds):
@@ -113,15 +114,25 @@ def fit(docs: DataFrame, lexicon: Lexicon, hidden: int = 24, share: int = 16, ro
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model, lexicon = shared.value
-            stream = []
+            stream, held, n, seen = [], 0, 0, {}
+
+            def on() -> None:
+                nonlocal model, stream, held
+                model = gru.train(model, np.concatenate(stream), lexicon.end, seen=seen)
+                stream, held = [], 0
+
             for batch in batches:
                 texts = Texts(batch.column(0))
                 for first, last in texts.parts():
                     words = Words(texts, first, last, NOT_SPACE)
                     stream.append(with_ends(words, lexicon.numbers(lexicon.table.find(words.code)), lexicon.end)[0])
-            n = sum(map(len, stream))
+                    held, n = held + len(stream[-1]), n + len(stream[-1])
+                    if held >= STREAM:  # a bound on memory; Adagrad's sums go on
+                        on()
             if n:
-                flat = gru.flatten(gru.train(model, np.concatenate(stream), lexicon.end))
+                if held:
+                    on()
+                flat = gru.flatten(model)
                 for i in range(0, len(flat), SLICE):
                     yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([float(n)]), pa.array([flat[i : i + SLICE].tolist()], pa.list_(pa.float32()))],
                                                      names=["part", "weight", "values"])
@@ -143,7 +154,7 @@ def fit(docs: DataFrame, lexicon: Lexicon, hidden: int = 24, share: int = 16, ro
 SCORED = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<bigint>"
 
 
-def score(docs: DataFrame, train: DataFrame, known: int = 1 << 17, vocabulary: int = 2046, hidden: int = 24, share: int = 16) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, known: int = 1 << 17, vocabulary: int = 2046, hidden: int = 24, share: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row
     of ``docs`` (doc_id, text, held_out), learnt from ``train`` (doc_id, text)."""
     counts = token_counts(train)
