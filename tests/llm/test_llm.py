@@ -341,6 +341,20 @@ def test_language_held_out(spark):
     assert sum(got[r.doc_id].lang_pred == r.lang for r in tested) >= 0.97 * len(tested) and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_rare_languages_and_null_ids_are_sampled(spark):
+    rng = random.Random(12)
+    many, few = ([f"{stem}{a}{b}" for a in "aeiou" for b in "aeiou"] for stem in ("mel", "zun"))
+    rows = [(None if i % 2 else i, " ".join(rng.choices(many, k=8)), "aa") for i in range(2000)]
+    rows += [(10_000 + i, " ".join(rng.choices(few, k=8)), "zz") for i in range(3)]
+    docs = frame(spark, rows)
+    for fit_docs in (100, 400):
+        drawn = Counter((r.lang, r.doc_id is None) for r in langid.draw(docs, ["aa", "zz"], np.array([2000.0, 3.0]), fit_docs).collect())
+        assert drawn["zz", False] == 3 and all(0.25 * fit_docs < drawn["aa", x] < 0.75 * fit_docs for x in (True, False))
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs, fit_docs=100)).collect()}
+    assert all(found[10_000 + i] == "zz" for i in range(3)) and found[0] == "aa"
+    assert langid.level(np.array([3.0, 5000.0, 7000.0]), 1003) == 500 and langid.level(np.array([3.0, 40.0]), 1000) == np.inf and langid.level(np.full(1000, 90.0), 100) == langid.LEAST
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "en"), (4, "12 + 3 — €", None), (5, "", None), (6, "Ё" * 3000, None), (7, "LE CHIEN", None), (None, "the", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

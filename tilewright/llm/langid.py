@@ -10,8 +10,10 @@ than 32 bytes are scored 32 bytes at a time. A word begins with a word-initial p
 bare word mark. Single bytes are pieces of every language, so no word has probability zero.
 
 Piece probabilities are estimated by expectation-maximisation (forward-backward over the
-words' counts, in Spark tasks) from a sample of about ``fit_docs`` labelled documents, chosen
-by a hash of the id; this bound is a parameter. Priors are counted over all labelled documents.
+words' counts, in Spark tasks) from a sample of about ``fit_docs`` labelled documents; this bound
+is a parameter. It is drawn per language by a hash of id and text: all rows of rare languages, and
+the rest shared evenly by the others, at least LEAST documents each. Priors are counted over
+all labelled documents.
 
 Null texts and texts without any letter are ``und`` with score 0; so are all, if nothing is
 labelled. The score is the posterior of the predicted language. Ties go to the first
@@ -35,6 +37,7 @@ U = np.uint64
 LONGEST = 32  # bytes of a word scored at once
 PIECE_BYTES = 12  # longer pieces of the vocabulary are left out
 TABLE_BITS = 20
+LEAST = 32  # documents of a language in the sample, if it has as many
 FLOOR = 0.01  # share of the uniform distribution
 POWER = np.array([pow(BASE, i, 1 << 64) for i in range(LONGEST + 1)], U)
 SPREAD = U(0x9E3779B97F4A7C15)
@@ -174,6 +177,26 @@ def _smooth(counts: np.ndarray) -> np.ndarray:
     return (1 - FLOOR) * counts / total + FLOOR / len(counts)
 
 
+def level(sizes: np.ndarray, total: float) -> float:
+    """The bound per language at which min(size, bound) add up to ``total``, LEAST or more."""
+    left, bound = float(total), np.inf
+    ordered = np.sort(sizes)
+    for i, size in enumerate(ordered):
+        if size * (len(ordered) - i) > left:
+            bound = left / (len(ordered) - i)
+            break
+        left -= size
+    return max(bound, LEAST)
+
+
+def draw(labelled: DataFrame, langs: list[str], sizes: np.ndarray, fit_docs: int) -> DataFrame:
+    """The rows of ``labelled`` to learn from: the same bound for every language."""
+    bound, parts = level(sizes, fit_docs), 10**12
+    limits = labelled.sparkSession.createDataFrame([(x, int(min(1.0, bound / n) * parts)) for x, n in zip(langs, sizes.tolist())], "lang string, _limit bigint")
+    rows = labelled.join(F.broadcast(limits), "lang")  # at most max_langs rows
+    return rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(parts)) < F.col("_limit")).drop("_limit")
+
+
 def fit(docs: DataFrame, fit_docs: int = 8000, rounds: int = 2, path: str | None = None, max_langs: int = 1000) -> Model | None:
     """A model of the languages of ``docs`` (text, lang, doc_id), None if no row has both text and lang."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -186,8 +209,7 @@ def fit(docs: DataFrame, fit_docs: int = 8000, rounds: int = 2, path: str | None
     langs, sizes = [r.lang for r in counts], np.array([r.n for r in counts], float)
     pieces = Pieces(path or vocabulary_path())
     number = {x: i for i, x in enumerate(langs)}
-    share = min(1.0, fit_docs / sizes.sum())
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = draw(labelled, langs, sizes, fit_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
