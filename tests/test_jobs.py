@@ -131,6 +131,16 @@ def test_neighbours_are_the_same_broadcast_and_blocked(spark):
     assert len(found & {(f"t{i}", f"t{j}") for i in range(120) for j in best[i]}) / 600 > 0.95
 
 
+def test_registered_neighbour_settings_reach_the_recall(spark):
+    m = np.random.default_rng(3).standard_normal((300, 64))
+    v = spark.createDataFrame([(f"t{i}", [float(x) for x in p]) for i, p in enumerate(m)], "tile_id string, embedding array<double>")
+    q = v.select(F.col("tile_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    best = np.argsort(-(m @ m.T), axis=1)[:, :8]
+    found = {(r.query_id, r.tile_id) for r in vectors.approximate_nearest(q, v, 8).collect()}
+    assert len(found & {(f"t{i}", f"t{j}") for i in range(300) for j in best[i]}) / 2400 >= 0.9
+
+
 def test_density_clusters_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((3, 6))

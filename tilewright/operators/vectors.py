@@ -173,7 +173,7 @@ def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str
     return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(score, fields)
 
 
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 4,
+def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 20, bits: int = 4,
                         seed: int = 7, block_rows: int = 4096) -> DataFrame:
     """Approximate k nearest tiles by random-hyperplane hashing.
 
