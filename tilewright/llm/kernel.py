@@ -49,7 +49,8 @@ def step(n: int) -> np.uint64:
     return U(int(STEP) * n % 2**64)
 
 
-BYTE_VALUE = mix((np.arange(256, dtype=U) + U(1)) * STEP)[LOWER]  # A-Z hash as a-z
+EXACT_VALUE = mix((np.arange(256, dtype=U) + U(1)) * STEP)
+BYTE_VALUE = EXACT_VALUE[LOWER]  # A-Z hash as a-z
 BASE = 0xD6E8FEB86659FD93
 PLACE = mix((np.arange(64, dtype=U) + U(1001)) * STEP) | U(1)
 _powers: dict[str, np.ndarray] = {}
@@ -104,7 +105,7 @@ class Texts:
 class Words:
     """Words of rows first..last: begin and end byte in Texts.bytes, row (counted from first), hash."""
 
-    def __init__(self, texts: Texts, first: int, last: int, table: np.ndarray, hashes: bool = True):
+    def __init__(self, texts: Texts, first: int, last: int, table: np.ndarray, hashes: bool = True, values: np.ndarray = BYTE_VALUE):
         low, high = int(texts.offsets[first]), int(texts.offsets[last])
         row_starts = texts.offsets[first : last + 1]
         begins, ends, codes = [], [], []
@@ -134,7 +135,7 @@ class Words:
             closes[inner] = inside[inner]
             b, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
             if hashes:
-                codes.append(hash_spans(piece, b, e))
+                codes.append(hash_spans(piece, b, e, values))
             begins.append(b + at)
             ends.append(e + at)
             at = to
@@ -146,12 +147,12 @@ class Words:
         self.row = np.repeat(np.arange(last - first), self.counts)
 
 
-def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes begin..end of ``data``, A-Z taken as a-z, equal for equal strings."""
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """Hash of the bytes begin..end of ``data``, equal for equal strings; A-Z as a-z, unless by EXACT_VALUE."""
     up, down = powers(len(data) + 1)
     total = np.empty(len(data) + 1, U)
     total[0] = 0
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(values[data] * up[: len(data)], out=total[1:])
     out = (total[end] - total[begin]) * down[begin]
     out += (end - begin).astype(U) * STEP
     return mix(out)

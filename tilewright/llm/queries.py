@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, vectordup, warc
+from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, repair, runs, secrets, vectordup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,16 @@ ORACLES["op2_warc_round_trip"] = """WITH p AS (SELECT page_id, CAST(strlen(coale
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    """Conversations damaged by a checksum, and their cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows, repair.planted(rows)), with_turns=False).drop("turns")
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of whole texts, every tenth of which loops."""
+    return runs.summary(runs.find(table(spark, sf_dir, "documents"), loops=True))
