@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, repair, runs, secrets, vectordup, warc
+from . import decontaminate, langid, licenses, lm, mixing, neardup, outliers, quality, repair, runs, secrets, vectordup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +113,12 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
 
 
+@query
+def op11_quality_outliers(spark, sf_dir):
+    """Fixed limits, and outliers per language and source."""
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_conversation_repair(spark, sf_dir):
     """Conversations damaged by a checksum, and their cheapest repair."""

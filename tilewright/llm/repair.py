@@ -274,8 +274,8 @@ def _long_reports(marked: DataFrame) -> DataFrame:
     light = light.withColumn("again", (F.col("fault") != 1) & F.coalesce(F.col("at") > F.col("_first"), F.lit(False)))
     light = materialise(light.select("nul", "cid", "turn", "at", "initial", "fault", "again"), "marked-turns")
     counts = light.groupBy("nul", "cid").agg(
-        F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"), F.count_if("fault = 1").alias("blank"),
-        F.count_if("again").alias("duplicate"), F.count_if("fault = 2 AND NOT again").alias("truncated"))
+        F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"), F.expr("count_if(fault = 1)").alias("blank"),
+        F.expr("count_if(again)").alias("duplicate"), F.expr("count_if(fault = 2 AND NOT again)").alias("truncated"))
     pieces = light.withColumn("node", F.shiftright("at", PIECE_BITS))
     nodes = materialise(pieces.repartition("nul", "cid", "node").sortWithinPartitions("nul", "cid", "node", "at").mapInArrow(_pieces, NODE), "cells")
     while not nodes.groupBy("nul", "cid").count().where("count > 1").isEmpty():
