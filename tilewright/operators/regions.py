@@ -7,6 +7,8 @@ through the edges between border pixels.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from ..functions import change
 from ..session import cut_lineage
 from .components import component_names
 from .pairs import wet
+from .ranges import numbered
 
 BLOCK = 512
 
@@ -48,8 +51,36 @@ def _blocked(pixels: DataFrame, block: int) -> DataFrame:
     return pixels.withColumns({"_br": F.floor(F.col("prow") / block), "_bc": F.floor(F.col("pcol") / block)})
 
 
+COL_BITS = 31
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def component_code(row: Column, col: Column) -> Column:
+    """A pixel as one integer that sorts row by row."""
+    return F.shiftleft(row.cast("bigint"), COL_BITS).bitwiseOR(col.cast("bigint"))
+
+
+def component_name(key: list[str], code: Column) -> Column:
+    """Printable name of a component: its key and first pixel."""
+    return F.concat_ws("|", *key, F.shiftright(code, COL_BITS), code.bitwiseAND(F.lit((1 << COL_BITS) - 1)))
+
+
+def _numbered_keys(pixels: DataFrame, key: list[str]) -> tuple[DataFrame, Column]:
+    """Pixels with the number of their key: the key itself if it is one whole number, else its place in the order of keys."""
+    if len(key) == 1 and dict(pixels.dtypes)[key[0]] in WHOLE:
+        return pixels, F.col(key[0]).cast("bigint")
+    numbers = numbered(pixels.select(*key).distinct(), [], F.struct(*key), "_key").select(*[F.col(k).alias(f"_key_{k}") for k in key], "_key")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in key]
+    return pixels.join(numbers, reduce(Column.__and__, same)).drop(*[f"_key_{k}" for k in key]), F.col("_key")
+
+
 def label_components(pixels: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
-    """4-connected components of the given pixels as (key, prow, pcol, component)."""
+    """4-connected components of the given pixels as (key, prow, pcol, component).
+
+    ``component`` is the ``component_code`` of its first pixel row by row, whatever the block size, and unique per key. Blocks
+    are labelled by themselves; the labels of pixels on both sides of a block's border are the edges that join
+    them. An edge's ends are 64-bit integers of key, row and column, of as many bits as the pixels need.
+    """
     types = dict(pixels.dtypes)
     fields = ", ".join([f"{k} {types[k]}" for k in key] + ["prow bigint", "pcol bigint", "_r bigint", "_c bigint"])
 
@@ -57,22 +88,38 @@ def label_components(pixels: DataFrame, key: list[str], block: int = BLOCK) -> D
         first_row, first_col = _local_labels(pdf["prow"].to_numpy(), pdf["pcol"].to_numpy())
         return pd.DataFrame({**{k: pdf[k] for k in key}, "prow": pdf["prow"], "pcol": pdf["pcol"], "_r": first_row, "_c": first_col})
 
-    groups = [*key, "_br", "_bc"]
     keyed = _blocked(pixels.select(*key, F.col("prow").cast("bigint"), F.col("pcol").cast("bigint")), block)
-    labelled = keyed.groupBy(*groups).applyInPandas(local, fields)
-    labelled = cut_lineage(labelled.select(*key, "prow", "pcol", F.concat_ws("|", *key, "_r", "_c").alias("part")))
-    border = None
+    labelled = keyed.groupBy(*key, "_br", "_bc").applyInPandas(local, fields)
+    labelled = cut_lineage(labelled.select(*key, "prow", "pcol", component_code(F.col("_r"), F.col("_c")).alias("component")))
+
+    at_border = [F.pmod(F.col(axis), F.lit(block)).isin(0, block - 1) for axis in ("prow", "pcol")]
+    border = labelled.where(at_border[0] | at_border[1])
+    border, number = _numbered_keys(border, key)
+    border = border.select(number.alias("_n"), *key, "prow", "pcol", "component")
+    top = border.agg(F.max("_n"), F.max("prow"), F.max("pcol"), F.min(F.least("_n", "prow", "pcol"))).first()
+    if top[0] is None:
+        return labelled
+    row_bits, col_bits = top[1].bit_length(), top[2].bit_length()
+    if top[3] < 0 or top[0].bit_length() + row_bits + col_bits > 63:
+        raise ValueError(f"keys up to {top[0]}, rows up to {top[1]} and columns up to {top[2]} don't fit into one integer")
+    mask = (1 << COL_BITS) - 1
+    node = F.shiftleft("_n", row_bits + col_bits).bitwiseOR(F.shiftleft(F.shiftright("component", COL_BITS), col_bits)).bitwiseOR(F.col("component").bitwiseAND(F.lit(mask)))
+    border = cut_lineage(border.select(*key, "prow", "pcol", "_n", "component", node.alias("_node")))
+    edges = None
     for axis in ("prow", "pcol"):
-        low = labelled.where(F.pmod(F.col(axis), F.lit(block)) == block - 1).select(
-            *key, *[(F.col(x) + (1 if x == axis else 0)).alias(x) for x in ("prow", "pcol")], F.col("part").alias("a"))
-        high = labelled.where(F.pmod(F.col(axis), F.lit(block)) == 0).select(*key, "prow", "pcol", F.col("part").alias("b"))
-        edges = low.join(high, [*key, "prow", "pcol"]).select("a", "b")
-        border = edges if border is None else border.unionByName(edges)
-    names = component_names(border)
+        low = border.where(F.pmod(F.col(axis), F.lit(block)) == block - 1).select(
+            "_n", *[(F.col(x) + (1 if x == axis else 0)).alias(x) for x in ("prow", "pcol")], F.col("_node").alias("a"))
+        high = border.where(F.pmod(F.col(axis), F.lit(block)) == 0).select("_n", "prow", "pcol", F.col("_node").alias("b"))
+        met = low.join(high, ["_n", "prow", "pcol"]).select("a", "b")
+        edges = met if edges is None else edges.unionByName(met)
+    names = component_names(edges)
     if names is None:
-        return labelled.withColumnRenamed("part", "component")
-    renamed = names.select(F.col("old").alias("part"), "new")
-    return labelled.join(renamed, "part", "left").select(*key, "prow", "pcol", F.coalesce("new", "part").alias("component"))
+        return labelled
+    first = F.shiftright("new", col_bits).bitwiseAND(F.lit((1 << row_bits) - 1)), F.col("new").bitwiseAND(F.lit((1 << col_bits) - 1))
+    renamed = border.select(*key, "component", "_node").distinct().join(names.withColumnRenamed("old", "_node"), "_node")
+    renamed = renamed.select(*[F.col(k).alias(f"_to_{k}") for k in key], F.col("component").alias("_to"), component_code(*first).alias("_new"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_to_{k}")) for k in key], F.col("component") == F.col("_to"))
+    return labelled.join(renamed, same, "left").select(*key, "prow", "pcol", F.coalesce("_new", "component").alias("component"))
 
 
 def interior_pixel(labelled: DataFrame, key: list[str]) -> DataFrame:
@@ -88,7 +135,7 @@ def interior_pixel(labelled: DataFrame, key: list[str]) -> DataFrame:
 
 def region_features(classified: DataFrame, key: list[str], height: Column | int, width: Column | int, top_lat: Column,
                     pixel_deg: float = 0.0001, min_px: int = K.MIN_COMPONENT_PX) -> tuple[DataFrame, DataFrame]:
-    """Outlined change regions and their pixels.
+    """Outlined change regions (``component`` is a printable name, ``label`` the component of its pixels) and their pixels.
 
     Each region has pixel count, ground area, box, elongation, and the type, classes and
     indices at its interior pixel; thin construction becomes a road.
@@ -103,7 +150,7 @@ def region_features(classified: DataFrame, key: list[str], height: Column | int,
         F.var_pop(r).alias("_vr"), F.var_pop(c).alias("_vc"), F.covar_pop(r, c).alias("_cv")).where(F.col("area_px") >= min_px)
     inside = interior_pixel(labelled, key).join(changed, [*key, "prow", "pcol"]).select(
         *key, "component", F.struct(*sample).alias("at"))
-    df = shape.join(inside, [*key, "component"])
+    df = shape.join(inside, [*key, "component"]).withColumns({"label": F.col("component"), "component": component_name(key, F.col("component"))})
     middle = top_lat - (F.col("r0") + F.col("r1") + 1) / 2.0 * pixel_deg
     ground = F.col("area_px") * (pixel_deg * K.M_PER_DEG) * (pixel_deg * K.M_PER_DEG * F.cos(F.radians(middle)))
     r_end, c_end = F.least(F.col("r1") + 1, height - 1), F.least(F.col("c1") + 1, width - 1)
@@ -112,7 +159,7 @@ def region_features(classified: DataFrame, key: list[str], height: Column | int,
     long = change.elongation(F.col("area_px"), F.col("_vr"), F.col("_vc"), F.col("_cv"))
     kind = change.refine_road(F.col("at.change_type"), long, F.col("area_px"))
     features = df.select(
-        *key, "component", "area_px", F.bround(ground, 1).alias("area_m2"), "r0", "c0",
+        *key, "component", "label", "area_px", F.bround(ground, 1).alias("area_m2"), "r0", "c0",
         x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), long.alias("elongation"), kind.alias("change_type"),
         F.col("at.class_b").alias("class_b"), F.col("at.class_a").alias("class_a"),
         *[F.bround(F.col(f"at.{n}_{s}"), 3).alias(f"{n}_{s}") for s in "ba" for n in ("ndvi", "ndbi", "ndwi")],
@@ -220,15 +267,15 @@ def outlines(labelled: DataFrame, key: list[str], block: int = BLOCK) -> DataFra
     seen = labelled.select(*key, "prow", "pcol", "component", F.inline(F.filter(places, lambda p: p.isNotNull())))
     own_blocks = F.max(F.col("_own"))
     some = seen.groupBy(*key, "_br", "_bc").agg(own_blocks.alias("_any")).where("_any").drop("_any")  # a block of rim pixels only draws nothing
-    chains = cut_lineage(seen.join(some, [*key, "_br", "_bc"]).groupBy(*key, "_br", "_bc").applyInPandas(trace, f"{names}, component string, inside boolean, points array<array<bigint>>"))
+    chains = cut_lineage(seen.join(some, [*key, "_br", "_bc"]).groupBy(*key, "_br", "_bc").applyInPandas(trace, f"{names}, component {types['component']}, inside boolean, points array<array<bigint>>"))
     # chains that touch a line between blocks are grouped by the corners they share
-    corner = lambda p: F.concat_ws("|", *key, "component", p[0], p[1])
+    corner = lambda p: F.xxhash64(*[x for k in key for x in (F.col(k).isNull(), F.col(k))], "component", p[0], p[1])
     first, last = F.element_at("points", 1), F.element_at("points", -1)
     lines = chains.where(~F.col("inside")).withColumns({"_a": corner(first), "_b": corner(last)})
     names_of = component_names(lines.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     lines = lines.withColumn("old", F.col("_a"))
     lines = lines.withColumn("_group", F.col("old")) if names_of is None else lines.join(names_of, "old", "left").withColumn("_group", F.coalesce("new", "old"))
-    joined = lines.select(*key, "component", "_group", "points").groupBy(*key, "component", "_group").applyInPandas(join, f"{names}, component string, points array<array<bigint>>")
+    joined = lines.select(*key, "component", "_group", "points").groupBy(*key, "component", "_group").applyInPandas(join, f"{names}, component {types['component']}, points array<array<bigint>>")
     rings = chains.where("inside").select(*key, "component", "points").unionByName(joined)
     # holes run the other way round; the ring with the smallest corner is the outer one
     order = Window.partitionBy(*key, "component").orderBy(F.array_min("points"), F.size("points"), "points")

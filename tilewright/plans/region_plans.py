@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..operators import grids, pairs, regions
-from ..session import cut_lineage
+from ..session import cut_lineage, fresh_path
+from ..sources import sinks
+from ..sources.tables import LoggedTable
 from .change_plans import WATER_SQL, classified
 from .registry import ORACLES, query, recursive
 from .sqltext import CHANGE
@@ -50,6 +52,16 @@ def n04(spark, d):
     return features_of(spark, d)[1].select("site_id", "component", *_cols)
 
 
+# the sites of every third number are analysed again and keep only their larger regions, or none
+@query("k02_region_events", ["pixels"], f"""WITH {CHANGE}, {SITE_FEATURES} SELECT site_id, component, change_type, area_m2, CASE WHEN site_id % 3 = 0 THEN 2 ELSE 1 END AS analysis FROM fe WHERE site_id % 3 <> 0 OR area_m2 >= 3000""")
+def k02_events(spark, d):
+    found = features_of(spark, d)[1].select("site_id", "component", "change_type", "area_m2", F.lit(1).alias("analysis"))
+    again = found.where("site_id % 3 = 0")
+    stored = LoggedTable.create(fresh_path(spark, "region-events"), sinks.site_buckets(found, "site_id", 16), ["bucket"])
+    stored.replace(sinks.site_buckets(again.where("area_m2 >= 3000").withColumn("analysis", F.lit(2)), "site_id", 16), "site_id", sinks.site_buckets(again, "site_id", 16))
+    return stored.read().drop("bucket")
+
+
 @query("n05_elongation", ["pixels"], f"WITH {CHANGE}, {SITE_FEATURES} SELECT site_id, component, round(elongation, 6) AS elongation, elongation >= 4 AS is_thin FROM fe")
 def n05(spark, d):
     f = features_of(spark, d)[1]
@@ -77,7 +89,7 @@ def n07(spark, d):
     total = lambda f: F.aggregate(sides, F.lit(0).cast("bigint"), lambda acc, e: acc + f(e["p"], e["q"]))
     area = total(lambda p, q: p[0] * q[1] - q[0] * p[1])
     length = total(lambda p, q: F.abs(p[0] - q[0]) + F.abs(p[1] - q[1]))
-    rings = rings.select("site_id", "component", "ring", area.alias("a"), length.alias("l"))
+    rings = rings.select("site_id", regions.component_name(["site_id"], c("component")).alias("component"), "ring", area.alias("a"), length.alias("l"))
     return rings.groupBy("site_id", "component").agg(F.expr("sum(a) div 2").alias("area"), F.sum("l").alias("length"), F.count_if((c("a") > 0) & (c("ring") == 0)).alias("outer_rings"))
 
 
@@ -168,7 +180,7 @@ def temporal(spark, d):
     px = pairs.classify(epoch_pairs(spark, d))
     site = F.floor(c("site_id") / 10)
     features, labelled = regions.region_features(px, ["site_id"], SIZE, SIZE, F.lit(23.0) + site * 0.01)
-    pixels = labelled.join(features.select("site_id", "component", "change_type"), ["site_id", "component"]).select(
+    pixels = labelled.join(features.select("site_id", c("label").alias("component"), "change_type"), ["site_id", "component"]).select(
         F.floor(c("site_id") / 10).alias("site"), "change_type", "prow", "pcol",
         F.date_add(F.lit("2019-06-15").cast("date"), ((F.pmod("site_id", F.lit(10)) + 1) * 365).cast("int")).alias("date_after"))
     return regions.temporal_regions(pixels.withColumnRenamed("site", "site_id"), ["site_id"], 0.0001, F.lit(23.0) + F.first("site_id") * 0.01)
@@ -201,6 +213,6 @@ def a20(spark, d):
     return regions.site_summary(temporal(spark, d), ["site_id"])
 
 
-for _name in ("n04_regions", "n05_elongation", "n06_cross_block_components", "n07_outlines", "n09_grid_regions", "t05_major_boxes", "t05_archive_boxes", "t06_distinct_boxes",
+for _name in ("n04_regions", "k02_region_events", "n05_elongation", "n06_cross_block_components", "n07_outlines", "n09_grid_regions", "t05_major_boxes", "t05_archive_boxes", "t06_distinct_boxes",
               "t07_consolidated_boxes", "u02_region_union", "j13_touching_features", "w07_earliest_date", "a14_region_breakdown", "a20_site_summary"):
     ORACLES[_name] = recursive(ORACLES[_name])

@@ -9,6 +9,7 @@ from ..functions import geo
 from ..operators import events as ev
 from ..session import fresh_path
 from ..sources import readers, sinks
+from ..sources.tables import LoggedTable
 from .filter_plans import boxed
 from .registry import query
 from .scalar_plans import BAND_SQL, FILE_NAME, SENSOR_SQL
@@ -42,6 +43,45 @@ def s02(spark, d):
     return readers.manifest_samples(spark, path)
 
 
+NESTED = F.expr("CAST(replace(region_id, 'region_', '') AS BIGINT) % 2 = 0")
+
+
+def manifest_folder(spark, d):
+    """Manifest documents of every region, nested or flat, and beside each a copy that breaks off."""
+    tiles = table(spark, d, "obs").withColumns({"day": F.date_format("acquisition_date", "yyyy-MM-dd"), "tif": F.concat(F.lit("/data/"), c("tile_id"), F.lit(".tif"))})
+    box = F.array(*[F.round(c(x) + s * 0.0256, 6) for s in (-1, 1) for x in ("centroid_lon", "centroid_lat")])
+    indices = ["mean_ndvi", "mean_ndwi", "mean_ndbi"]
+    nested = F.struct(
+        "tile_id", "scene_id", "site_key", F.lit("sentinel").alias("source_type"), c("day").alias("acquisition_date"), F.struct(c("centroid_lat").alias("latitude"), c("centroid_lon").alias("longitude")).alias("centroid"),
+        box.alias("bounds_epsg4326"), F.struct("cloud_pct", "quality_confidence", (c("quality_confidence") >= 0.7).alias("passed_gate")).alias("quality"), F.struct(*indices).alias("indices"),
+        F.struct(F.array(F.lit("B02"), F.lit("B03")).alias("band_order"), F.lit("reflectance_fixed_10000").alias("pixel_scale")).alias("bands"), F.struct(c("tif").alias("geotiff_path")).alias("storage"))
+    flat = F.struct("tile_id", "scene_id", "site_key", c("day").alias("acquisition_date"), "centroid_lat", "centroid_lon", box.alias("bounds"), "cloud_pct", "quality_confidence", *indices,
+                    F.array(F.lit("B02")).alias("band_order"), c("tif").alias("geotiff_path"))
+    path = fresh_path(spark, "manifests")
+    for layout, record in ((NESTED, nested), (~NESTED, flat)):
+        docs = sinks.manifests(tiles.where(layout), ["region_id"], record, c("obs_id"), 2000).withColumn("source_type", F.lit("organiser"))
+        text = F.to_json(F.struct("manifest_version", "region_id", "source_type", "total_tiles", "tiles"), {"pretty": "true"})
+        whole = docs.select(F.concat_ws("_", "region_id", "part").alias("doc"), text.alias("value"))
+        broken = whole.where("doc LIKE '%\\_0'").select(F.concat("doc", F.lit("_broken")).alias("doc"), F.expr("left(value, length(value) div 2)").alias("value"))
+        whole.unionByName(broken).repartition("doc").write.mode("append").partitionBy("doc").text(path)
+    return path
+
+
+@query("s02_manifest_records", ["obs"], """SELECT region_id, tile_id, scene_id, site_key, strftime(acquisition_date, '%Y-%m-%d') AS acquisition_date, CASE WHEN n % 2 = 0 THEN 'sentinel' ELSE 'organiser' END AS source_type, centroid_lat, centroid_lon,
+ round(centroid_lon - 0.0256, 6) AS min_lon, round(centroid_lat - 0.0256, 6) AS min_lat, round(centroid_lon + 0.0256, 6) AS max_lon, round(centroid_lat + 0.0256, 6) AS max_lat, cloud_pct, quality_confidence, quality_confidence >= 0.7 AS passed_gate,
+ mean_ndvi, mean_ndwi, mean_ndbi, CASE WHEN n % 2 = 0 THEN 'reflectance_fixed_10000' END AS pixel_scale, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END AS bands, '/data/' || tile_id || '.tif' AS geotiff_path FROM (SELECT *, CAST(replace(region_id, 'region_', '') AS BIGINT) AS n FROM obs)""")
+def s02_records(spark, d):
+    found = readers.tile_records(readers.read_documents(spark, manifest_folder(spark, d), readers.FULL_MANIFEST))
+    return found.withColumn("bands", F.size("band_order")).drop("file", "manifest_version", "geometry", "band_order", "band_stats", "thumbnail_path", "bad_mask_path")
+
+
+@query("s02_unreadable", ["obs"], """SELECT region_id, (count(*) + 1999) // 2000 AS readable, 1::BIGINT AS unreadable, count(*) AS tiles FROM obs GROUP BY region_id""")
+def s02_unreadable(spark, d):
+    docs = readers.read_documents(spark, manifest_folder(spark, d), readers.FULL_MANIFEST)
+    region = F.regexp_extract("file", r"doc=(region_\d+)_", 1)
+    return docs.groupBy(region.alias("region_id")).agg(F.count("document").alias("readable"), F.count("unreadable").alias("unreadable"), F.coalesce(F.sum(F.size("document.tiles")), F.lit(0)).alias("tiles"))
+
+
 RING_JSON = "concat('[[', x1, ',', y1, '],[', x2, ',', y2, '],[', x3, ',', y3, '],[', x4, ',', y4, '],[', x1, ',', y1, ']]')"
 AREA_JSON = f"""CASE aoi_no % 4 WHEN 0 THEN concat('{{"type":"Polygon","coordinates":[', {RING_JSON}, ']}}')
  WHEN 1 THEN concat('{{"type":"Feature","properties":{{}},"geometry":{{"type":"Polygon","coordinates":[', {RING_JSON}, ']}}}}')
@@ -130,13 +170,12 @@ def s10(spark, d):
 SELECT tile_id, cloud_pct, batch FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY batch DESC) AS k FROM (SELECT * FROM o UNION ALL SELECT * FROM n)) WHERE k = 1""")
 def k01(spark, d):
     tiles = table(spark, d, "obs")
-    places = [c("region_id"), c("acquisition_date").cast("date").alias("day")]
-    old = tiles.where("obs_id % 5 <> 4").select("tile_id", "cloud_pct", F.lit(1).alias("batch"), *places)
-    new = tiles.where("obs_id % 3 = 0").select("tile_id", (c("cloud_pct") / 2).alias("cloud_pct"), F.lit(2).alias("batch"), *places)
-    path = fresh_path(spark, "tiles")
-    old.hint("rebalance", "region_id", "day").write.partitionBy("region_id", "day").parquet(path)
-    sinks.upsert_in_place(spark, path, new, ["region_id", "day"], ["tile_id"], "batch")
-    return spark.read.parquet(path).select("tile_id", "cloud_pct", "batch")
+    month = F.date_format("acquisition_date", "yyyy-MM").alias("month")
+    old = tiles.where("obs_id % 5 <> 4").select("tile_id", "cloud_pct", F.lit(1).alias("batch"), "region_id", month)
+    new = tiles.where("obs_id % 3 = 0").select("tile_id", (c("cloud_pct") / 2).alias("cloud_pct"), F.lit(2).alias("batch"), "region_id", month)
+    stored = LoggedTable.create(fresh_path(spark, "tiles"), old, ["region_id", "month"])
+    stored.upsert(new, ["tile_id"], "batch")
+    return stored.read().select("tile_id", "cloud_pct", "batch")
 
 
 @query("k02_replace_sites", ["obs"], """SELECT site_key, tile_id, 'old' AS version FROM obs WHERE site_key NOT IN (SELECT site_key FROM obs WHERE quality_confidence > 0.99)
@@ -145,10 +184,9 @@ def k02(spark, d):
     tiles = table(spark, d, "obs")
     old = tiles.select("site_key", "tile_id", F.lit("old").alias("version"))
     new = tiles.where("quality_confidence > 0.99").select("site_key", "tile_id", F.lit("new").alias("version"))
-    path = fresh_path(spark, "events")
-    sinks.site_buckets(old, "site_key").write.partitionBy("bucket").parquet(path)
-    sinks.replace_in_place(spark, path, new, "site_key")
-    return spark.read.parquet(path).select("site_key", "tile_id", "version")
+    stored = LoggedTable.create(fresh_path(spark, "events"), sinks.site_buckets(old, "site_key"), ["bucket"])
+    stored.replace(sinks.site_buckets(new, "site_key"), "site_key")
+    return stored.read().select("site_key", "tile_id", "version")
 
 
 @query("k03_manifest_export", ["obs"], """SELECT region_id, strftime(acquisition_date, '%Y-%m-%d') AS day, count(*) AS total_tiles, count(*) FILTER (WHERE quality_confidence >= 0.70) AS passed, min(tile_id) AS first_tile FROM obs GROUP BY ALL""")

@@ -74,10 +74,50 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema + ", _unreadable string").json(path, multiLine=True, recursiveFileLookup=True, columnNameOfCorruptRecord="_unreadable")
 
 
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per file below ``path``: file, the parsed ``document``, and ``unreadable``, the text of a file that holds no such
+    document (broken JSON, a blank file, a list or a value of another type). Files of no bytes give no row: Spark's file sources skip them."""
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value")
+    parsed = texts.withColumn("_d", F.from_json("value", schema + ", _unreadable string", {"columnNameOfCorruptRecord": "_unreadable", "mode": "PERMISSIVE"}))
+    fields = [f for f in parsed.schema["_d"].dataType.names if f != "_unreadable"]
+    broken = F.col("_d").isNull() | F.col("_d._unreadable").isNotNull() | (F.trim("value") == "")
+    return parsed.select("file", F.when(~broken, F.struct(*[F.col(f"_d.`{f}`").alias(f) for f in fields])).alias("document"), F.when(broken, F.col("value")).alias("unreadable"))
+
+
 def unreadable_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files that hold no such document."""
-    docs = json_documents(spark, path, schema).withColumn("file", F.input_file_name())
-    return docs.where("_unreadable IS NOT NULL").select("file", "_unreadable")
+    return read_documents(spark, path, schema).where("unreadable IS NOT NULL").select("file", F.col("unreadable").alias("_unreadable"))
+
+
+RECORD = ("tile_id: string, scene_id: string, site_key: string, source_type: string, acquisition_date: string, "
+          "centroid: struct<latitude: double, longitude: double>, bounds_epsg4326: array<double>, geometry: string, "
+          "quality: struct<cloud_pct: double, quality_confidence: double, passed_gate: boolean>, indices: struct<mean_ndvi: double, mean_ndwi: double, mean_ndbi: double>, "
+          "bands: struct<band_order: array<string>, band_stats: string, pixel_scale: string>, storage: struct<geotiff_path: string, thumbnail_path: string, bad_mask_path: string>, "
+          # the flat layout
+          "centroid_lat: double, centroid_lon: double, bounds: array<double>, cloud_pct: double, quality_confidence: double, mean_ndvi: double, mean_ndwi: double, mean_ndbi: double, "
+          "band_order: array<string>, geotiff_path: string, thumbnail_path: string, bad_mask_path: string")
+FULL_MANIFEST = ("manifest_version string, generated_at string, region_id string, scene_id string, acquisition_date string, source_type string, total_tiles bigint, "
+                 f"aoi_geometry string, metadata string, tiles array<struct<{RECORD}>>")
+
+
+def tile_records(documents: DataFrame) -> DataFrame:
+    """One row per tile of manifest documents (``document`` of ``read_documents`` with FULL_MANIFEST), in the nested layout with
+    centroid, bounds, quality, indices, bands and storage, or with the same values beside the id. What a tile
+    doesn't say of its scene, date and source, its document does."""
+    rows = documents.where("document IS NOT NULL").select("file", F.col("document.region_id").alias("region_id"), F.col("document").alias("d"), F.explode("document.tiles").alias("t"))
+    both = lambda nested, flat: F.coalesce(F.col(f"t.{nested}"), F.col(f"t.{flat}"))
+    inherited = {n: F.coalesce(F.col(f"t.{n}"), F.col(f"d.{n}")) for n in ("scene_id", "acquisition_date", "source_type")}
+    confidence = both("quality.quality_confidence", "quality_confidence")
+    bounds = both("bounds_epsg4326", "bounds")
+    edges = dict(zip(("min_lon", "min_lat", "max_lon", "max_lat"), (F.get(bounds, F.lit(i)) for i in range(4))))
+    return rows.select(
+        "file", "region_id", F.col("d.manifest_version").alias("manifest_version"), F.col("t.tile_id").alias("tile_id"), F.col("t.site_key").alias("site_key"),
+        *[v.alias(n) for n, v in inherited.items()],
+        both("centroid.latitude", "centroid_lat").alias("centroid_lat"), both("centroid.longitude", "centroid_lon").alias("centroid_lon"), *[v.alias(n) for n, v in edges.items()],
+        F.col("t.geometry").alias("geometry"), both("quality.cloud_pct", "cloud_pct").alias("cloud_pct"), confidence.alias("quality_confidence"),
+        F.coalesce("t.quality.passed_gate", confidence >= K.QUALITY_GATE).alias("passed_gate"), *[both(f"indices.{n}", n).alias(n) for n in ("mean_ndvi", "mean_ndwi", "mean_ndbi")],
+        both("bands.band_order", "band_order").alias("band_order"), F.col("t.bands.band_stats").alias("band_stats"), F.col("t.bands.pixel_scale").alias("pixel_scale"),
+        *[both(f"storage.{n}", n).alias(n) for n in ("geotiff_path", "thumbnail_path", "bad_mask_path")])
 
 
 def aoi_registry(spark: SparkSession, path: str) -> DataFrame:
