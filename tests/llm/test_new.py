@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from tilewright.llm import grammar, outliers, repair, runs
+from tilewright.llm import grammar, outliers, repair, runs, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -292,3 +293,64 @@ def test_outliers_of_few_rows(spark):
     assert outliers.judge(frame(spark, [(1, "a b")]).limit(0)).collect() == []
     got = {r.doc_id: (r.base_failed, r.kept) for r in outliers.judge(frame(spark, [(1, "a b"), (2, " ".join(map(str, range(40)))), (3, None)])).collect()}
     assert got == {1: (True, False), 2: (False, True), 3: (True, False)}
+
+
+# ---- formats of secrets --------------------------------------------------------------
+
+
+def test_bare_keys_of_learnt_formats_are_found(spark):
+    """Keys of three labelled formats, bare, and letters alone, against ordinary text with numbers and addresses."""
+    rng = random.Random(1)
+    stems = ["ing", "tion", "er", "the", "con", "ent", "ap", "lo", "str", "able", "wor", "und", "pre", "is"]
+    word = lambda: "".join(rng.choice(stems) for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", "", ".", ",", "-wise"])
+    prose = lambda n: " ".join(word() for _ in range(n))
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    both = string.ascii_letters + string.digits
+    formats = {"mixed": lambda: draw(both, 24), "prefixed": lambda: "sk-live_" + draw("0123456789abcdef", 20),
+               "dotted": lambda: draw(string.ascii_uppercase, 5) + "." + draw(both, 10) + "." + draw(string.digits, 6), "letters": lambda: draw(string.ascii_lowercase, 16)}
+    rows, keys = [], {}
+    for make in formats.values():
+        rows += [(len(rows) + i, f'{prose(40)} secret = "{make()}" {prose(20)}') for i in range(300)]
+    for name, make in formats.items():
+        for _ in range(100):
+            keys[len(rows)] = name, make()
+            rows.append((len(rows), f"{prose(20)} {keys[len(rows)][1]} {prose(20)}"))
+    clean = [(len(rows) + i, f"{prose(60)} 2024-01-{i % 28 + 1:02d} mail {word()}.{word()}@example.com +49-170-{rng.randrange(10**7):07d} 10.{i % 256}.30.40 {rng.randrange(10**16):016d}") for i in range(2000)]
+    rows += clean
+    df = frame(spark, rows)
+    model = secrets.train(secrets.counts(df.select("text")))
+    assert all(len(a.next) > 2 for a in model.automata.values())  # states beside the one for what is unknown
+    got = {r.doc_id: [s for s in r.spans if s.kind == "format"] for r in secrets.spans(df).collect()}
+    texts = dict(rows)
+    found = Counter(name for i, (name, key) in keys.items() if any(texts[i][s.start : s.end] == key for s in got[i]))
+    assert min(found[n] for n in ("mixed", "prefixed", "dotted")) >= 90 and found["letters"] >= 50, found
+    assert sum(len(got[i]) for i, _ in clean) <= 2  # of about 30,000 candidates
+    redacted = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert sum(key in redacted[i] for i, (_, key) in keys.items()) <= 400 - sum(found.values())
+    assert sum(redacted[i] != t for i, t in clean) <= 2
+
+
+def test_automaton_scores_and_candidates():
+    """Scores of whole arrays equal a walk by hand; candidates are what a regular expression finds beside base matches."""
+    rng = random.Random(4)
+    counts = Counter()
+    for _ in range(500):
+        text = rng.choice(["d" * 4 + "-" + "x" * 3, "lx" * 3, "XL" + "d" * 9]) + "$"
+        counts.update(text[:k] for k in range(len(text) + 1))
+    usual = {s: 1 / len(secrets.CLASSES) for s in secrets.CLASSES}
+    automaton = secrets.Automaton(counts, 0.05, usual)
+    words = [b"1234-abc", b"zaza" * 600, b"ZZ9", b"abcd?"]
+    chars = np.frombuffer(b"".join(words), np.uint8)
+    start = np.cumsum([0] + [len(w) for w in words[:-1]])
+    for w, score in zip(words, automaton.score(chars, start)):
+        state, total = 0, 0.0
+        for c in w:
+            total += automaton.logs[state, secrets.PLACE_OF[c]]
+            state = automaton.next[state, secrets.PLACE_OF[c]]
+        assert abs(total - score) < 1e-6 * max(1, abs(total))
+    texts = ["", "abcdefgh", None, "..longer-one.. x token=abcdefgh1 é12345678", "wxyz" * 5000, "short", "........", "A1b2C3d4"]
+    import pyarrow as pa
+    from tilewright.llm.kernel import Texts
+    column = Texts(pa.array(texts))
+    data, row, begin, end = secrets.candidates(column, 0, len(texts), secrets.find(column, 0, len(texts)))
+    assert [(r, data[a:b].tobytes().decode()) for r, a, b in zip(row, begin, end)] == [(1, "abcdefgh"), (3, "longer-one"), (3, "12345678"), (4, "wxyz" * 5000), (7, "A1b2C3d4")]
