@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from .kernel import BITS, hit
 
 
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers of this session take and return at most 4 MB of rows at a time. The default counts rows, of which
+    10,000 long texts fill tens of MB on the JVM's side, outside its heap, and again in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: its lineage ends there, so a
     lost executor costs a read, and later uses don't compute it again."""
