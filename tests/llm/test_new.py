@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from tilewright.llm import grammar, outliers, repair, runs, secrets
+from tilewright.llm import grammar, gru, lm, outliers, repair, runs, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -354,3 +354,24 @@ def test_automaton_scores_and_candidates():
     column = Texts(pa.array(texts))
     data, row, begin, end = secrets.candidates(column, 0, len(texts), secrets.find(column, 0, len(texts)))
     assert [(r, data[a:b].tobytes().decode()) for r, a, b in zip(row, begin, end)] == [(1, "abcdefgh"), (3, "longer-one"), (3, "12345678"), (4, "wxyz" * 5000), (7, "A1b2C3d4")]
+
+
+# ---- language model ------------------------------------------------------------------
+
+
+def test_the_model_does_not_depend_on_splits(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(1, 90)))) for i in range(400)] + [(None, "w1 w2"), (None, None), (7, "w1")]
+    models = []
+    for parts in (1, 8):
+        docs = frame(spark, rows).repartition(parts)
+        lexicon = lm.Lexicon(lm.token_counts(docs), 1 << 17, 30)
+        models.append(lm.fit(docs, lexicon, hidden=6, shard=3000))  # several shards a round
+        slots = lm.encoded(docs, lexicon, 6, 1, 1)
+        numbers = [np.frombuffer(r.words, np.int16) for r in slots.collect()]
+        assert len(numbers) == len(rows) and sum(map(len, numbers)) == lexicon.tokens and all(x[-1] == lexicon.end for x in numbers)
+        assert slots.select("slot").distinct().count() == 6
+    start = gru.start(lexicon.amount, 6, 1)
+    for k in start:
+        assert np.allclose(models[0][k], models[1][k], rtol=1e-4, atol=1e-5)
+    assert not np.allclose(models[0]["hidden"], start["hidden"])

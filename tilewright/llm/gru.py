@@ -64,10 +64,29 @@ def step(model: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple:
     return after, (reset, update, new, own[:, 2 * size :])
 
 
+LARGE = 60.0  # exponents up to here are safe in single precision, sums over thousands of words included
+
+
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp(x - top) in place, row by row, and top: 0 where no exponent is large, which saves two passes over the rows."""
+    top = 0.0
+    if x.size and x.max() > LARGE:
+        top = x.max(1)
+        x -= top[:, None]
+    return np.exp(x, out=x), top
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    x = x - top[:, None]
-    return top + np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+    x, top = _exp(x.copy())
+    return top + np.log(x @ np.ones(x.shape[1], x.dtype))
+
+
+def _softmax_error(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Derivative of the mean loss by the logits, in place."""
+    x, _ = _exp(x)
+    x *= (1 / (len(x) * (x @ np.ones(x.shape[1], x.dtype))))[:, None]
+    x[np.arange(len(x)), place] -= x.dtype.type(1 / len(x))
+    return x
 
 
 def log_prob(model: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -142,13 +161,11 @@ def _window(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.nd
     by_row = lambda z: z.transpose(0, 2, 1).reshape(steps * lanes, -1)
     flat, target = by_row(states), y.ravel()
     group = target // SIZE
-    n, every = len(target), np.arange(len(target))
+    n = len(target)
     grad = {}
-    p = flat @ model["class"].T + model["class_bias"]
-    p = np.exp(p - p.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[every, group] -= 1
-    p /= n
+    p = flat @ model["class"].T
+    p += model["class_bias"]
+    p = _softmax_error(p, group)
     grad["class"], grad["class_bias"] = (slice(None), p.T @ flat), (slice(None), p.sum(0))
     back = p @ model["class"]
     order = np.argsort(group, kind="stable")
@@ -160,11 +177,7 @@ def _window(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.nd
     for c, rows in spans:
         np.matmul(sorted_states[rows], model["word"][c].T, out=p[rows])
         p[rows] += model["word_bias"][c]
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    p[every, target[order] - group[order] * SIZE] -= 1
-    p /= n
+    p = _softmax_error(p, target[order] - group[order] * SIZE)
     inner, through = np.empty((len(used), SIZE, size), kind), np.empty((n, size), kind)
     for i, (c, rows) in enumerate(spans):
         np.matmul(p[rows].T, sorted_states[rows], out=inner[i])
@@ -203,7 +216,7 @@ def gradient(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.n
     return grad, h
 
 
-def train(model: dict[str, np.ndarray], words: np.ndarray, end: int, lanes: int = 32, window: int = 16, rate: float = 0.05,
+def train(model: dict[str, np.ndarray], words: np.ndarray, end: int, lanes: int = 96, window: int = 16, rate: float = 0.07,
           seen: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """One pass over a stream of documents, each closed by ``end``: truncated backpropagation
     through time with Adagrad. The stream is read in parallel lanes. ``seen`` carries Adagrad's sums

@@ -6,10 +6,10 @@ apart by 64-bit hashes.
 1. *Counts*: tokens of all training documents, summed per block of texts before the shuffle.
 2. The most frequent ``vocabulary`` tokens, the end and one symbol for all other words form the
    model's output; its classes follow the frequencies.
-3. *Training* (``gru``): all training documents once, dealt by a hash of the id to ``rounds`` parts
-   (``share`` > 1 reads one in so many). Every task trains on its own documents from the same start; the
-   parameters are averaged by Spark, weighted by tokens, in two steps so that no task holds more
-   than 64 copies of a slice at first.
+3. *Training* (``gru``): all training documents once (``share`` > 1 reads one in so many), as word numbers that are stored once and dealt
+   by a hash of id and text to ``rounds`` rounds of shards of about ``SHARD`` tokens. Every shard is learnt in the order of the
+   hash, from the same start; the parameters are averaged by Spark with partial sums, weighted by tokens. So the model depends on the
+   documents, not on how the input is split.
 4. *Scoring*: each document is read as a whole, its state carried across windows. Another word's
    probability is that of the symbol times the word's share among all other words, add-half
    smoothed; so every text has a probability.
@@ -27,16 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
 from .kernel import NOT_SPACE, HashTable, Texts, Words, signed
-from .store import materialise
+from .store import discard, materialise
 
 U = np.uint64
 END = 0x0E0D0E0D0E0D0E0D  # code of the end, outside of what words are likely to hash to
 SLICE = 4096
+SHARD = 1 << 22  # tokens that are learnt one after the other between two averages
 STREAM = 1 << 22  # tokens that a task trains on at once
 
 
@@ -105,49 +108,77 @@ def with_ends(words: Words, numbers: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, first, count
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, hidden: int = 24, share: int = 1, rounds: int = 2, seed: int = 1) -> dict[str, np.ndarray]:
+def encoded(docs: DataFrame, lexicon: Lexicon, slots: int, share: int, seed: int) -> DataFrame:
+    """Word numbers of one in ``share`` documents, each closed by the end, dealt to ``slots`` by a hash of id and text."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    kind = np.int16 if len(lexicon.amount) < 1 << 15 else np.int32
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        for batch in batches:
+            texts = Texts(batch.column(2))
+            for first, last in texts.parts():
+                words = Words(texts, first, last, NOT_SPACE)
+                numbers, start, _ = with_ends(words, lexicon.numbers(lexicon.table.find(words.code)), lexicon.end)
+                data = numbers.astype(kind)
+                bounds = (np.append(start, len(data)) * data.itemsize).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), column], names=["slot", "key", "words"])
+
+    key = F.xxhash64("doc_id", "text", F.lit(seed))
+    rows = docs.select(key.alias("key"), "text").where(F.pmod(F.shiftrightunsigned("key", 20), F.lit(share)) == 0)
+    return materialise(rows.select(F.pmod("key", F.lit(slots)).cast("int").alias("slot"), "key", "text").mapInArrow(encode, "slot int, key bigint, words binary"), "word-numbers")
+
+
+def fit(docs: DataFrame, lexicon: Lexicon, hidden: int = 24, share: int = 1, rounds: int = 2, seed: int = 1, shard: int = SHARD) -> dict[str, np.ndarray]:
     """Train on one in ``share`` documents, each read in one of the rounds."""
     spark = docs.sparkSession
     model = gru.start(lexicon.amount, hidden, seed)
+    shards = max(1, -(-lexicon.tokens // (share * rounds * shard)))
+    stored = encoded(docs, lexicon, rounds * shards, share, seed)
+    kind = np.int16 if len(lexicon.amount) < 1 << 15 else np.int32
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((model, lexicon))
+        shared = spark.sparkContext.broadcast((model, lexicon.end))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, lexicon = shared.value
-            stream, held, n, seen = [], 0, 0, {}
+            start, end = shared.value
+            slot, model, stream, held, n, seen = None, start, [], 0, 0, {}
 
             def on() -> None:
                 nonlocal model, stream, held
-                model = gru.train(model, np.concatenate(stream), lexicon.end, seen=seen)
+                if held:
+                    model = gru.train(model, np.concatenate(stream).astype(np.int32), end, seen=seen)
                 stream, held = [], 0
 
-            for batch in batches:
-                texts = Texts(batch.column(0))
-                for first, last in texts.parts():
-                    words = Words(texts, first, last, NOT_SPACE)
-                    stream.append(with_ends(words, lexicon.numbers(lexicon.table.find(words.code)), lexicon.end)[0])
-                    held, n = held + len(stream[-1]), n + len(stream[-1])
-                    if held >= STREAM:  # a bound on memory; Adagrad's sums go on
-                        on()
-            if n:
-                if held:
-                    on()
+            def told() -> Iterator[pa.RecordBatch]:
+                on()
                 flat = gru.flatten(model)
                 for i in range(0, len(flat), SLICE):
-                    yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([float(n)]), pa.array([flat[i : i + SLICE].tolist()], pa.list_(pa.float32()))],
+                    yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([float(n)]), pa.array([flat[i : i + SLICE].astype(np.float64)], pa.list_(pa.float64()))],
                                                      names=["part", "weight", "values"])
 
-        def average(group: pd.DataFrame) -> pd.DataFrame:
-            weight = group["weight"].to_numpy()
-            values = np.average(np.stack(group["values"].to_list()), axis=0, weights=weight).astype(np.float32)
-            return pd.DataFrame({"part": [group["part"].iloc[0]], "weight": [weight.sum()], "values": [values]})
+            for batch in batches:
+                for own, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if own != slot:
+                        if n:
+                            yield from told()
+                        slot, model, n, seen = own, start, 0, {}
+                    words = np.frombuffer(words.as_buffer(), kind)
+                    for at in range(0, len(words), STREAM):
+                        stream.append(words[at : at + STREAM].copy())
+                        held, n = held + len(stream[-1]), n + len(stream[-1])
+                        if held >= STREAM:  # a bound on memory; Adagrad's sums go on
+                            on()
+            if n:
+                yield from told()
 
-        schema = "part int, weight double, values array<float>"
-        sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(share * rounds)) == turn * share).select("text")
-        learnt = sample.mapInArrow(learn, schema).withColumn("bundle", F.floor(F.spark_partition_id() / 64))
-        rows = learnt.groupBy("part", "bundle").applyInPandas(average, schema).groupBy("part").applyInPandas(average, schema).collect()
+        own = stored.where(F.pmod("slot", F.lit(rounds)) == turn).repartition(min(4 * shards, 20_000), "slot").sortWithinPartitions("slot", "key")
+        learnt = own.select("slot", "words").mapInArrow(learn, "part int, weight double, values array<double>").select("part", "weight", array_to_vector("values").alias("values"))
+        mean = learnt.groupBy("part").agg(Summarizer.mean(F.col("values"), F.col("weight")).alias("values"))
+        rows = mean.select("part", vector_to_array("values").alias("values")).collect()  # one model
         if rows:
             model = gru.restore(np.concatenate([np.array(r["values"], np.float32) for r in sorted(rows, key=lambda r: r.part)]), model)
+    discard(stored)
     return model
 
 
