@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from tilewright.llm import grammar, gru, lm, outliers, repair, runs, secrets
+from tilewright.llm import decontaminate, grammar, gru, lm, outliers, repair, runs, secrets, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -375,3 +375,25 @@ def test_the_model_does_not_depend_on_splits(spark):
     for k in start:
         assert np.allclose(models[0][k], models[1][k], rtol=1e-4, atol=1e-5)
     assert not np.allclose(models[0]["hidden"], start["hidden"])
+
+
+# ---- repeated and null ids -----------------------------------------------------------
+
+
+def test_payloads_of_pages_that_share_an_id(spark):
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    rows = [(1, "u", a), (2, "u", b), (3, "u", a), (3, "u", b), (3, "u", c), (3, "u", "short"), (4, "u", c), (None, "u", a), (None, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = warc.read(warc.write(pages)).collect()
+    seen = sorted((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to or 0, r.payload or b"") for r in got)
+    said = {(3, a): ("revisit", 1), (3, b): ("revisit", 2), (4, c): ("revisit", 3)}
+    assert seen == sorted((i or 0, SHA(t or ""), *said.get((i, t), ("response", 0)), b"" if (i, t) in said else (t or "").encode()) for i, _, t in rows)
+
+
+def test_items_without_id_or_with_a_shared_one(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(30)) for _ in range(4)]
+    items = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (None, texts[2]), (7, texts[0]), (8, None)], "item_id bigint, text string")
+    docs = frame(spark, [(i, f"some words before {t} and after") for i, t in enumerate(texts)])
+    assert sorted((r.doc_id, r.item_id or 0, r.n_item, r.n_shared) for r in decontaminate.contained(docs, items).collect()) == [(0, 7, 26, 26), (1, 7, 26, 26), (2, 0, 26, 26)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]

@@ -17,7 +17,8 @@ searched in the document's full set:
   The join with the item table is exact, so a bitmap that fills up costs time, not results.
 * Containment is then counted exactly on the sets.
 
-Documents with null ids are reported under a null id only if they hold an item; repeated rows
+Items are told apart by id and text: those that share an id, or have none, are items of their own, reported under their id or
+null. Documents with null ids are reported under a null id only if they hold an item; repeated rows
 count once per id.
 """
 
@@ -37,11 +38,11 @@ WIDTH = 5
 
 
 def item_shingles(items: DataFrame, percent: int = 75) -> DataFrame:
-    """Rows (item_id, width, n, allowed, hash, in_sketch, k) of all items' sets."""
+    """Rows (item, item_id, width, n, allowed, hash, in_sketch, k) of all items' sets; ``item`` stands for id and text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = Texts(batch.column(1))
+            texts = Texts(batch.column(2))
             for first, last in texts.parts():
                 words = Words(texts, first, last, NOT_SPACE)
                 for width in range(1, WIDTH + 1):
@@ -56,12 +57,13 @@ def item_shingles(items: DataFrame, percent: int = 75) -> DataFrame:
                     k = np.minimum(top + (-top * percent) // 100 + 1, n)
                     allowed = n + (-n * percent) // 100
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, last - first).take(pa.array(row)), pa.array(np.full(len(row), width, np.int32)), pa.array(n[row]),
+                        [*(batch.column(c).slice(first, last - first).take(pa.array(row)) for c in (0, 1)), pa.array(np.full(len(row), width, np.int32)), pa.array(n[row]),
                          pa.array(allowed[row]), signed(code), pa.array(place < k[row]), pa.array(k[row])],
-                        names=["item_id", "width", "n", "allowed", "hash", "in_sketch", "k"])
+                        names=["item", "item_id", "width", "n", "allowed", "hash", "in_sketch", "k"])
 
-    schema = "item_id bigint, width int, n bigint, allowed bigint, hash bigint, in_sketch boolean, k bigint"
-    return items.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL").dropDuplicates(["item_id"]).mapInArrow(rows, schema)
+    schema = "item bigint, item_id bigint, width int, n bigint, allowed bigint, hash bigint, in_sketch boolean, k bigint"
+    known = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    return known.select(F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item"), "item_id", "text").mapInArrow(rows, schema)
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
@@ -88,8 +90,8 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row)), signed(code)], names=["doc_id", "hash"])
 
     found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(search, "doc_id bigint, hash bigint").distinct()
-    both = found.join(parts, "hash").groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_shared"), F.sum(F.col("in_sketch").cast("bigint")).alias("in_sketch"), F.max("n").alias("n_item"),
+    both = found.join(parts, "hash").groupBy("doc_id", "item").agg(
+        F.max("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_shared"), F.sum(F.col("in_sketch").cast("bigint")).alias("in_sketch"), F.max("n").alias("n_item"),
         F.max("allowed").alias("allowed"), F.max("k").alias("k"))
     candidates = both.where("in_sketch >= greatest(1, k - allowed)")
     return candidates.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select(

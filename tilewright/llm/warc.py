@@ -83,17 +83,18 @@ def parse(data: bytes, with_payload: bool) -> dict:
 
 
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Rows (page_id, refers_to) of pages whose payload an earlier page has; html stays where it is."""
+    """Rows (page_id, digest, refers_to) of pages whose payload an earlier page has; html stays where it is."""
     known = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("bigint").alias("page_id"), F.octet_length("html").alias("n"), F.sha2(F.encode("html", "UTF-8"), 256).alias("digest")).where(F.col("n") >= least)
     first = known.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).where("refers_to != _last").drop("_last")
-    return known.join(first, ["digest", "n"]).where("page_id != refers_to").select("page_id", "refers_to").distinct()
+    return known.join(first, ["digest", "n"]).where("page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, least: int = 100, archive_bytes: int = 64 << 20, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
     """Write all pages (page_id, url, html) below the shared folder; returns the manifest (path, records)."""
     folder = fresh_path(pages.sparkSession, "archives")
     again = materialise(revisits(pages, least), "revisits").withColumnRenamed("page_id", "_page")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html").join(again, F.col("page_id") == F.col("_page"), "left")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha2(F.encode("html", "UTF-8"), 256).alias("_own"))
+    rows = rows.join(again, (F.col("page_id") == F.col("_page")) & (F.col("_own") == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(folder)
