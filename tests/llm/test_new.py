@@ -8,8 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from tilewright.llm import decontaminate, grammar, gru, lm, outliers, repair, runs, secrets, warc
+from pyspark.sql import functions as F
+from tilewright.llm import decontaminate, grammar, gru, kernel, langid, lm, outliers, repair, runs, secrets, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -349,9 +351,7 @@ def test_automaton_scores_and_candidates():
             state = automaton.next[state, secrets.PLACE_OF[c]]
         assert abs(total - score) < 1e-6 * max(1, abs(total))
     texts = ["", "abcdefgh", None, "..longer-one.. x token=abcdefgh1 é12345678", "wxyz" * 5000, "short", "........", "A1b2C3d4"]
-    import pyarrow as pa
-    from tilewright.llm.kernel import Texts
-    column = Texts(pa.array(texts))
+    column = kernel.Texts(pa.array(texts))
     data, row, begin, end = secrets.candidates(column, 0, len(texts), secrets.find(column, 0, len(texts)))
     assert [(r, data[a:b].tobytes().decode()) for r, a, b in zip(row, begin, end)] == [(1, "abcdefgh"), (3, "longer-one"), (3, "12345678"), (4, "wxyz" * 5000), (7, "A1b2C3d4")]
 
@@ -397,3 +397,57 @@ def test_items_without_id_or_with_a_shared_one(spark):
     docs = frame(spark, [(i, f"some words before {t} and after") for i, t in enumerate(texts)])
     assert sorted((r.doc_id, r.item_id or 0, r.n_item, r.n_shared) for r in decontaminate.contained(docs, items).collect()) == [(0, 7, 26, 26), (1, 7, 26, 26), (2, 0, 26, 26)]
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
+# ---- words of any length -------------------------------------------------------------
+
+
+def test_long_words_sum_all_segmentations():
+    """Words beyond 32 bytes, by a sum over the first piece; expected counts by the derivative of the total."""
+    pieces = langid.Pieces(langid.vocabulary_path())
+    rng = np.random.default_rng(3)
+    prob = rng.dirichlet(np.ones(pieces.size), 2).T
+    assert pieces.longest > 12
+    texts = ["internationalisierungsmassnahmenkatalogefragen", "приватизационныйдоговор", "x" * 33, "the"]
+    column = kernel.Texts(pa.array(texts))
+    own = kernel.Words(column, 0, len(texts), kernel.LETTERS)
+    assert [i for i, _ in langid.long_words(column, own, np.arange(4))] == [0, 1, 2] and langid.cut_words(column, own, np.arange(4))[2].tolist() == [3]
+
+    def number(table, raw):
+        data = np.frombuffer(raw, np.uint8)
+        return int(langid.Pieces.look_up(table, (kernel.BYTE_VALUE[data] * langid.POWER[: len(data)]).sum(dtype=np.uint64, keepdims=True))[0])
+
+    def total(raw, prob):
+        rest = [np.zeros(prob.shape[1]) for _ in raw] + [np.ones(prob.shape[1])]
+        for at in range(len(raw) - 1, -1, -1):
+            for end in range(at + 1, min(len(raw), at + pieces.longest) + 1):
+                i = number(pieces.inner, raw[at:end])
+                rest[at] = rest[at] + (prob[i] * rest[end] if i >= 0 else 0)
+        out = prob[pieces.mark] * rest[0]
+        for end in range(1, min(len(raw), pieces.longest) + 1):
+            i = number(pieces.first, raw[:end])
+            out = out + (prob[i] * rest[end] if i >= 0 else 0)
+        return out
+
+    for i, word in langid.long_words(column, own, np.arange(4)):
+        raw = word.tobytes()
+        assert np.exp(langid.long_forward(pieces, word, langid.logs_of(prob))[-1]) == pytest.approx(total(raw, prob), rel=1e-9)
+        counts = np.zeros(prob.shape)
+        langid.long_expected(pieces, word, 3.0, 1, langid.logs_of(prob), counts)
+        assert not counts[:, 0].any()
+        for piece in rng.choice(np.flatnonzero(counts[:, 1]), 3):
+            more = prob.copy()
+            more[piece] *= 1 + 1e-6
+            assert counts[piece, 1] == pytest.approx(3 * (np.log(total(raw, more)[1]) - np.log(total(raw, prob)[1])) / 1e-6, rel=1e-3, abs=1e-6)
+    data, length, owner = langid.cut_words(column, own, np.arange(4))
+    assert langid.long_forward(pieces, data[0, : length[0]], langid.logs_of(prob))[-1] == pytest.approx(langid.forward(pieces, data, length, prob)[0])
+
+
+def test_languages_of_long_words_and_clashing_names(spark):
+    rng = random.Random(2)
+    make = lambda stem: "".join(rng.choice(stem) for _ in range(30))
+    stems = {"aa": ["mel", "tor", "nid"], "zz": ["приз", "дог", "вор"]}
+    rows = [(i, make(stems[k]) + " " + make(stems[k]), k) for i, k in enumerate(["aa", "zz"] * 40)] + [(1000, "q" * 20_000, "aa"), (1001, None, "aa"), (1002, make(stems["zz"]), None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, lang string, _limit int, n string").repartition(3)
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs.where("doc_id < 1002"))).collect()}
+    assert all(found[i] == k for i, _, k in rows[:80]) and found[1001] == "und" and found[1002] == "zz"

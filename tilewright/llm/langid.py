@@ -5,8 +5,8 @@ model file, read only). The probability of a word is the sum over all its segmen
 pieces, computed by a forward algorithm; the text's is the product over its words. Pieces never
 cross words, so each distinct word of a block of text is scored once.
 
-Words are runs of letters (A-Z lower-cased; every non-ASCII byte counts as one); those longer
-than 32 bytes are scored 32 bytes at a time. A word begins with a word-initial piece, or with the
+Words are runs of letters (A-Z lower-cased; every non-ASCII byte counts as one), of any length: many words of up to
+32 bytes are scored together, longer ones one by one in the log domain. All pieces of letters are used. A word begins with a word-initial piece, or with the
 bare word mark. Single bytes are pieces of every language, so no word has probability zero.
 
 Piece probabilities are estimated by expectation-maximisation (forward-backward over the
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from .kernel import BASE, BYTE_VALUE, LETTERS, LOWER, Texts, Words
 
 U = np.uint64
-LONGEST = 32  # bytes of a word scored at once
-PIECE_BYTES = 12  # longer pieces of the vocabulary are left out
+LONGEST = 32  # bytes of words that are scored together
+PIECE_BYTES = 256  # an upper bound on the vocabulary's pieces, which is checked
 TABLE_BITS = 20
 LEAST = 32  # documents of a language in the sample, if it has as many
 FLOOR = 0.01  # share of the uniform distribution
-POWER = np.array([pow(BASE, i, 1 << 64) for i in range(LONGEST + 1)], U)
+POWER = np.array([pow(BASE, i, 1 << 64) for i in range(PIECE_BYTES + 1)], U)
 SPREAD = U(0x9E3779B97F4A7C15)
 
 
@@ -67,9 +67,12 @@ class Pieces:
             text = model.id_to_piece(i)
             table, text = (first, text[1:]) if text.startswith("▁") else (inner, text)
             raw = LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes()
-            if len(raw) <= PIECE_BYTES and (not raw or LETTERS[np.frombuffer(raw, np.uint8)].all()) and raw not in table:
+            if len(raw) > PIECE_BYTES:
+                raise ValueError(f"a piece of {len(raw)} bytes")
+            if (not raw or LETTERS[np.frombuffer(raw, np.uint8)].all()) and raw not in table:
                 table[raw], n = n, n + 1
         self.size = n
+        self.longest = max(map(len, [*inner, *first]))
         self.mark = first.pop(b"", None)
         if self.mark is None:
             self.mark, self.size = n, n + 1
@@ -113,7 +116,7 @@ def arcs(pieces: Pieces, words: np.ndarray, length: np.ndarray) -> Iterator[tupl
     yield -1, 0, np.arange(len(words)), np.full(len(words), pieces.mark)
     for end in range(1, longest + 1):
         n = active[end]
-        for begin in range(max(0, end - PIECE_BYTES), end):
+        for begin in range(max(0, end - pieces.longest), end):
             keys[begin] = keys[begin][:n] + value[:n, end - 1] * POWER[end - begin - 1]
             found = Pieces.look_up(pieces.inner, keys[begin])
             rows = np.flatnonzero(found >= 0)
@@ -155,18 +158,79 @@ def expected(pieces: Pieces, words: np.ndarray, length: np.ndarray, count: np.nd
 
 
 def cut_words(texts: Texts, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of bytes, length, index into ``which``), longest first; long words in several rows."""
-    begin, end = words.begin[which], words.end[which]
-    parts = np.maximum(1, -(-(end - begin) // LONGEST))
-    owner = np.repeat(np.arange(len(which)), parts)
-    begin = begin[owner] + LONGEST * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
-    length = np.minimum(end[owner] - begin, LONGEST)
-    order = np.argsort(-length, kind="stable")
-    begin, length, owner = begin[order], length[order], owner[order]
+    """(rows of bytes, length, index into ``which``) of the words of up to LONGEST bytes, longest first."""
+    length = words.end[which] - words.begin[which]
+    owner = np.flatnonzero(length <= LONGEST)
+    owner = owner[np.argsort(-length[owner], kind="stable")]
+    begin, length = words.begin[which][owner], length[owner]
     at = np.minimum(begin[:, None] + np.arange(LONGEST), max(len(texts.bytes) - 1, 0))
     return texts.bytes[at], length, owner
 
 
+def long_words(texts: Texts, words: Words, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(index into ``which``, bytes) of the longer words."""
+    for i in np.flatnonzero(words.end[which] - words.begin[which] > LONGEST).tolist():
+        yield i, texts.bytes[words.begin[which[i]] : words.end[which[i]]]
+
+
+def ending(pieces: Pieces, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece numbers by end (from 1) and length (from 1), -1 where there is none: those inside a word, and those that begin it."""
+    n, width = len(word), min(pieces.longest, len(word))
+    inner, value, key = np.full((n + 1, width), -1, np.int32), BYTE_VALUE[word], np.zeros(n, U)
+    first = np.full(n + 1, -1, np.int32)
+    for size in range(1, width + 1):
+        key = key[: n - size + 1] + value[size - 1 :] * POWER[size - 1]
+        inner[size:, size - 1] = Pieces.look_up(pieces.inner, key)
+        first[size] = Pieces.look_up(pieces.first, key[:1])[0]
+    return inner, first
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+def long_forward(pieces: Pieces, word: np.ndarray, log_prob: np.ndarray) -> np.ndarray:
+    """``forward`` for one word of any length; logarithms (pieces and a last row of -inf, languages). Row i of the
+    result is the sum over all segmentations of the first i bytes."""
+    inner, first = ending(pieces, word)
+    width = inner.shape[1]
+    alpha = np.full((width + len(word) + 1, log_prob.shape[1]), -np.inf)  # place 0 is row ``width``
+    alpha[width] = log_prob[pieces.mark]
+    for end in range(1, len(word) + 1):
+        terms = log_prob[inner[end]] + alpha[width + end - 1 : end - 1 : -1]
+        alpha[width + end] = _log_sum(np.concatenate([terms, log_prob[first[end]][None]]) if end <= width else terms)
+    return alpha[width:]
+
+
+def long_expected(pieces: Pieces, word: np.ndarray, count: float, lang: int, log_prob: np.ndarray, out: np.ndarray) -> None:
+    """``expected`` for one word of any length, added to ``out``."""
+    own = np.ascontiguousarray(log_prob[:, lang : lang + 1])
+    inner, first = ending(pieces, word)
+    n, width = len(word), inner.shape[1]
+    alpha = long_forward(pieces, word, own)[:, 0]
+    beta = np.full(n + width + 1, -np.inf)
+    beta[n] = 0.0
+    ends, sizes = np.arange(n + 1)[:, None], np.arange(1, width + 1)[None, :]
+    begins = ends - sizes
+    following = np.full((n, width), -1, np.int32)  # pieces by begin
+    inside = begins >= 0
+    following[begins[inside], np.broadcast_to(sizes - 1, inside.shape)[inside]] = inner[inside]
+    for begin in range(n - 1, -1, -1):
+        beta[begin] = _log_sum(own[following[begin], 0] + beta[begin + 1 : begin + width + 1])
+    b, k = np.nonzero(following >= 0)
+    ids = following[b, k]
+    np.add.at(out, (ids, lang), count * np.exp(alpha[b] + own[ids, 0] + beta[b + k + 1] - alpha[n]))
+    e = np.flatnonzero(first >= 0)
+    np.add.at(out, (first[e], lang), count * np.exp(own[first[e], 0] + beta[e] - alpha[n]))
+    out[pieces.mark, lang] += count * np.exp(own[pieces.mark, 0] + beta[0] - alpha[n])
+
+
+def logs_of(prob: np.ndarray) -> np.ndarray:
+    """Logarithms, with a last row for a piece that doesn't exist."""
+    return np.log(np.concatenate([np.maximum(prob, 1e-300), np.full((1, prob.shape[1]), 1e-300)]))
+
+
 class Model:
     def __init__(self, pieces: Pieces, langs: list[str], log_prior: np.ndarray, prob: np.ndarray):
         self.pieces, self.langs, self.log_prior, self.prob = pieces, langs, log_prior, prob
@@ -193,7 +257,7 @@ def draw(labelled: DataFrame, langs: list[str], sizes: np.ndarray, fit_docs: int
     """The rows of ``labelled`` to learn from: the same bound for every language."""
     bound, parts = level(sizes, fit_docs), 10**12
     limits = labelled.sparkSession.createDataFrame([(x, int(min(1.0, bound / n) * parts)) for x, n in zip(langs, sizes.tolist())], "lang string, _limit bigint")
-    rows = labelled.join(F.broadcast(limits), "lang")  # at most max_langs rows
+    rows = labelled.select("doc_id", "text", "lang").join(F.broadcast(limits), "lang")  # at most max_langs rows
     return rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(parts)) < F.col("_limit")).drop("_limit")
 
 
@@ -231,7 +295,7 @@ def fit(docs: DataFrame, fit_docs: int = 8000, rounds: int = 2, path: str | None
     for _ in range(rounds):
 
         def estimate(batches: Iterator[pa.RecordBatch], prob=prob) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(prob.shape)
+            total, log_prob = np.zeros(prob.shape), logs_of(prob)
             for batch in batches:
                 for low in range(0, batch.num_rows, 2000):
                     part = batch.slice(low, 2000)
@@ -239,7 +303,10 @@ def fit(docs: DataFrame, fit_docs: int = 8000, rounds: int = 2, path: str | None
                     spans = Words.__new__(Words)
                     spans.begin, spans.end = texts.offsets[:-1], texts.offsets[1:]
                     rows, length, owner = cut_words(texts, spans, np.arange(part.num_rows))
-                    total += expected(pieces, rows, length, part.column(2).to_numpy()[owner].astype(float), part.column(0).to_numpy()[owner], prob)
+                    times, own = part.column(2).to_numpy().astype(float), part.column(0).to_numpy()
+                    total += expected(pieces, rows, length, times[owner], own[owner], prob)
+                    for i, word in long_words(texts, spans, np.arange(part.num_rows)):
+                        long_expected(pieces, word, times[i], int(own[i]), log_prob, total)
             piece, own = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(total[piece, own])], names=["piece", "lang", "n"])
 
@@ -261,6 +328,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        log_prob = logs_of(m.prob)
         for batch in batches:
             texts = Texts(batch.column(1))
             for first, last in texts.parts(1 << 23):
@@ -270,7 +338,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 data, length, owner = cut_words(texts, words, some)
                 for low in range(0, len(owner), at_once):
                     use = slice(low, low + at_once)
-                    np.add.at(logs, owner[use], forward(m.pieces, data[use], length[use], m.prob))
+                    logs[owner[use]] = forward(m.pieces, data[use], length[use], m.prob)
+                for i, word in long_words(texts, words, some):
+                    logs[i] = long_forward(m.pieces, word, log_prob)[-1]
                 total = np.stack([np.bincount(words.row, logs[back, k], minlength=last - first) for k in range(len(m.langs))], 1) + m.log_prior
                 best = total.argmax(1)
                 sure = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
