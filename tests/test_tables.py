@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from tilewright.operators import components, regions, vectors
+from tilewright.operators import components, quantiles, raster, regions, vectors
 from tilewright.operators.index import VectorIndex
-from tilewright.sources import readers, tables
+from tilewright.sources import layout, readers, tables
 from tilewright.sources.tables import LoggedTable, WriteConflict
 
 
@@ -175,3 +176,59 @@ def test_the_index_finds_neighbours_and_compares_few(spark, tmp_path):
     assert len({(r.query_id, r.tile_id) for r in close} & {x[:2] for x in true}) >= 0.9 * len(true)
     n = q.count()
     assert again.candidates(q, 6, 40).count() <= 40 * n and len(close) == 5 * n
+
+
+def touched_groups(path, rows, cols):
+    """Share of row groups whose least and greatest row and column meet a window."""
+    hit = total = 0
+    for file in path.glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        names = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            stats = [meta.row_group(g).column(names[n]).statistics for n in ("prow", "pcol")]
+            hit += all(s.min <= high and s.max >= low for s, (low, high) in zip(stats, (rows, cols)))
+            total += 1
+    return hit / total, total
+
+
+def test_a_window_touches_few_row_groups(spark, tmp_path):
+    codes = [(r, c) for r in range(16) for c in range(16)]
+    at = {(x.r, x.c): x.z for x in spark.createDataFrame(codes, "r int, c int").select("r", "c", layout.z_order(F.col("r"), F.col("c")).alias("z")).collect()}
+    assert all(z == sum((r >> b & 1) << 2 * b + 1 | (c >> b & 1) << 2 * b for b in range(4)) for (r, c), z in at.items())
+    big = spark.createDataFrame([(2**31 - 1, 0), (0, 2**31 - 1)], "r int, c int").select(layout.z_order(F.col("r"), F.col("c")).alias("z")).collect()
+    assert [x.z for x in big] == [0x2AAAAAAAAAAAAAAA, 0x1555555555555555]
+    pixels = spark.range(2 * 256 * 256).select((F.col("id") / 65536).cast("bigint").alias("site_id"), (F.col("id") / 256 % 256).cast("int").alias("prow"), (F.col("id") % 256).cast("int").alias("pcol"), F.rand(1).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        layout.write_pixels(pixels, str(tmp_path / "z"), ["site_id"])
+        pixels.repartitionByRange("site_id", "prow").sortWithinPartitions("site_id", "prow", "pcol").write.parquet(str(tmp_path / "rows"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    columns = (0, 255), (100, 115)
+    window = (96, 111), (100, 115)
+    for rows, cols, most in ((*window, 0.12), (*columns, 0.4)):
+        share, total = touched_groups(tmp_path / "z", rows, cols)
+        assert total >= 60 and share <= most, share
+    assert touched_groups(tmp_path / "rows", *columns)[0] == 1.0  # by rows, a window of columns touches everything
+    got = readers.pixel_window(spark, str(tmp_path / "z"), *window, ["site_id", "prow", "pcol"]).collect()
+    assert sorted(map(tuple, got)) == [(s, r, c) for s in range(2) for r in range(96, 112) for c in range(100, 116)]
+
+
+def test_sketched_quantiles(spark):
+    rng = np.random.default_rng(1)
+    data = {"a": rng.normal(size=30000), "b": rng.integers(0, 5, 4000).astype(float), "c": np.arange(100.0)}
+    rows = spark.createDataFrame([(k, float(x), i % 2 == 0) for k, v in data.items() for i, x in enumerate(v)] + [("d", None, True), ("d", float("nan"), True)], "k string, v double, bad boolean").repartition(6)
+    shares = [0.02, 0.5, 0.98]
+    value = F.when(~F.isnan("v"), F.col("v"))
+    states = rows.groupBy("k").agg(quantiles.state(value, shares, False).alias("s"), F.count(value).alias("n"))
+    got = {r.k: r.q for r in states.select("k", quantiles.read(F.col("s"), F.col("n"), shares, False).alias("q")).collect()}
+    assert got["d"] is None
+    for k, v in data.items():
+        for q, share in zip(got[k], shares):
+            assert q in v and (v < q).mean() - 4 * quantiles.RANK_ERROR <= share <= (v <= q).mean() + 4 * quantiles.RANK_ERROR + 1 / len(v)
+    cuts = {r.k: (r.vmin, r.vmax) for r in raster.cut_points(rows, ["k"], ["v"], "bad").collect()}
+    assert cuts["c"] == (3.0, 97.0) or abs(cuts["c"][0] - 3) <= 2 and abs(cuts["c"][1] - 97) <= 2
+    exact = {r.k: (r.vmin, r.vmax) for r in raster.cut_points(rows, ["k"], ["v"], "bad", exact=True).collect()}
+    assert exact["c"] == pytest.approx(tuple(np.quantile(np.arange(1.0, 100.0, 2), [0.02, 0.98]))) and set(cuts) == set(exact) == {"a", "b", "c", "d"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import spectral
+from . import quantiles
 from ..functions.numeric import clip
 
 
@@ -47,12 +48,13 @@ def canvas_quality(pixels: DataFrame, scene: list[str], bad: Column) -> DataFram
         "valid_fraction", F.bround(1.0 - F.col("cloud_fraction"), 4))
 
 
-def band_statistics(pixels: DataFrame, scene: list[str], bands: list[str], nodata: float | None) -> DataFrame:
+def band_statistics(pixels: DataFrame, scene: list[str], bands: list[str], nodata: float | None, exact: bool = False) -> DataFrame:
     """Per-band statistics: all bands in one pass, turned to rows only after aggregation.
 
-    Exact percentiles keep one counter per distinct sample value, which for digital
-    numbers is at most 65,536 per scene and band.
+    Percentiles come from a sketch (see ``quantiles``). ``exact`` ones keep one counter per distinct
+    sample value, which for digital numbers is at most 65,536 per scene and band.
     """
+    shares = [0.01, 0.5, 0.99]
     aggs, entries = [F.count(F.lit(1)).alias("_n")], []
     any_bad = None
     for b in bands:
@@ -62,12 +64,12 @@ def band_statistics(pixels: DataFrame, scene: list[str], bands: list[str], nodat
         any_bad = bad if any_bad is None else any_bad | bad
         value = F.when(~bad, F.col(b))
         aggs += [F.count(value).alias(f"_c_{b}"), F.min(value).alias(f"_lo_{b}"), F.max(value).alias(f"_hi_{b}"), F.avg(value).alias(f"_m_{b}"),
-                 F.stddev_pop(value).alias(f"_s_{b}"), F.percentile(value, F.array(*[F.lit(p) for p in (0.01, 0.5, 0.99)])).alias(f"_p_{b}")]
+                 F.stddev_pop(value).alias(f"_s_{b}"), quantiles.state(value, shares, exact).alias(f"_p_{b}")]
         r4 = lambda e: F.coalesce(F.bround(e, 4), F.lit(0.0))
         entries.append(F.struct(
             F.lit(b).alias("band"), F.col(f"_c_{b}").alias("valid_pixels"), (F.col("_n") - F.col(f"_c_{b}")).alias("nodata_pixels"),
             r4(F.col(f"_lo_{b}")).alias("min"), r4(F.col(f"_hi_{b}")).alias("max"), r4(F.col(f"_m_{b}")).alias("mean"), r4(F.col(f"_s_{b}")).alias("std"),
-            *[r4(F.element_at(F.col(f"_p_{b}"), i + 1)).alias(p) for i, p in enumerate(("p1", "p50", "p99"))]))
+            *[r4(F.element_at(quantiles.read(F.col(f"_p_{b}"), F.col(f"_c_{b}"), shares, exact), i + 1)).alias(p) for i, p in enumerate(("p1", "p50", "p99"))]))
     aggs.append(F.count_if(any_bad).alias("_any"))
     grouped = pixels.groupBy(*scene).agg(*aggs)
     return grouped.select(*scene, F.bround(F.col("_any") / F.col("_n") * 100.0, 4).alias("overall_nodata_pct"), F.inline(F.array(*entries)))
@@ -79,18 +81,20 @@ def mask_statistics(pixels: DataFrame, scene: list[str], mask: Column) -> DataFr
 
 
 def cut_points(pixels: DataFrame, scene: list[str], bands: list[str], bad: str, low: float = 0.02, high: float = 0.98,
-               approximate: bool = False) -> DataFrame:
-    """Stretch limits per scene and band over valid pixels; over all pixels when fewer than 2 % are valid."""
+               exact: bool = False) -> DataFrame:
+    """Stretch limits per scene and band over valid pixels; over all pixels when fewer than 2 % are valid. From a sketch, or ``exact``."""
     finite = lambda b: ~F.isnan(b) & (F.abs(F.col(b)) != float("inf"))
-    quantiles = F.array(F.lit(low), F.lit(high))
-    cut = (lambda v: F.percentile_approx(v, quantiles, 10000)) if approximate else (lambda v: F.percentile(v, quantiles))
+    shares = [low, high]
     aggs = [F.avg((~F.col(bad)).cast("double")).alias("_valid")]
     for b in bands:
-        aggs += [cut(F.when(~F.col(bad) & finite(b), F.col(b))).alias(f"_v_{b}"), cut(F.when(finite(b), F.col(b))).alias(f"_a_{b}"), F.max(F.when(finite(b), F.col(b))).alias(f"_top_{b}")]
+        for name, value in (("v", F.when(~F.col(bad) & finite(b), F.col(b))), ("a", F.when(finite(b), F.col(b)))):
+            aggs += [quantiles.state(value, shares, exact).alias(f"_{name}_{b}"), F.count(value).alias(f"_n{name}_{b}")]
+        aggs += [F.max(F.when(finite(b), F.col(b))).alias(f"_top_{b}")]
     grouped = pixels.groupBy(*scene).agg(*aggs)
     rows = []
     for b in bands:
-        chosen = F.when(F.col("_valid") < 0.02, F.col(f"_a_{b}")).otherwise(F.col(f"_v_{b}"))
+        whole, valid = (quantiles.read(F.col(f"_{name}_{b}"), F.col(f"_n{name}_{b}"), shares, exact) for name in "av")
+        chosen = F.when(F.col("_valid") < 0.02, whole).otherwise(valid)
         vmin = F.coalesce(F.element_at(chosen, 1).cast("double"), F.lit(0.0))
         vmax = F.coalesce(F.element_at(chosen, 2).cast("double"), F.when(F.col(f"_top_{b}") > 1.5, 3000.0).otherwise(0.3))
         flat = vmin + F.when(vmin > 1.5, 1.0).otherwise(0.01)
@@ -105,11 +109,13 @@ def code_shares(pixels: DataFrame, scene: list[str], code: Column, names: dict[s
         *[F.bround(F.count_if(code == value) / F.count(F.lit(1)) * 100.0, 2).alias(name) for name, value in names.items()])
 
 
-def cloud_radiance(pixels: DataFrame, scene: list[str], thick: Column) -> DataFrame:
-    """Brightness of opaque cloud per colour: 90th percentile of thick pixels, else white."""
-    return pixels.groupBy(*scene).agg(*[
-        F.coalesce(F.percentile(F.when(thick, F.col(b)), F.lit(0.9)), F.lit(value)).alias(f"{b}_cloud")
-        for b, value in K.DEFAULT_RADIANCE.items()])
+def cloud_radiance(pixels: DataFrame, scene: list[str], thick: Column, exact: bool = False) -> DataFrame:
+    """Brightness of opaque cloud per colour: 90th percentile of thick pixels, else white. From a sketch, or ``exact``."""
+    states = [quantiles.state(F.when(thick, F.col(b)), [0.9], exact).alias(f"_{b}") for b in K.DEFAULT_RADIANCE]
+    counts = [F.count(F.when(thick, F.col(b))).alias(f"_n_{b}") for b in K.DEFAULT_RADIANCE]
+    grouped = pixels.groupBy(*scene).agg(*states, *counts)
+    return grouped.select(*scene, *[F.coalesce(F.element_at(quantiles.read(F.col(f"_{b}"), F.col(f"_n_{b}"), [0.9], exact), 1), F.lit(value).cast("double")).alias(f"{b}_cloud")
+                                    for b, value in K.DEFAULT_RADIANCE.items()])
 
 
 def preservation(pixels: DataFrame, scene: list[str], clear: Column, pairs: list[tuple[str, str]]) -> DataFrame:

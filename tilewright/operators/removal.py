@@ -28,7 +28,7 @@ def remove_clouds(pixels: DataFrame, scene: list[str], later: DataFrame | None =
     """Region classes, trimap, opacity, radiance, unmixed thin cloud and provenance per pixel."""
     regions = pixels.withColumn("region", cloud.cloud_region(F.col("prob"), F.col("cloud")))
     zones = grids.trimap(pixels, scene, "prob", "cloud", block=block)
-    light = raster.cloud_radiance(regions, scene, F.col("region") == K.REGION_THICK)
+    light = raster.cloud_radiance(regions, scene, F.col("region") == K.REGION_THICK, exact=True)  # byte colours: few distinct values
     df = regions.join(zones, [*scene, "prow", "pcol"]).join(light, scene).withColumn("alpha", cloud.opacity(F.col("prob"), F.col("trimap")))
     thin = F.col("region").isin(K.REGION_THIN, K.REGION_UNCERTAIN)
     df = df.withColumns({b: F.when(thin, cloud.unmix(F.col(b), F.col("alpha"), F.col(f"{b}_cloud"))).otherwise(F.col(b)) for b in BANDS})

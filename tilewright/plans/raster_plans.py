@@ -64,7 +64,22 @@ SELECT scene_id, overall_nodata_pct, band, count(*) FILTER (WHERE NOT nd) AS val
  round_even(quantile_cont(v, 0.5) FILTER (WHERE NOT nd), 4)::DOUBLE AS p50, round_even(quantile_cont(v, 0.99) FILTER (WHERE NOT nd), 4)::DOUBLE AS p99
 FROM g JOIN o USING (scene_id) GROUP BY scene_id, overall_nodata_pct, band""")
 def a03(spark, d):
-    return raster.band_statistics(table(spark, d, "canvas"), ["scene_id"], BANDS, -9999.0)
+    return raster.band_statistics(table(spark, d, "canvas"), ["scene_id"], BANDS, -9999.0, exact=True)
+
+
+# the sketch's quantiles of several scenes together, by their ranks among all values
+@query("a03_sketch_error", ["canvas"], f"""WITH u AS (UNPIVOT (SELECT * REPLACE (scene_id % 3 AS scene_id) FROM canvas) ON {', '.join(BANDS)} INTO NAME band VALUE v)
+SELECT scene_id, band, count(*) AS valid_pixels, true AS within FROM u WHERE NOT (isnan(v) OR v = -9999) GROUP BY ALL""")
+def a03_sketch(spark, d):
+    df = table(spark, d, "canvas").withColumn("scene_id", c("scene_id") % 3)
+    found = raster.band_statistics(df, ["scene_id"], BANDS, -9999.0)
+    values = df.select("scene_id", F.inline(F.array(*[F.struct(F.lit(b).alias("band"), c(b).alias("v")) for b in BANDS]))).where("NOT isnan(v) AND v <> -9999")
+    both = values.join(found.select("scene_id", "band", "p1", "p50", "p99"), ["scene_id", "band"])  # a few rows beside all values
+    close = F.lit(True)
+    for p, share in (("p1", 0.01), ("p50", 0.5), ("p99", 0.99)):
+        below, upto = F.avg((c("v") < c(p) - 1e-4).cast("double")), F.avg((c("v") <= c(p) + 1e-4).cast("double"))
+        close = close & (below - 0.005 <= share) & (share <= upto + 0.005)
+    return both.groupBy("scene_id", "band").agg(F.count(F.lit(1)).alias("valid_pixels"), close.alias("within"))
 
 
 @query("a04_mask_statistics", ["canvas"], """SELECT scene_id, count(*) FILTER (WHERE bad) AS masked, count(*) FILTER (WHERE NOT bad) AS clear_ground,
@@ -100,7 +115,7 @@ s AS (SELECT scene_id, band, CASE WHEN valid < 0.02 THEN pa ELSE pv END AS p FRO
 SELECT scene_id, band, round(p[1], 6) AS vmin, round(CASE WHEN p[2] <= p[1] THEN p[1] + CASE WHEN p[1] > 1.5 THEN 1 ELSE 0.01 END ELSE p[2] END, 6) AS vmax FROM s""")
 def a07(spark, d):
     df = table(spark, d, "canvas").withColumn("b2", F.expr("bad OR scene_id % 4 = 1"))
-    return raster.cut_points(df, ["scene_id"], BANDS, "b2").select("scene_id", "band", F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
+    return raster.cut_points(df, ["scene_id"], BANDS, "b2", exact=True).select("scene_id", "band", F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
 
 
 REGION_NAMES = {"clear_pct": 0, "thin_pct": 1, "uncertain_pct": 2, "thick_pct": 3, "nodata_pct": 4}
@@ -120,7 +135,7 @@ def a15(spark, d):
 @query("a16_cloud_radiance", ["clouds"], """SELECT scene_id, round(coalesce(quantile_cont(red, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 235), 6) AS red_cloud, round(coalesce(quantile_cont(green, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 235), 6) AS green_cloud,
  round(coalesce(quantile_cont(blue, 0.9) FILTER (WHERE prob >= 0.97 AND scene_id % 2 = 0), 245), 6) AS blue_cloud FROM clouds GROUP BY scene_id""")
 def a16(spark, d):
-    df = raster.cloud_radiance(table(spark, d, "clouds"), ["scene_id"], (c("prob") >= 0.97) & (c("scene_id") % 2 == 0))
+    df = raster.cloud_radiance(table(spark, d, "clouds"), ["scene_id"], (c("prob") >= 0.97) & (c("scene_id") % 2 == 0), exact=True)
     return df.withColumns({f"{b}_cloud": F.round(f"{b}_cloud", 6) for b in ("red", "green", "blue")})
 
 

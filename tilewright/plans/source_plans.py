@@ -8,7 +8,7 @@ from ..fixtures import table
 from ..functions import geo
 from ..operators import events as ev
 from ..session import fresh_path
-from ..sources import readers, sinks
+from ..sources import layout, readers, sinks
 from ..sources.tables import LoggedTable
 from .filter_plans import boxed
 from .registry import query
@@ -147,7 +147,7 @@ def s08(spark, d):
 @query("s09_pixel_window", ["pixels"], "SELECT site_id, prow, pcol, nir_b, bad_b FROM pixels WHERE prow BETWEEN 8 AND 23 AND pcol BETWEEN 4 AND 19")
 def s09(spark, d):
     path = fresh_path(spark, "pixels")
-    table(spark, d, "pixels").repartitionByRange("site_id", "prow").sortWithinPartitions("site_id", "prow", "pcol").write.parquet(path)
+    layout.write_pixels(table(spark, d, "pixels"), path, ["site_id"])
     return readers.pixel_window(spark, path, (8, 23), (4, 19), ["site_id", "prow", "pcol", "nir_b", "bad_b"])
 
 
