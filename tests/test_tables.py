@@ -10,6 +10,7 @@ from tilewright.operators import components, quantiles, raster, regions, vectors
 from tilewright.operators.index import VectorIndex
 from tilewright.sources import layout, readers, tables
 from tilewright.sources.tables import LoggedTable, WriteConflict
+from tilewright.streaming import jobs
 
 
 def files_below(path):
@@ -232,3 +233,30 @@ def test_sketched_quantiles(spark):
     assert cuts["c"] == (3.0, 97.0) or abs(cuts["c"][0] - 3) <= 2 and abs(cuts["c"][1] - 97) <= 2
     exact = {r.k: (r.vmin, r.vmax) for r in raster.cut_points(rows, ["k"], ["v"], "bad", exact=True).collect()}
     assert exact["c"] == pytest.approx(tuple(np.quantile(np.arange(1.0, 100.0, 2), [0.02, 0.98]))) and set(cuts) == set(exact) == {"a", "b", "c", "d"}
+
+
+def test_ingest_keeps_the_number_of_folders_bounded(spark, tmp_path):
+    """Many small batches, tiles in several versions, late ones too; a reader holds its version while others are rewritten."""
+    rng = random.Random(4)
+    fields = "tile_id string, version int, part int, q double"
+    empty = spark.createDataFrame([], fields + ", batch int")
+    table = LoggedTable.create(str(tmp_path / "tiles"), empty, ["part"])
+    (tmp_path / "in").mkdir()
+    said, held = {}, None
+    for batch in range(24):
+        rows = {}
+        for _ in range(6):
+            t, v = rng.randrange(20), rng.randrange(30)
+            rows[f"t{t}", v] = (t % 2, v / 10)
+        for (t, v), (_, q) in rows.items():
+            said[t] = max((v, q), said.get(t, (v, q)))
+        spark.createDataFrame([(t, v, part, q) for (t, v), (part, q) in rows.items()], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if batch % 4 == 3:  # several files a run
+            jobs.ingest_into(jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], fields).schema).withColumn("q", F.col("q")), str(tmp_path / "log"), table, ["tile_id"], "version", lambda df: df, most=3)
+            if batch == 19:
+                held = table.read(), {r.tile_id: (r.version, r.q) for r in jobs.current(table, ["tile_id"], "version").collect()}
+                rows_held = held[0].count()
+    assert {r.tile_id: (r.version, r.q) for r in jobs.current(table, ["tile_id"], "version").collect()} == said
+    assert held[0].count() == rows_held  # its files are still there, one commit or two later
+    assert len(table._names("data")) <= 8 and len(table.versions()) == 3 and table.versions()[-1] > 6
+    assert table.manifest().groupBy("p").count().where("count > 3").isEmpty()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import table
 from ..operators import hooks, pairs
 from ..session import fresh_path
+from ..sources.tables import LoggedTable
 from ..streaming import jobs
 from .registry import query
 from .scalar_plans import SCORED_SQL, with_gaps
@@ -33,10 +34,11 @@ def z01(spark, d):
     # a tenth of the tiles has a second version, in the same batch or a late one, some of them before the first
     again = tiles.where("cloud_pct < 0.1").withColumns({"version": F.lit(2), "cloud_pct": c("cloud_pct") / 2, "acquisition_date": F.when(c("cloud_pct") < 0.05, c("acquisition_date")).otherwise(
         c("acquisition_date") + F.make_interval(days=F.when(c("cloud_pct") < 0.07, F.lit(200)).otherwise(F.lit(-200))))})
-    path = fresh_path(spark, "tiles")
-    quality = lambda df: df.withColumns({"quality": F.round(1 - c("cloud_pct"), 4), "passed_gate": c("quality_confidence") >= 0.7})
-    replay(spark, tiles.unionByName(again), "acquisition_date", lambda stream, checkpoint: jobs.ingest_tiles(stream, checkpoint, path, quality, "version"))
-    return jobs.latest_by(spark, path, ["tile_id"], "version").select("tile_id", "version", "quality", "passed_gate")
+    rows = tiles.unionByName(again)
+    quality = lambda df: df.withColumns({"quality": F.round(1 - c("cloud_pct"), 4), "passed_gate": c("quality_confidence") >= 0.7, "bucket": F.pmod(F.xxhash64("tile_id"), F.lit(4))})
+    stored = LoggedTable.create(fresh_path(spark, "tiles"), quality(rows).withColumn("batch", F.lit(0)).limit(0), ["bucket"])
+    replay(spark, rows, "acquisition_date", lambda stream, checkpoint: jobs.ingest_into(stream, checkpoint, stored, ["tile_id"], "version", quality, most=2))
+    return jobs.current(stored, ["tile_id"], "version").select("tile_id", "version", "quality", "passed_gate")
 
 
 @query("z02_predecessor_pairs", ["obs"], """WITH r AS (SELECT site_key, obs_id AS before_id, mean_ndbi AS b, acquisition_date AS d1, lead(obs_id) OVER w AS after_id, lead(mean_ndbi) OVER w AS a, lead(acquisition_date) OVER w AS d2 FROM obs WHERE quality_confidence >= 0.3 WINDOW w AS (PARTITION BY site_key ORDER BY acquisition_date, obs_id))

@@ -1,7 +1,7 @@
 """Tables that are changed in place while others read them: Parquet folders by partition, and a log of the current ones.
 
 A change writes one new batch folder with the partitions that it touches, then a new version of the log, which lists for every
-partition the batch that holds it. The version appears by one rename that fails if another writer was first; who reads
+partition the batches that hold it: one, until rows are appended. The version appears by one rename that fails if another writer was first; who reads
 holds a version and sees its files until ``vacuum`` deletes them. Files of other partitions are neither read nor written.
 """
 
@@ -51,7 +51,7 @@ class LoggedTable:
         return sorted(int(n[1:]) for n in self._names("log") if n[0] == "v")
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """The partitions of a version (the newest) and the batch that holds each."""
+        """The partitions of a version (the newest) and the batches that hold them."""
         return self.spark.read.parquet(f"{self.path}/log/v{version or self.versions()[-1]:010d}")
 
     def _commit(self, version: int, manifest: DataFrame) -> None:
@@ -97,7 +97,7 @@ class LoggedTable:
     def read(self, where: Column | None = None, version: int | None = None) -> DataFrame:
         """Rows of a version. ``where`` is about the partition columns and opens only the folders it holds for."""
         manifest = self.manifest(version)
-        held = (manifest if where is None else manifest.where(where)).collect()  # a row per partition
+        held = (manifest if where is None else manifest.where(where)).collect()  # a row per partition and batch
         rows = self._load(held)
         if rows is None:
             return self.spark.createDataFrame([], StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/schema").first()[0])))
@@ -124,6 +124,24 @@ class LoggedTable:
         """Merge rows into the table: of rows with the same ``key`` in a partition the one with the largest ``order`` stays."""
         self._change(new, lambda old: latest_version(new if old is None else old.select(*new.columns).unionByName(new), [*self.parts, *key], F.col(order)))
 
+    def append(self, new: DataFrame) -> None:
+        """Add rows without reading any: partitions are then held by one more batch."""
+        version = self.versions()[-1]
+        manifest = self.manifest(version)
+        self._commit(version + 1, manifest.unionByName(self._write(new).select(*manifest.columns)))
+
+    def compact(self, key: list[str], order: Column, most: int = 8) -> bool:
+        """Partitions in more than ``most`` batches rewritten as one, with the row of the largest ``order`` per ``key``; whether there were any."""
+        version = self.versions()[-1]
+        manifest = self.manifest(version)
+        crowded = [r[0] for r in manifest.groupBy(PLACE).count().where(F.col("count") > most).select(PLACE).collect()]
+        if not crowded:
+            return False
+        rows = self._load(manifest.where(F.col(PLACE).isin(crowded)).collect())
+        written = self._write(latest_version(rows, [*self.parts, *key], order))
+        self._commit(version + 1, manifest.where(~F.col(PLACE).isin(crowded)).unionByName(written.select(*manifest.columns)))
+        return True
+
     def replace(self, new: DataFrame, owner: str, owners: DataFrame | None = None) -> None:
         """All rows of the owners replaced by ``new``: those in ``owners``, which may have no new rows, or else those that
         ``new`` has rows of. An owner's rows lie in one partition: ``parts`` are functions of it."""

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..functions.naming import elapsed_days
 from ..operators.catalog import latest_version
 from ..operators.timeline import in_sequence
+from ..sources.tables import LoggedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -43,6 +44,27 @@ def ingest_tiles(stream: DataFrame, checkpoint: str, path: str, quality: Callabl
     run_batches(stream, checkpoint, lambda df, batch: write_batch(latest_version(quality(df), ["tile_id"], F.col(version)), path, batch))
 
 
+def ingest_into(stream: DataFrame, checkpoint: str, table: LoggedTable, key: list[str], version: str, quality: Callable[[DataFrame], DataFrame],
+                most: int = 8, keep: int = 3) -> None:
+    """New tiles with their quality columns, appended to a logged table. After each batch, partitions held by more than ``most`` batches are
+    rewritten as one, and files are deleted that the last ``keep`` versions of the table don't use: the number of folders stays bounded, and
+    a reader of one of those versions is never disturbed. A replayed batch adds rows that ``current`` and the next rewriting drop."""
+
+    def handle(df: DataFrame, batch: int) -> None:
+        if df.isEmpty():
+            return
+        table.append(latest_version(quality(df), key, F.col(version)).withColumn("batch", F.lit(batch)))
+        table.compact(key, F.struct(version, "batch"), most)
+        table.vacuum(keep)
+
+    run_batches(stream, checkpoint, handle)
+
+
+def current(table: LoggedTable, key: list[str], version: str) -> DataFrame:
+    """One row per key of a table that ``ingest_into`` fills: the greatest version, of equal ones the newest batch."""
+    return latest_version(table.read(), key, F.struct(version, "batch"))
+
+
 def latest_by(spark: SparkSession, path: str, key: list[str], version: str) -> DataFrame:
     """One row per key over all batches: the greatest version, of equal ones the newest batch."""
     return latest_version(spark.read.parquet(path), key, F.struct(version, "batch"))
