@@ -43,7 +43,7 @@ def s02(spark, d):
     return readers.manifest_samples(spark, path)
 
 
-NESTED = F.expr("CAST(replace(region_id, 'region_', '') AS BIGINT) % 2 = 0")
+NESTED = "CAST(replace(region_id, 'region_', '') AS BIGINT) % 2 = 0"
 
 
 def manifest_folder(spark, d):
@@ -58,8 +58,8 @@ def manifest_folder(spark, d):
     flat = F.struct("tile_id", "scene_id", "site_key", c("day").alias("acquisition_date"), "centroid_lat", "centroid_lon", box.alias("bounds"), "cloud_pct", "quality_confidence", *indices,
                     F.array(F.lit("B02")).alias("band_order"), c("tif").alias("geotiff_path"))
     path = fresh_path(spark, "manifests")
-    for layout, record in ((NESTED, nested), (~NESTED, flat)):
-        docs = sinks.manifests(tiles.where(layout), ["region_id"], record, c("obs_id"), 2000).withColumn("source_type", F.lit("organiser"))
+    for own, record in ((NESTED, nested), (f"NOT {NESTED}", flat)):
+        docs = sinks.manifests(tiles.where(own), ["region_id"], record, c("obs_id"), 2000).withColumn("source_type", F.lit("organiser"))
         text = F.to_json(F.struct("manifest_version", "region_id", "source_type", "total_tiles", "tiles"), {"pretty": "true"})
         whole = docs.select(F.concat_ws("_", "region_id", "part").alias("doc"), text.alias("value"))
         broken = whole.where("doc LIKE '%\\_0'").select(F.concat("doc", F.lit("_broken")).alias("doc"), F.expr("left(value, length(value) div 2)").alias("value"))
