@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tilewright.llm import decontaminate, grammar, gru, kernel, langid, lm, outliers, repair, runs, secrets, warc
+from tilewright.llm import decontaminate, grammar, gru, kernel, langid, licenses, lm, mixing, neardup, outliers, quality, repair, runs, secrets, vectordup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -451,3 +451,52 @@ def test_languages_of_long_words_and_clashing_names(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, lang string, _limit int, n string").repartition(3)
     found = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs.where("doc_id < 1002"))).collect()}
     assert all(found[i] == k for i, _, k in rows[:80]) and found[1001] == "und" and found[1002] == "zz"
+
+
+# ---- names that operators use inside -------------------------------------------------
+
+CLASHES = ["_again", "_back", "_limit", "_page", "_own", "_id", "_h", "n", "hash", "code", "component", "component_id", "kept", "slot", "key", "digest", "size", "bucket", "spans", "words", "row", "ix", "own", "cell"]
+
+
+def with_clashes(df):
+    return df.withColumns({c: F.lit("x") for c in CLASHES if c not in df.columns})
+
+
+def test_columns_of_any_name_may_stand_beside(spark):
+    """Every operator gives the same rows with and without columns named as those it makes."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    texts = [prose(60) for _ in range(30)]
+    rows = [(i, t, ["en", "de"][i % 2], ["a", "b", None][i % 3]) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i], "en", "a") for i in range(4)] + [(3, texts[3], "de", "a"), (3, texts[3], "de", "a"), (None, None, None, None), (200, "token=abcdefgh1 MIT License " + prose(30), "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, i % 5 == 0) for i in range(30)], "doc_id bigint, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    items = spark.createDataFrame([(1, " ".join(texts[5].split()[10:30])), (2, "x y")], "item_id bigint, text string")
+    pages = spark.createDataFrame([(i % 6, "u", texts[i % 4] * 2) for i in range(9)], "page_id bigint, url string, html string")
+    vectors = spark.createDataFrame([(i, i % 2, [float(i % 3), 1.0, 0.5]) for i in range(12)], "vec_id bigint, label int, embedding array<float>")
+    talk = spark.createDataFrame([(i // 3, i % 3, ["user", "assistant"][i % 2], f"Hi {i}.") for i in range(12)], "conv_id bigint, turn bigint, role string, text string")
+    hosted = lambda d: d.withColumns({"host": F.col("source"), "path": F.col("lang")})
+    held = lambda d: d.withColumn("held_out", langid.held_out(F.col("doc_id"), 5))
+    applied = {
+        "vectors": lambda w: vectordup.near_duplicates(w(vectors)),
+        "warc": lambda w: warc.read(warc.write(w(pages))),
+        "language": lambda w: langid.predict(w(docs), langid.fit(w(docs))),
+        "taken": lambda w: mixing.taken(w(docs), block_words=16),
+        "mix": lambda w: mixing.mix(w(docs), block_words=16),
+        "contained": lambda w: decontaminate.contained(w(docs), w(items)),
+        "clean": lambda w: decontaminate.clean(w(docs), w(items)).select("doc_id", "text"),
+        "secrets": lambda w: secrets.spans(w(docs)),
+        "redact": lambda w: secrets.redact(w(docs)).select("doc_id", "text"),
+        "quality": lambda w: quality.assess(w(hosted(docs)), w(labels)),
+        "near": lambda w: neardup.near_duplicates(w(docs)),
+        "one": lambda w: neardup.one_of_each(w(docs)).select("doc_id", "text"),
+        "licenses": lambda w: licenses.scan(w(docs)),
+        "model": lambda w: lm.score(w(held(docs)), w(held(docs)).where(~F.col("held_out")), vocabulary=20, hidden=4),
+        "outliers": lambda w: outliers.judge(w(docs), least=10),
+        "repair": lambda w: repair.repair(repair.undamaged(w(talk)), long_rows=2),
+        "runs": lambda w: runs.find(w(docs), loops=True),
+    }
+    rounded = lambda r: repr([round(x, 6) if isinstance(x, float) else x for x in r])
+    for name, apply in applied.items():
+        plain, beside = (sorted(rounded(r) for r in apply(w).collect()) for w in (lambda d: d, with_clashes))
+        assert plain == beside and plain, name

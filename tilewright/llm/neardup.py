@@ -279,5 +279,5 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     repeated = materialise(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated")
     if repeated.isEmpty():
         return left
-    same = F.col("doc_id").cast("bigint") == F.col("_again")
+    same = left["doc_id"].cast("bigint") == repeated["_again"]
     return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

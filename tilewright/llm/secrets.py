@@ -339,7 +339,7 @@ def train(found: DataFrame, rare: int = 100, alpha: float = 0.05) -> Model:
     ended = labelled.withColumn("classes", F.concat("classes", F.lit(END)))
     depth = F.least(F.length("classes"), F.lit(MOST_CLASSES))
     prefixes = ended.withColumn("size", F.explode(F.sequence(F.lit(0), depth))).groupBy("kind", F.expr("substring(classes, 1, size)").alias("prefix")).agg(F.sum("n").alias("n"))
-    tree: dict[str, dict[str, int]] = {k: {} for k in sizes}
+    tree: dict[str, dict[str, int]] = {k: {"": n} for k, n in sizes.items()}
     for r in prefixes.where(F.col("n") >= least).collect():
         tree[r.kind][r.prefix] = r.n
     letters = labelled.select("kind", "n", F.explode(F.split("classes", "")).alias("c")).where("c != ''").groupBy("kind", "c").agg(F.sum("n").alias("n")).collect()

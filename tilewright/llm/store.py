@@ -69,7 +69,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     clear = docs.where(~maybe(key))
     if wrongly.isEmpty():
         return clear
-    return clear.unionByName(doubtful.join(wrongly, key == F.col("_back"), "left_semi"))
+    return clear.unionByName(doubtful.join(wrongly, key == wrongly["_back"], "left_semi"))
 
 
 def running_start(df: DataFrame, keys: list[str], bucket: Column, order: list, size: str, out: str) -> DataFrame:
