@@ -76,9 +76,11 @@ def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
     return np.exp(x, out=x), top
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    x, top = _exp(x.copy())
-    return top + np.log(x @ np.ones(x.shape[1], x.dtype))
+def _log_softmax(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's softmax at ``place``; overwrites the logits."""
+    own = x[np.arange(len(x)), place]
+    x, top = _exp(x)
+    return own - top - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _softmax_error(x: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -92,14 +94,17 @@ def _softmax_error(x: np.ndarray, place: np.ndarray) -> np.ndarray:
 def log_prob(model: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probability of words ``y`` after states ``h``."""
     group = y // SIZE
-    logits = h @ model["class"].T + model["class_bias"]
-    out = logits[np.arange(len(y)), group] - _log_sum(logits)
+    logits = h @ model["class"].T
+    logits += model["class_bias"]
+    out = _log_softmax(logits, group)
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(len(model["class"]) + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        rows = order[cuts[c] : cuts[c + 1]]
-        logits = h[rows] @ model["word"][c].T + model["word_bias"][c]
-        out[rows] += logits[np.arange(len(rows)), y[rows] - c * SIZE] - _log_sum(logits)
+    ordered, inner = h[order], np.empty((len(y), SIZE), h.dtype)
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        rows = slice(cuts[c], cuts[c + 1])
+        np.matmul(ordered[rows], model["word"][c].T, out=inner[rows])
+        inner[rows] += model["word_bias"][c]
+    out[order] += _log_softmax(inner, y[order] - group[order] * SIZE)
     return out
 
 
@@ -109,21 +114,35 @@ def score(model: dict[str, np.ndarray], words: np.ndarray, first: np.ndarray, co
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
     total = np.zeros(len(order))
-    h = np.zeros((len(order), model["hidden"].shape[0]), np.float32)
+    size = model["hidden"].shape[0]
+    sign = np.where(np.arange(3 * size) < 2 * size, -1, 1).astype(np.float32)  # gates negated, for the logistic function
+    given, own = (model["input"] + model["bias"]) * sign, model["hidden"] * sign
+    h = np.zeros((len(order), size), np.float32)
     last = np.full(len(order), end, words.dtype)
     longest = int(count[0]) if len(count) else 0
+    open_ = np.searchsorted(-count, -np.arange(longest), "left")  # documents with more than t words
     for at in range(0, longest, WINDOW):
-        states, lanes, targets = [], [], []
-        for t in range(at, min(at + WINDOW, longest)):
-            n = int(np.searchsorted(-count, -t, "left"))  # documents with more than t words
-            h[:n], _ = step(model, last[:n], h[:n])
-            y = words[first[:n] + t]
-            last[:n] = y
-            states.append(h[:n].copy())
-            lanes.append(np.arange(n))
-            targets.append(y)
-        got = log_prob(model, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(lanes), got, minlength=len(total))
+        many = open_[at : at + WINDOW]
+        cuts = np.concatenate([[0], np.cumsum(many)])
+        states, targets = np.empty((cuts[-1], size), np.float32), np.empty(cuts[-1], words.dtype)
+        for t, n in enumerate(many.tolist()):
+            now = h[:n]
+            gates, passed = given[last[:n]], now @ own
+            both = gates[:, : 2 * size]
+            both += passed[:, : 2 * size]
+            np.exp(both, out=both)
+            both += 1
+            np.reciprocal(both, out=both)
+            new = both[:, :size] * passed[:, 2 * size :]
+            new += gates[:, 2 * size :]
+            np.tanh(new, out=new)
+            now -= new
+            now *= both[:, size:]
+            now += new
+            states[cuts[t] : cuts[t + 1]] = now
+            targets[cuts[t] : cuts[t + 1]] = last[:n] = words[first[:n] + (at + t)]
+        lanes = np.arange(cuts[-1]) - np.repeat(cuts[:-1], many)
+        total += np.bincount(lanes, log_prob(model, states, targets), minlength=len(total))
     out = np.empty(len(order))
     out[order] = total
     return out

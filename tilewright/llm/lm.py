@@ -200,7 +200,7 @@ def score(docs: DataFrame, train: DataFrame, known: int = 1 << 17, vocabulary: i
         end_place = int(lexicon.table.find(np.array([END], U))[0])
         for batch in batches:
             texts = Texts(batch.column(1))
-            for first, last in texts.parts(1 << 24):
+            for first, last in texts.parts(1 << 25):
                 n = last - first
                 words = Words(texts, first, last, NOT_SPACE)
                 place = lexicon.table.find(words.code)
