@@ -317,3 +317,21 @@ def test_stream_of_late_rows_and_versions(spark, tmp_path):
     found = jobs.settled_pairs(*[spark.read.parquet(n) for n in (names[0], names[1], names[3])], *fields).collect()
     assert {(r.site, r.before_id, r.after_id, r.elapsed_days) for r in found} == {("s", 1, 4, 4), ("s", 4, 2, 4), ("t", 3, 6, 2), ("u", 5, 7, 2)}
     assert {r.site for r in spark.read.parquet(names[2]).where("batch = 2").collect()} == {"t", "u"}
+
+
+def test_blocks_of_queries_read_beside_the_vectors(spark, tmp_path, monkeypatch):
+    """More queries than are sent to every task, the collection kept, one of them null, masses of copies, a zero vector."""
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((400, 8)).round(3)
+    rows[50:300] = rows[50]
+    rows[350] = 0
+    data = [(f"tile_{i}", [None, "a", "b"][i % 3], r.tolist()) for i, r in enumerate(rows)]
+    spark.createDataFrame(data, "tile_id string, collection string, embedding array<float>").write.parquet(f"{tmp_path}/v")
+    read = lambda: spark.read.parquet(f"{tmp_path}/v")
+    queries = vectors.ensemble(read().selectExpr("concat('q', tile_id) AS query_id", "embedding AS query_vector"), ["query_id"], "query_vector")
+    get = lambda: {(r.query_id, r.collection, r.place): (r.tile_id, r.score) for r in vectors.nearest(queries, read(), 6, ["collection"]).collect()}
+    whole = get()
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_QUERIES", 100)
+    assert len(whole) == 400 * 3 * 6 and get() == whole
+    ranked = search.search_vectors(queries, read(), 2).where("rank = 1")
+    assert ranked.count() == 400

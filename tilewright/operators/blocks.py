@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 
 def block_pairs(left: DataFrame, right: DataFrame, key: list[str], left_id: str, right_id: str,
-                block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``_lb`` and ``_rb`` block numbers, ready for a cogroup on key, _lb, _rb."""
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
+                block_rows: int = 4096, right_rows: int | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_lb`` and ``_rb`` block numbers, ready for a cogroup on key, _lb, _rb.
+    ``right_rows`` is the size of the right side's blocks, where it is another. The left side of a key has ``least`` blocks
+    or more, if they hold 256 rows each, so that a few large blocks still keep many tasks busy."""
+    def sizes(df: DataFrame, name: str, rows: int, least: int = 1) -> DataFrame:
+        n = F.count(F.lit(1))
+        return df.groupBy(*key).agg(F.greatest(F.ceil(n / rows), F.least(F.lit(least).cast("bigint"), F.ceil(n / 256))).alias(name))
 
-    both = sizes(left, "_nl").join(sizes(right, "_nr"), key)
+    both = sizes(left, "_nl", block_rows, least).join(sizes(right, "_nr", right_rows or block_rows), key)
     many = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     deal = lambda i, n: F.pmod(F.xxhash64(i), F.col(n))
     dealt_left = left.join(both, key).withColumn("_lb", deal(left_id, "_nl")).withColumn("_rb", many("_nr")).drop("_nl", "_nr")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 SCORE_DIGITS = 12  # scores are compared at this precision, so equal vectors tie on every block layout
 MAX_BROADCAST_QUERIES = 4096  # above this many queries the join is blocked instead
+QUERY_BLOCK, VECTOR_BLOCK = 16_384, 65_536  # rows of a block pair: every vector is copied once per block of queries, and the other way round
+LEAST_BLOCKS = 16  # blocks of queries
 
 
 def norm(vector: Column) -> Column:
@@ -80,8 +82,76 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))[:k]]
 
 
+class TopPairs:
+    """The k best columns of every query among scores offered block by block, ties by the smaller column.
+
+    Offered scores are single precision. With ``exact``, which gives the scores of (query, column) pairs in double
+    precision, everything that is at most ``margin`` below the k-th best is scored again, so the result is that of the exact scores.
+    """
+
+    def __init__(self, size: int, k: int, exact=None, margin: float = 0.0):
+        self.k, self.exact, self.margin = k, exact, margin
+        self.limit = np.full(size, -np.inf, dtype=np.float32)
+        self.query, self.column, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.pending, self.waiting = [], 0
+
+    def offer(self, rows: np.ndarray, first: int, scores: np.ndarray) -> None:
+        """Scores of the queries ``rows`` and the columns from ``first`` on."""
+        width = scores.shape[1]
+        if width > self.k:
+            fresh = np.nonzero(np.isneginf(self.limit[rows]))[0]
+            if len(fresh):  # the k-th best of what is offered first is a limit already
+                self.limit[rows[fresh]] = np.partition(scores[fresh], width - self.k, axis=1)[:, width - self.k] - 2 * self.margin
+        flat = np.flatnonzero(scores >= self.limit[rows][:, None])
+        at, column = np.divmod(flat, width)
+        self.pending.append((rows[at], column + first, scores.ravel()[flat]))
+        self.waiting += len(flat)
+        if self.waiting > max(3 * self.k * len(self.limit), 1 << 16):
+            self.settle()
+
+    def settle(self) -> None:
+        query, column, score = (np.concatenate(parts) for parts in zip(*self.pending)) if self.pending else (self.query[:0], self.column[:0], self.score[:0])
+        if self.exact is not None:
+            score = np.concatenate([self.exact(query[i:i + 65_536], column[i:i + 65_536]) for i in range(0, len(query), 65_536)]) if len(query) else score
+        query, column, score = np.concatenate([self.query, query]), np.concatenate([self.column, column]), np.concatenate([self.score, score.astype(np.float64)])
+        order = np.lexsort((column, -score, query))
+        query, column, score = query[order], column[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.limit[query[last]] = np.maximum(self.limit[query[last]], score[last] - self.margin)
+        kept = place < self.k
+        self.query, self.column, self.score = query[kept], column[kept], score[kept]
+        self.pending, self.waiting = [], 0
+
+
+def first_copies(rows: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first k copies of every distinct row; of equal rows no more can be among the k best."""
+    if len(rows) <= k:
+        return np.arange(len(rows))
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    value = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.argsort(value, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(value[order], value[order])
+    return np.sort(order[place < k])
+
+
+def best_pairs(q: np.ndarray, v: np.ndarray, k: int, query_rows: int = 1024, columns: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query and row numbers and scores of the k rows of ``v`` nearest to each of ``q`` (both of unit length), ties by row number."""
+    single_q, single_v = q.astype(np.float32), v.astype(np.float32)
+    margin = 2.4e-7 * (q.shape[1] + 16)  # twice what single precision can be off by
+    found = []
+    for start in range(0, len(q), query_rows):
+        part, own = q[start:start + query_rows], single_q[start:start + query_rows]
+        top = TopPairs(len(part), k, lambda i, j, part=part: np.round(np.einsum("ij,ij->i", part[i], v[j]), SCORE_DIGITS), margin)
+        for first in range(0, len(v), columns):
+            top.offer(np.arange(len(part)), first, own @ single_v[first:first + columns].T)
+        top.settle()
+        found.append((top.query + start, top.column, top.score))
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | None = None,
-            block_rows: int = 4096) -> DataFrame:
+            block_rows: int = QUERY_BLOCK, vector_rows: int = VECTOR_BLOCK) -> DataFrame:
     """Exact k nearest tiles by cosine for every query, per value of the ``keep`` columns.
 
     ``queries`` has query_id and query_vector, ``vectors`` tile_id and embedding. A query
@@ -93,7 +163,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | No
     if len(head) <= MAX_BROADCAST_QUERIES:
         partial = _scan_scores(head, vectors, k, keep)
     else:
-        partial = _block_scores(queries, vectors, k, keep, block_rows)
+        partial = _block_scores(queries, vectors, k, keep, block_rows, vector_rows)
     place = Window.partitionBy("query_id", *keep).orderBy(F.col("score").desc(), "tile_id")
     return partial.withColumn("place", F.row_number().over(place).cast("bigint")).where(F.col("place") <= k)
 
@@ -109,7 +179,9 @@ def _scan_scores(head: list, vectors: DataFrame, k: int, keep: list[str]) -> Dat
     def score(batches):
         matrix = shared.value
         best: dict[tuple, list] = {}  # per label and query the k best of the task so far
+        types = []
         for batch in batches:
+            types = [(c, batch.schema.field(c).type) for c in keep]  # a label may be null
             if batch.num_rows == 0:
                 continue
             names = np.asarray(batch.column("tile_id").to_pylist(), dtype=object).astype(str)
@@ -137,40 +209,41 @@ def _scan_scores(head: list, vectors: DataFrame, k: int, keep: list[str]) -> Dat
                     columns[c] += [value] * len(found)
                 columns["tile_id"] += named.tolist()
                 columns["score"] += found.tolist()
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([("query_id", pa.string()), *types, ("tile_id", pa.string()), ("score", pa.float64())]))
 
     return vectors.select(*keep, "tile_id", "embedding").mapInArrow(score, fields)
 
 
-def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str], block_rows: int) -> DataFrame:
+def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str], block_rows: int, vector_rows: int | None = None) -> DataFrame:
     from .blocks import block_pairs
 
     types = dict(vectors.dtypes)
-    key = ["_all", *keep]
-    labels = vectors.select(*keep).distinct() if keep else None
-    asked = queries.select("query_id", "query_vector").withColumn("_all", F.lit(0))
-    if keep:
-        asked = asked.join(labels.withColumn("_all", F.lit(0)), "_all")
-    stored = vectors.select(*keep, "tile_id", "embedding").withColumn("_all", F.lit(0))
-    left, right = block_pairs(asked, stored, key, "query_id", "tile_id", block_rows)
-    groups = [*key, "_lb", "_rb"]
-
-    def score(label: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({"query_id": [], **{c: [] for c in keep}, "tile_id": [], "score": []})
-        scores = np.round(_matrix(q["query_vector"]) @ _matrix(v["embedding"]).T, SCORE_DIGITS)
-        names = v["tile_id"].to_numpy().astype(str)
-        parts = []
-        for i, query in enumerate(q["query_id"]):
-            picked = _best(scores[i], names, k)
-            parts.append(pd.DataFrame({"query_id": query, "tile_id": names[picked], "score": scores[i, picked]}))
-        out = pd.concat(parts)
-        for position, c in enumerate(keep, start=1):
-            out[c] = label[position]
-        return out[["query_id", *keep, "tile_id", "score"]]
-
+    label = F.to_json(F.struct(*keep)) if keep else F.lit("")  # never null, so a null label is a label too
+    stored = vectors.select(*keep, "tile_id", "embedding").withColumn("_label", label)
+    asked = queries.select("query_id", "query_vector")
+    asked = asked.withColumn("_label", F.explode(stored.agg(F.collect_set("_label")).scalar()) if keep else F.lit(""))
+    # columns of its own, also where the queries come from the same rows as the vectors
+    asked = asked.select(F.col("query_id").alias("query_id"), F.col("query_vector").alias("query_vector"), F.col("_label").alias("_label"))
+    left, right = block_pairs(asked, stored, ["_label"], "query_id", "tile_id", block_rows, vector_rows, LEAST_BLOCKS)
+    groups = ["_label", "_lb", "_rb"]
     fields = ", ".join(["query_id string", *[f"{c} {types[c]}" for c in keep], "tile_id string", "score double"])
-    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(score, fields)
+
+    def score(q: pa.Table, v: pa.Table) -> pa.Table:
+        if q.num_rows == 0 or v.num_rows == 0:
+            q, v = q.slice(0, 0), v.slice(0, 0)
+            at = row = np.empty(0, np.int64)
+            scores = np.empty(0)
+        else:
+            v = v.sort_by("tile_id")  # ties go by id, so by row number
+            rows = _arrow_matrix(v.column("embedding").combine_chunks())
+            use = first_copies(rows, k)
+            at, row, scores = best_pairs(_arrow_matrix(q.column("query_vector").combine_chunks()), rows[use], k)
+            row = use[row]
+        found = v.select([*keep, "tile_id"]).take(pa.array(row))
+        columns = [q.column("query_id").take(pa.array(at)), *found.columns, pa.array(scores)]
+        return pa.table(columns, names=["query_id", *keep, "tile_id", "score"])
+
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(score, fields)
 
 
 def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 20, bits: int = 4,
