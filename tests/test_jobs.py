@@ -335,3 +335,12 @@ def test_blocks_of_queries_read_beside_the_vectors(spark, tmp_path, monkeypatch)
     assert len(whole) == 400 * 3 * 6 and get() == whole
     ranked = search.search_vectors(queries, read(), 2).where("rank = 1")
     assert ranked.count() == 400
+
+
+def test_rasters_that_share_a_path_are_all_listed(spark, tmp_path):
+    from tilewright.plans import load
+    # pages 7,980 apart have the same folder, date and band, so the same path
+    spark.createDataFrame([(i, "u") for i in (1, 7_981, 15_961, 2, 3)], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    paths = sorted(r.path for r in load().QUERIES["s07_raster_files"](spark, str(tmp_path)).collect())
+    from tilewright.fixtures import table
+    assert paths == sorted(r.path for r in table(spark, str(tmp_path), "files").collect()) and len(set(paths)) < len(paths)
