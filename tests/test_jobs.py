@@ -344,3 +344,14 @@ def test_rasters_that_share_a_path_are_all_listed(spark, tmp_path):
     paths = sorted(r.path for r in load().QUERIES["s07_raster_files"](spark, str(tmp_path)).collect())
     from tilewright.fixtures import table
     assert paths == sorted(r.path for r in table(spark, str(tmp_path), "files").collect()) and len(set(paths)) < len(paths)
+
+
+def test_layout_is_dealt_by_path_before_it_is_counted(spark):
+    from tilewright.operators import validate
+    entries = spark.createDataFrame([(1, "eastern_ladakh", "active", "a"), (2, "maritime", "active", "b"), (3, None, "configured", "c"), (4, "eastern_ladakh", "archived", None)],
+                                    "entry_no long, domain string, status string, local_path string")
+    listing = spark.createDataFrame([("a", "raw"), ("a", "raw"), ("a", "tiles"), ("b", "manifest.json"), ("x", "raw")], "local_path string, folder string")
+    found = validate.layout_findings(entries, listing)
+    assert sorted((r.entry_no, r.finding) for r in found.collect()) == [
+        (1, "missing sub-folder intermediate"), (1, "missing sub-folder manifests"), (1, "missing sub-folder normalized"), (1, "no manifest"), (3, "missing folder")]
+    assert "RepartitionByExpression [local_path" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo
+from ..session import dealt
 
 SEVERITY = {"PASS": 0, "WARNING": 1, "FAIL": 2}
 
@@ -112,13 +113,15 @@ def layout_findings(entries: DataFrame, listing: DataFrame) -> DataFrame:
 
     ``listing`` has local_path and folder (the first folder or file below it).
     """
-    rows = [(d, f) for d, folders in K.EXPECTED_LAYOUT.items() for f in folders]
-    expected = F.broadcast(entries.sparkSession.createDataFrame(rows, "domain string, folder string"))  # fixed table
-    present = listing.groupBy("local_path").agg(F.max(F.col("folder") == "manifest.json").alias("_manifest"))
+    known = sorted({f for folders in K.EXPECTED_LAYOUT.values() for f in folders})
+    # dealt by path before anything is counted, so that no task holds the paths of a whole file
+    present = dealt(listing, "local_path").groupBy("local_path").agg(
+        F.max(F.col("folder") == "manifest.json").alias("_manifest"), *[F.max(F.col("folder") == f).alias(f"_has_{f}") for f in known])
     live = F.col("status").isin("active", "configured")
-    df = entries.join(present, "local_path", "left")
-    whole = df.where(F.col("_manifest").isNull() & live).select("entry_no", F.lit("missing folder").alias("finding"))
-    manifest = df.where(~F.col("_manifest") & (F.col("status") == "active")).select("entry_no", F.lit("no manifest").alias("finding"))
-    inside = df.where(F.col("_manifest").isNotNull()).join(expected, "domain").join(listing.distinct(), ["local_path", "folder"], "left_anti").select(
-        "entry_no", F.concat(F.lit("missing sub-folder "), F.col("folder")).alias("finding"))
-    return whole.unionByName(manifest).unionByName(inside)
+    there = F.col("_manifest").isNotNull()
+    wanted = F.coalesce(F.element_at(F.create_map(*[x for d, folders in K.EXPECTED_LAYOUT.items() for x in (F.lit(d), F.array(*[F.lit(f) for f in folders]))]), F.col("domain")), F.array().cast("array<string>"))
+    held = F.array_compact(F.array(*[F.when(F.col(f"_has_{f}"), F.lit(f)) for f in known]))
+    missing = F.transform(F.array_except(wanted, held), lambda f: F.concat(F.lit("missing sub-folder "), f))
+    first = F.array_compact(F.array(F.when(~there & live, F.lit("missing folder")), F.when(there & ~F.col("_manifest") & (F.col("status") == "active"), F.lit("no manifest"))))
+    return entries.select("entry_no", "domain", "status", "local_path").join(present, "local_path", "left").select(
+        "entry_no", F.explode(F.concat(first, F.when(there, missing).otherwise(F.array().cast("array<string>")))).alias("finding"))

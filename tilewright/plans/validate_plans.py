@@ -8,7 +8,7 @@ from .. import constants as K
 from ..fixtures import table
 from ..functions import geo, naming
 from ..operators import evaluate, search, validate
-from ..session import fresh_path
+from ..session import dealt, fresh_path
 from .change_plans import classified
 from .registry import query
 from .scalar_plans import BAND_SQL, FILE_NAME, SENSOR_SQL, SHOELACE_SQL, area_ring, file_name
@@ -109,7 +109,7 @@ UNION ALL SELECT entry_no, 'no manifest' FROM registry WHERE local_path IN (SELE
 UNION ALL SELECT entry_no, 'missing sub-folder ' || ex.folder FROM registry JOIN ex USING (domain) WHERE local_path IN (SELECT local_path FROM li) AND (local_path, ex.folder) NOT IN (SELECT (local_path, folder) FROM li)""")
 def v10(spark, d):
     entries = table(spark, d, "registry")
-    listing = entries.where("entry_no % 7 <> 0").select("local_path", "entry_no", F.explode(F.array(*[F.lit(f) for f in FOLDERS])).alias("folder")).where(
+    listing = dealt(entries.where("entry_no % 7 <> 0").select("local_path", "entry_no"), "local_path").select("local_path", "entry_no", F.explode(F.array(*[F.lit(f) for f in FOLDERS])).alias("folder")).where(
         "(folder <> 'tiles' OR entry_no % 2 = 0) AND (folder <> 'manifest.json' OR entry_no % 3 = 0)").select("local_path", "folder")
     return validate.layout_findings(entries, listing)
 
