@@ -355,3 +355,17 @@ def test_layout_is_dealt_by_path_before_it_is_counted(spark):
     assert sorted((r.entry_no, r.finding) for r in found.collect()) == [
         (1, "missing sub-folder intermediate"), (1, "missing sub-folder manifests"), (1, "missing sub-folder normalized"), (1, "no manifest"), (3, "missing folder")]
     assert "RepartitionByExpression [local_path" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_are_dealt_over_tasks_and_clipped_by_a_known_ring(spark):
+    from tilewright.functions import geo
+    one = spark.createDataFrame([(1, 900, 700), (2, 100, 300)], "s long, height long, width long").coalesce(1)
+    assert grids.tile_windows(one, ["s"], 512, 0.1).rdd.getNumPartitions() > 1
+    rng = random.Random(3)
+    boxes = [(x, y, x + rng.choice([0.0, 0.5, 2.0]), y + rng.choice([0.0, 0.5, 2.0])) for x, y in ((rng.choice([0.0, 1.0, rng.uniform(-2, 4)]), rng.uniform(-2, 4)) for _ in range(300))]
+    df = spark.createDataFrame(boxes, "a double, b double, c double, d double")
+    for ring in ([(3.0, 0.0), (3.0, 2.0), (0.0, 2.0), (0.0, 0.0), (3.0, 0.0)], [(0.0, 0.0), (3.0, 1.0), (1.0, 3.0), (0.0, 0.0)]):
+        edges = geo.polygon_edges(F.array(F.array(*[F.array(*map(F.lit, p)) for p in ring])))
+        box = [F.col(n) for n in "abcd"]
+        got = df.select(geo.fixed_ring_intersects_box(ring, *box).alias("x"), geo.edges_intersect_box(edges, *box).alias("y")).collect()
+        assert all(r.x == r.y for r in got) and {r.x for r in got} == {True, False}

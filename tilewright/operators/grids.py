@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import dealt
 
 
 def stride_of(window: int, overlap: float) -> int:
@@ -25,7 +26,7 @@ def tile_windows(canvases: DataFrame, scene: list[str], window: int, overlap: fl
     """All windows of every canvas (columns height, width) with their row-major number."""
     size = F.least(F.lit(window), F.least("height", "width")).cast("bigint")
     stride = F.greatest(F.lit(1), F.bround(F.col("_size") * (1.0 - overlap), 0).cast("bigint"))
-    df = canvases.withColumn("_size", size)
+    df = dealt(canvases.select(*scene, "height", "width")).withColumn("_size", size)
     df = df.withColumns({"_ys": window_offsets(F.col("height"), F.col("_size"), stride), "_xs": window_offsets(F.col("width"), F.col("_size"), stride)})
     df = df.withColumn("_nx", F.size("_xs")).select("*", F.posexplode("_ys").alias("_i", "y0")).select("*", F.posexplode("_xs").alias("_j", "x0"))
     return df.select(*scene, "height", "width", F.col("_size").alias("size"), "y0", "x0",
