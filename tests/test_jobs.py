@@ -369,3 +369,16 @@ def test_windows_are_dealt_over_tasks_and_clipped_by_a_known_ring(spark):
         box = [F.col(n) for n in "abcd"]
         got = df.select(geo.fixed_ring_intersects_box(ring, *box).alias("x"), geo.edges_intersect_box(edges, *box).alias("y")).collect()
         assert all(r.x == r.y for r in got) and {r.x for r in got} == {True, False}
+
+
+def test_a_place_with_many_dates_meets_its_areas_in_lists(spark, monkeypatch):
+    from tilewright.functions import geo
+    monkeypatch.setattr(spatial, "LIST_AREAS", 2)
+    tiles = spark.range(40).selectExpr("concat('t', id) AS tile_id", "0.0D AS min_lon", "0.0D AS min_lat", "0.1D AS max_lon", "0.1D AS max_lat")
+    ring = F.array(*[F.array(*map(F.lit, p)) for p in ((0.0, 0.0), (0.2, 0.0), (0.2, 0.2), (0.0, 0.0))])
+    box = [e.alias(n) for e, n in zip(geo.ring_bounds(ring), ("min_lon", "min_lat", "max_lon", "max_lat"))]
+    areas = spark.range(7).select(F.concat(F.lit("a"), "id").alias("aoi_id"), geo.polygon_edges(F.array(ring)).alias("edges"), *box)
+    found = spatial.tiles_in_areas(tiles.coalesce(1), areas)
+    rows = [(r.tile_id, r.aoi_id) for r in found.collect()]
+    assert len(rows) == len(set(rows)) == 280
+    assert "Generate explode(_areas" in found._jdf.queryExecution().optimizedPlan().toString()
