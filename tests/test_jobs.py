@@ -382,3 +382,15 @@ def test_a_place_with_many_dates_meets_its_areas_in_lists(spark, monkeypatch):
     rows = [(r.tile_id, r.aoi_id) for r in found.collect()]
     assert len(rows) == len(set(rows)) == 280
     assert "Generate explode(_areas" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_next_date_is_joined_in_one_shuffle(spark):
+    """As the table joined with itself, repeated dates, gaps and null keys included."""
+    rows = [(1, 0, 0, 0, 1.0), (1, 0, 0, 1, 2.0), (1, 0, 0, 1, 3.0), (1, 0, 0, 2, 4.0), (1, 0, 1, 0, 5.0), (1, 0, 1, 2, 6.0), (2, 0, 0, 3, None), (2, 0, 0, 4, 7.0), (None, 0, 0, 0, 8.0), (None, 0, 0, 1, 9.0)]
+    df = spark.createDataFrame(rows, "site long, prow long, pcol long, epoch long, v double")
+    got = pairs.join_next_date(df, ["site", "prow", "pcol"], "epoch", ["v"])
+    before, after = df.withColumnRenamed("v", "v_b"), df.select("site", "prow", "pcol", (F.col("epoch") - 1).alias("epoch"), F.col("v").alias("v_a"))
+    want = pairs.join_dates(before, after, ["site", "prow", "pcol", "epoch"])
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.select(*got.columns).collect()), key=key)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1

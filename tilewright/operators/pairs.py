@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ def join_dates(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFram
     return before.join(after, keys, "inner")
 
 
+def join_next_date(pixels: DataFrame, keys: list[str], step: str, values: list[str]) -> DataFrame:
+    """Every pixel row (``value``_b) beside each row of the same pixel one step later (``value``_a), as a join of the
+    table with itself on the keys and the next step. Rows are shuffled once, not once for each side."""
+    later = F.collect_list(F.struct(*[F.col(v).alias(f"{v}_a") for v in values]))
+    following = Window.partitionBy(*keys).orderBy(step).rangeBetween(1, 1)
+    given = pixels.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in (*keys, step)]))
+    paired = given.select(*keys, step, *values, later.over(following).alias("_later"))
+    return paired.select(*keys, step, *[F.col(v).alias(f"{v}_b") for v in values], F.inline("_later"))
+
+
 def attach_mask(pixels: DataFrame, mask: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """Bad-pixel flag from a sparse mask table; a pixel without a mask row is clear."""
     marked = mask.select(*keys, F.col(flag))

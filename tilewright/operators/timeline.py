@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import elapsed_days, elapsed_years
+from ..session import cut_lineage
 
 
 def in_sequence(rows: DataFrame, site: list[str], when: str, tie: str, carry: list[str],
@@ -92,6 +93,7 @@ def trajectory(rows: DataFrame, site: list[str], when: str, tie: str, indices: l
 def fill_gaps(stack: DataFrame, profiles: DataFrame, site: list[str], indices: list[str]) -> DataFrame:
     """Missing indices of an epoch from its own pair's before side; only the last epoch,
     which opens no pair, takes the previous pair's after side."""
+    profiles = cut_lineage(profiles)  # used twice, few rows
     own = profiles.select(*site, F.col("step_index").alias("epoch_index"), F.lit(True).alias("_own"),
                           *[F.col(f"{n}_before").alias(f"_own_{n}") for n in indices])
     previous = profiles.select(*site, (F.col("step_index") + 1).alias("epoch_index"),

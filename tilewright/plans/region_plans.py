@@ -170,9 +170,7 @@ rg AS (SELECT site AS site_id, change_type, lab, count(*) AS area_px, round_even
 
 
 def epoch_pairs(spark, d):
-    df = table(spark, d, "epochs")
-    side = lambda s, shift: df.select("site_id", "prow", "pcol", (c("epoch") - shift).alias("epoch"), c("bad").alias(f"bad_{s}"), *[c(b).alias(f"{b}_{s}") for b in BANDS])
-    joined = pairs.join_dates(side("b", 0), side("a", 1), ["site_id", "epoch", "prow", "pcol"])
+    joined = pairs.join_next_date(table(spark, d, "epochs"), ["site_id", "prow", "pcol"], "epoch", ["bad", *BANDS])
     return joined.withColumn("pair_id", c("site_id") * 10 + c("epoch")).drop("site_id", "epoch").withColumnRenamed("pair_id", "site_id")
 
 
