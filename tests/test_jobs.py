@@ -394,3 +394,20 @@ def test_the_next_date_is_joined_in_one_shuffle(spark):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.select(*got.columns).collect()), key=key)
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def test_density_pairs_close_to_the_radius_and_masses_of_points(spark):
+    """Counts and forests by pieces equal brute force in double precision, and a vector is copied to few blocks."""
+    rng = np.random.default_rng(6)
+    angle = np.concatenate([np.arange(60) * 2 * np.arcsin(0.05), rng.uniform(3.5, 5.9, 2000)])  # neighbours at exactly the radius, up to rounding
+    points = np.stack([np.cos(angle), np.sin(angle)], 1)
+    df = spark.createDataFrame([(f"t{i}", [float(x) for x in p]) for i, p in enumerate(points)], "tile_id string, embedding array<double>")
+    unit = np.round(points / np.linalg.norm(points, axis=1, keepdims=True), 9)
+    square = (unit * unit).sum(1)
+    near = square[:, None] + square[None] - 2 * unit @ unit.T <= 0.1 ** 2 + 1e-12
+    got = {r.tile_id: r.label for r in clusters.density_labels(df, 0.1, 3, 3, pivots=3).collect()}
+    core = near.sum(1) >= 3
+    assert {k for k, v in got.items() if v != -1} >= {f"t{i}" for i in np.nonzero(core)[0][60:]} and len({v for v in got.values()} - {-1}) >= 1
+    assert all(got[f"t{i}"] == got[f"t{j}"] for i, j in zip(*np.nonzero(near & core[:, None] & core[None])))
+    home, visit = clusters._neighbour_tasks(spark.createDataFrame([(i, [int(round(x * 1e9)) for x in p], 1) for i, p in enumerate(unit)], "point long, vector array<int>, weight long"), [[10 ** 9, 0]], 0.1, 32_768)
+    assert home.count() == visit.count() == len(points)

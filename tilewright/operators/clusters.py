@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -12,10 +13,18 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..session import cut_lineage
 from .blocks import block_pairs
-from .components import connected
+from .components import connected, contract
 from .vectors import euclidean, mean_vectors, unit
 
 
+SCALE = 1e9  # coordinates of unit vectors are compared at nine decimals
+
+
+def _coordinates(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1) / SCALE
+
+
 def medoids(members: DataFrame, cluster: str) -> DataFrame:
     """Per cluster: the member nearest to the mean vector, and the size."""
     centre = mean_vectors(members, [cluster], "embedding", "_centre")
@@ -62,14 +71,14 @@ def _neighbour_tasks(points: DataFrame, pivots: list, radius: float, block_rows:
     the radius meets in the home cell of each of its points.
     """
     spark = points.sparkSession
-    centre = spark.sparkContext.broadcast(np.asarray(pivots, dtype=float))
+    centre = spark.sparkContext.broadcast(np.asarray(pivots, dtype=float) / SCALE)
 
     @F.pandas_udf("array<int>")
     def cells(batch: pd.Series) -> pd.Series:
         if len(batch) == 0:
             return pd.Series([], dtype=object)
-        rows = np.stack(batch.to_numpy())
-        away = np.sqrt(np.maximum(((rows[:, None, :] - centre.value[None, :, :]) ** 2).sum(-1), 0))
+        rows = np.stack(batch.to_numpy()) / SCALE
+        away = np.stack([np.sqrt(((rows - p) ** 2).sum(1)) for p in centre.value], 1)
         home = away.argmin(1)
         limit = away.min(1) + 2 * radius + 1e-9
         return pd.Series([[int(h), *np.nonzero(a <= m)[0].tolist()] for h, a, m in zip(home, away, limit)])
@@ -78,18 +87,19 @@ def _neighbour_tasks(points: DataFrame, pivots: list, radius: float, block_rows:
     home = placed.select("point", "vector", F.element_at("_cells", 1).alias("cell"))
     visit = placed.select(F.col("point").alias("other"), F.col("vector").alias("other_vector"), "weight",
                           F.explode(F.slice("_cells", 2, 1 << 20)).alias("cell"))
-    return block_pairs(home, visit, ["cell"], "point", "other", block_rows)
+    return block_pairs(home, visit, ["cell"], "point", "other", block_rows, 2 * block_rows)
 
 
 def density_labels(vectors: DataFrame, radius: float, min_points: int, min_size: int, pivots: int = 32,
-                   block_rows: int = 2048) -> DataFrame:
+                   block_rows: int = 32_768) -> DataFrame:
     """Flat density clusters of unit vectors (DBSCAN with core points only), noise -1.
 
     Equal vectors collapse to one weighted point first. Points are partitioned by pivot
-    cells, and cells into block pairs of bounded size. A task counts neighbours, or
-    returns a spanning forest of its core pairs: never the pairs themselves.
+    cells, and cells into block pairs of bounded size, which a task goes through in smaller
+    pieces. It counts neighbours, or returns a spanning forest of its core pairs: never the
+    pairs themselves. Coordinates travel as whole numbers of 1e-9, half the size of doubles.
     """
-    rounded = vectors.select("tile_id", F.transform(unit(F.col("embedding")), lambda x: F.round(x, 9)).alias("vector"))
+    rounded = vectors.select("tile_id", F.transform(unit(F.col("embedding")), lambda x: F.round(F.round(x, 9) * SCALE).try_cast("int")).alias("vector"))
     keyed = rounded.withColumn("point", F.xxhash64("vector"))
     points = keyed.groupBy("point").agg(F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("weight")).persist()
     centres = [r[0] for r in points.orderBy("point").select("vector").limit(pivots).collect()]
@@ -97,44 +107,51 @@ def density_labels(vectors: DataFrame, radius: float, min_points: int, min_size:
         return rounded.select("tile_id", F.lit(-1).cast("bigint").alias("label"))
     groups = ["cell", "_lb", "_rb"]
 
-    def within(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["other_vector"].to_numpy())
-        square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        return square <= radius * radius + 1e-12
-
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"point": [], "n": []})
-        return pd.DataFrame({"point": a["point"], "n": within(a, b) @ b["weight"].to_numpy()})
+    def pieces(a: pa.Table, b: pa.Table):
+        """Pairs of both sides within the radius, piece by piece: first rows and a mask. Single precision decides
+        but for pairs close to the radius."""
+        x, y = _coordinates(a.column("vector")), _coordinates(b.column("other_vector"))
+        single_x, single_y = x.astype(np.float32), y.astype(np.float32)
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        limit, off = radius * radius + 1e-12, 1e-6 * (x.shape[1] + 16)
+        for i in range(0, len(x), 1024):
+            for j in range(0, len(y), 4096):
+                square = xx[i:i + 1024, None].astype(np.float32) + yy[None, j:j + 4096].astype(np.float32)
+                square -= 2 * single_x[i:i + 1024] @ single_y[j:j + 4096].T
+                near = square <= limit
+                rows, columns = np.nonzero(np.abs(square - np.float32(limit)) <= off)
+                for s in range(0, len(rows), 65_536):
+                    r, c = rows[s:s + 65_536], columns[s:s + 65_536]
+                    near[r, c] = xx[i + r] + yy[j + c] - 2 * np.einsum("ij,ij->i", x[i + r], y[j + c]) <= limit
+                yield i, j, near
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        n = np.zeros(a.num_rows, np.int64)
+        if a.num_rows and b.num_rows:
+            weight = b.column("weight").to_numpy()
+            for i, j, near in pieces(a, b):
+                r, c = np.nonzero(near)
+                n[i:i + len(near)] += np.bincount(r, weight[j + c], len(near)).astype(np.int64)
+        return pa.table([a.column("point"), pa.array(n)], names=["point", "n"])
 
     home, visit = _neighbour_tasks(points, centres, radius, block_rows)
-    counts = home.groupBy(*groups).cogroup(visit.groupBy(*groups)).applyInPandas(count, "point bigint, n bigint")
+    counts = home.groupBy(*groups).cogroup(visit.groupBy(*groups)).applyInArrow(count, "point bigint, n bigint")
     cores = counts.groupBy("point").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points)
     core_points = cut_lineage(points.join(cores.select("point"), "point", "left_semi"))
 
-    def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        near = within(a, b)
-        left, right = a["point"].to_numpy(), b["other"].to_numpy()
-        parent: dict[int, int] = {}
-
-        def find(p):
-            while parent.setdefault(p, p) != p:
-                parent[p] = parent[parent[p]]
-                p = parent[p]
-            return p
-
-        edges = []
-        for i, j in zip(*np.nonzero(near)):
-            x, y = find(int(left[i])), find(int(right[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                edges.append((int(left[i]), int(right[j])))
-        return pd.DataFrame(edges, columns=["a", "b"])
+    def forest(a: pa.Table, b: pa.Table) -> pa.Table:
+        none = np.empty(0, np.int64)
+        old, new = none, none
+        if a.num_rows and b.num_rows:
+            left, right = a.column("point").to_numpy(), b.column("other").to_numpy()
+            for i, j, near in pieces(a, b):
+                r, c = np.nonzero(near)
+                if len(r):
+                    old, new = contract(np.concatenate([old, left[i + r]]), np.concatenate([new, right[j + c]]))
+        return pa.table([pa.array(old), pa.array(new)], names=["a", "b"])
 
     home, visit = _neighbour_tasks(core_points, centres, radius, block_rows)
-    edges = home.groupBy(*groups).cogroup(visit.groupBy(*groups)).applyInPandas(forest, "a bigint, b bigint")
+    edges = home.groupBy(*groups).cogroup(visit.groupBy(*groups)).applyInArrow(forest, "a bigint, b bigint")
     labelled = connected(core_points.select(F.col("point").alias("id")), edges)
     sized = labelled.join(points.select(F.col("point").alias("id"), "weight"), "id")
     kept = sized.groupBy("component").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_size)
