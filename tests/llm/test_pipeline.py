@@ -1,10 +1,13 @@
 """The stages of the corpus pipeline, each held against what it must keep."""
 
+import tracemalloc
+
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tilewright.llm import mixing
-from tilewright.llm.store import materialise
+from tilewright.llm import kernel, mixing
+from tilewright.llm.store import materialise, small_table
 
 from .test_llm import base_spans, shingles, union_find, words
 
@@ -63,3 +66,22 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), "stage")
     assert not docs.collect()
+
+
+def test_small_tables_need_no_python_workers(spark):
+    rows = [(0, None, 5, 0.5), (1, "é", 2**40, 1.0)]
+    found = small_table(spark, rows, "ix int, name string, n bigint, share double")
+    assert [tuple(r) for r in found.collect()] == rows and found.dtypes == [("ix", "int"), ("name", "string"), ("n", "bigint"), ("share", "double")]
+    assert small_table(spark, [], "ix int, name string").count() == 0
+    for table in (found, mixing.with_index(spark.range(2).selectExpr("cast(id as string) AS source"), [mixing.Source("0", 1, 1.0, 1, 1)])):
+        assert "ExistingRDD" not in table._jdf.queryExecution().toString()
+
+
+def test_temporary_arrays_are_small():
+    texts = kernel.Texts(pa.array(["some words of a text that goes on " * 30] * 4000))
+    tracemalloc.start()
+    for first, last in texts.parts():
+        kernel.Words(texts, first, last, kernel.NOT_SPACE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # 54 MB with pieces of 1 MB

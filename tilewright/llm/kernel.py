@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes hashed at a time; bounds the temporary arrays, not the texts
+PIECE = 1 << 18  # bytes hashed at a time; bounds the temporary arrays (about 50 bytes each), not the texts
 U = np.uint64
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import NOT_SPACE, Texts, Words
-from .store import materialise, running_start
+from .store import materialise, running_start, small_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 1024
@@ -84,8 +84,8 @@ def plan_sources(sized: DataFrame, weights: list[float], most: float, block_word
 
 def with_index(df: DataFrame, sources: list[Source]) -> DataFrame:
     """Add the number of the source; the list of sources has a checked length."""
-    table = df.sparkSession.createDataFrame([(i, s.name, s.words, s.target) for i, s in enumerate(sources)],
-                                            "ix int, _name string, source_size bigint, target double")
+    table = small_table(df.sparkSession, [(i, s.name, s.words, s.target) for i, s in enumerate(sources)],
+                        "ix int, _name string, source_size bigint, target double")
     return df.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
 
 
@@ -128,7 +128,7 @@ def draw_slots(spark: SparkSession, sources: list[Source], shard_slots: int, see
     drawn = spark.range(shards).mapInArrow(draw, "shard bigint, ix int, drawn bigint")
     # shards in a hashed order, so that those who give up slots are spread over all of them
     drawn = running_start(drawn, ["ix"], F.pmod(F.xxhash64("shard", F.lit(seed)), F.lit(max(1, shards // BUCKET_ROWS))), ["shard"], "drawn", "first")
-    names = spark.createDataFrame([(i, s.slots) for i, s in enumerate(sources)], "ix int, due bigint")
+    names = small_table(spark, [(i, s.slots) for i, s in enumerate(sources)], "ix int, due bigint")
     drawn = drawn.join(F.broadcast(names), "ix").withColumn("n", F.greatest(F.lit(0), F.least("drawn", F.col("due") - F.col("first"))))
     drawn = materialise(drawn, "mix-drawn")
     got = {r.ix: r.n for r in drawn.groupBy("ix").agg(F.sum("n").alias("n")).collect()}
@@ -240,6 +240,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     # a block holds at most block_words pieces, so the list is bounded
     blocks = pieces.groupBy("ix", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "part"))).alias("p"), F.sum("words").alias("n_words"))
     slots = map_slots(draw_slots(spark, sources, shard_slots, seed), sources, seed)
-    names = spark.createDataFrame([(i, s.name) for i, s in enumerate(sources)], "ix int, source string")
+    names = small_table(spark, [(i, s.name) for i, s in enumerate(sources)], "ix int, source string")
     return slots.join(blocks, ["ix", "block"]).join(F.broadcast(names), "ix").select(
         "shard", "source", "block", "round", F.array_join("p.part", " ").alias("text"), "n_words", F.array_distinct("p.doc_id").alias("doc_ids"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,15 +12,24 @@ from ..session import fresh_path
 from .kernel import BITS, hit
 
 
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Python workers of this session take and return at most 4 MB of rows at a time. The default counts rows, of which
+    """Let Python workers of this session take and return at most 1 MB of rows at a time. The default counts rows, of which
     10,000 long texts fill tens of MB on the JVM's side, outside its heap, and again in the worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table, by way of Arrow. A list goes through an RDD of Python objects, for which every executor
+    starts Python workers beside those of the queries and keeps them."""
+    names, kinds = zip(*(field.split() for field in schema.split(", ")))
+    columns = zip(*rows) if rows else [()] * len(names)
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    return spark.createDataFrame(pa.table([pa.array(c, arrow[k]) for c, k in zip(columns, kinds)], names=list(names)))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: its lineage ends there, so a
     lost executor costs a read, and later uses don't compute it again."""
