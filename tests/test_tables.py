@@ -1,12 +1,13 @@
 """Logged tables, document readers, component names and the vector index on small tables."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from tilewright.operators import components, quantiles, raster, regions, vectors
+from tilewright.operators import blocks, components, quantiles, raster, regions, vectors
 from tilewright.operators.index import VectorIndex
 from tilewright.sources import layout, readers, tables
 from tilewright.sources.tables import LoggedTable, WriteConflict
@@ -276,3 +277,33 @@ def test_the_index_measures_its_settings_on_vectors_without_structure(spark, tmp
     assert probes > 40 and rerank <= 4500 // 12  # forty cells do not hold the neighbours
     # a query leaves a group of cells with one list of pairs, not each cell with one
     assert index._ranked(q, probes, rerank)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_are_copied_as_packed_rows(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-3, 4, (300, 6)).astype(float)  # many equal vectors and ties
+    rows = [(f"t{i:03}", ["a", "b", None][i % 3], v.tolist()) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, f"tile_id string, part string, embedding array<{kind}>").repartition(5)
+    seen, copied = [], blocks.copied
+    monkeypatch.setattr(blocks, "copied", lambda left, right: (seen.append((left, right)), copied(left, right))[1])
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_QUERIES", 10)
+    q = df.selectExpr("tile_id AS query_id", "embedding AS query_vector")
+    found = {(r.query_id, r.part, r.place): (r.tile_id, r.score) for r in vectors.nearest(q, df, 4, ["part"], 80, 40).collect()}
+    assert all(side.count() <= 3 * 8 for pair in seen for side in pair)  # blocks, not vectors
+    unit = base / np.maximum(np.linalg.norm(base, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit @ unit.T, 12)
+    for i in range(300):
+        for part in ("a", "b", None):
+            best = sorted((-scores[i, j], rows[j][0]) for j in range(300) if rows[j][1] == part)[:4]
+            got = [found[f"t{i:03}", part, n + 1] for n in range(4)]
+            assert [t for t, _ in got] == [t for _, t in best] and np.allclose([s for _, s in got], [-s for s, _ in best], 0, 1e-11)
+
+
+def test_scores_are_computed_in_small_tiles():
+    rows = np.random.default_rng(3).standard_normal((4096, 8))
+    tracemalloc.start()
+    vectors.best_pairs(rows[:1024], rows, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9e6, peak

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 SCORE_DIGITS = 12  # scores are compared at this precision, so equal vectors tie on every block layout
 MAX_BROADCAST_QUERIES = 4096  # above this many queries the join is blocked instead
 QUERY_BLOCK, VECTOR_BLOCK = 16_384, 65_536  # rows of a block pair: every vector is copied once per block of queries, and the other way round
+BLOCK_VALUES = 1 << 22  # numbers of a block of vectors, so that long vectors make smaller blocks; a quarter of that for queries
 LEAST_BLOCKS = 16  # blocks of queries
 
 
@@ -135,16 +136,21 @@ def first_copies(rows: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[place < k])
 
 
-def best_pairs(q: np.ndarray, v: np.ndarray, k: int, query_rows: int = 1024, columns: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query and row numbers and scores of the k rows of ``v`` nearest to each of ``q`` (both of unit length), ties by row number."""
+def best_pairs(q: np.ndarray, v: np.ndarray, k: int, query_rows: int = 1024, columns: int = 2048, tile_rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query and row numbers and scores of the k rows of ``v`` nearest to each of ``q`` (both of unit length), ties by row number.
+
+    Scores are computed a tile of ``tile_rows`` by ``columns`` at a time (1 MB, which stays in a core's cache), in the same memory."""
     single_q, single_v = q.astype(np.float32), v.astype(np.float32)
     margin = 2.4e-7 * (q.shape[1] + 16)  # twice what single precision can be off by
-    found = []
+    found, tile = [], np.empty(tile_rows * columns, np.float32)
     for start in range(0, len(q), query_rows):
         part, own = q[start:start + query_rows], single_q[start:start + query_rows]
         top = TopPairs(len(part), k, lambda i, j, part=part: np.round(np.einsum("ij,ij->i", part[i], v[j]), SCORE_DIGITS), margin)
         for first in range(0, len(v), columns):
-            top.offer(np.arange(len(part)), first, own @ single_v[first:first + columns].T)
+            some = single_v[first:first + columns].T
+            for low in range(0, len(part), tile_rows):
+                rows = np.arange(low, min(low + tile_rows, len(part)))
+                top.offer(rows, first, np.matmul(own[low:low + tile_rows], some, out=tile[:len(rows) * some.shape[1]].reshape(len(rows), -1)))
         top.settle()
         found.append((top.query + start, top.column, top.score))
     return tuple(np.concatenate(parts) for parts in zip(*found))
@@ -163,7 +169,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | No
     if len(head) <= MAX_BROADCAST_QUERIES:
         partial = _scan_scores(head, vectors, k, keep)
     else:
-        partial = _block_scores(queries, vectors, k, keep, block_rows, vector_rows)
+        most = max(BLOCK_VALUES // max(len(head[0].query_vector), 1), 4)
+        partial = _block_scores(queries, vectors, k, keep, min(block_rows, most // 4), min(vector_rows, most))
     place = Window.partitionBy("query_id", *keep).orderBy(F.col("score").desc(), "tile_id")
     return partial.withColumn("place", F.row_number().over(place).cast("bigint")).where(F.col("place") <= k)
 
@@ -214,8 +221,22 @@ def _scan_scores(head: list, vectors: DataFrame, k: int, keep: list[str]) -> Dat
     return vectors.select(*keep, "tile_id", "embedding").mapInArrow(score, fields)
 
 
+def _raw(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+
+
+def _units(packed: pa.Table, kind: type) -> np.ndarray:
+    """Unit vectors of a packed block."""
+    rows = np.frombuffer(packed.column("_data")[0].as_buffer(), kind).reshape(len(packed.column("_ids")[0]), -1).astype(np.float64)
+    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+    lengths[lengths == 0] = 1.0
+    return rows / lengths
+
+
 def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str], block_rows: int, vector_rows: int | None = None) -> DataFrame:
-    from .blocks import block_pairs
+    """Blocks are packed first, a row for each with its ids and the bytes of its vectors: what is copied for
+    every block of the other side, sorted and handed to Python are a few large rows, not all vectors again and again."""
+    from .blocks import copied, dealt
 
     types = dict(vectors.dtypes)
     label = F.to_json(F.struct(*keep)) if keep else F.lit("")  # never null, so a null label is a label too
@@ -224,26 +245,39 @@ def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str
     asked = asked.withColumn("_label", F.explode(stored.agg(F.collect_set("_label")).scalar()) if keep else F.lit(""))
     # columns of its own, also where the queries come from the same rows as the vectors
     asked = asked.select(F.col("query_id").alias("query_id"), F.col("query_vector").alias("query_vector"), F.col("_label").alias("_label"))
-    left, right = block_pairs(asked, stored, ["_label"], "query_id", "tile_id", block_rows, vector_rows, LEAST_BLOCKS)
+    kinds = [np.float32 if dict(df.dtypes)[c] == "array<float>" else np.float64 for df, c in ((queries, "query_vector"), (vectors, "embedding"))]
+    left, right = dealt(asked, stored, ["_label"], "query_id", "tile_id", block_rows, vector_rows, LEAST_BLOCKS)
+
+    def row_of(block: pa.Table, head: list[str], ids: pa.ChunkedArray, rows: np.ndarray) -> pa.Table:
+        packed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.combine_chunks())
+        return pa.table([*block.select(head).slice(0, 1).columns, packed, pa.array([rows.tobytes()], pa.binary())], names=[*head, "_ids", "_data"])
+
+    def pack_queries(block: pa.Table) -> pa.Table:
+        return row_of(block, ["_label", "_lb", "_nr"], block.column("query_id"), _raw(block.column("query_vector"), kinds[0]))
+
+    def pack_vectors(block: pa.Table) -> pa.Table:
+        block = block.sort_by("tile_id")  # ties go by id, so by row number
+        use = first_copies(_arrow_matrix(block.column("embedding").combine_chunks()), k)
+        return row_of(block, ["_label", "_rb", "_nl", *keep], block.column("tile_id").take(pa.array(use)), _raw(block.column("embedding"), kinds[1])[use])
+
+    kept = "".join(f"{c} {types[c]}, " for c in keep)
+    left = left.groupBy("_label", "_lb").applyInArrow(pack_queries, "_label string, _lb bigint, _nr bigint, _ids array<string>, _data binary")
+    right = right.groupBy("_label", "_rb").applyInArrow(pack_vectors, f"_label string, _rb bigint, _nl bigint, {kept}_ids array<string>, _data binary")
+    left, right = copied(left, right)
     groups = ["_label", "_lb", "_rb"]
-    fields = ", ".join(["query_id string", *[f"{c} {types[c]}" for c in keep], "tile_id string", "score double"])
 
     def score(q: pa.Table, v: pa.Table) -> pa.Table:
         if q.num_rows == 0 or v.num_rows == 0:
-            q, v = q.slice(0, 0), v.slice(0, 0)
+            query_ids = tile_ids = pa.array([], pa.string())
             at = row = np.empty(0, np.int64)
             scores = np.empty(0)
         else:
-            v = v.sort_by("tile_id")  # ties go by id, so by row number
-            rows = _arrow_matrix(v.column("embedding").combine_chunks())
-            use = first_copies(rows, k)
-            at, row, scores = best_pairs(_arrow_matrix(q.column("query_vector").combine_chunks()), rows[use], k)
-            row = use[row]
-        found = v.select([*keep, "tile_id"]).take(pa.array(row))
-        columns = [q.column("query_id").take(pa.array(at)), *found.columns, pa.array(scores)]
-        return pa.table(columns, names=["query_id", *keep, "tile_id", "score"])
-
-    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(score, fields)
+            query_ids, tile_ids = q.column("_ids")[0].values, v.column("_ids")[0].values
+            at, row, scores = best_pairs(_units(q, kinds[0]), _units(v, kinds[1]), k)
+        labels = v.select(keep).take(pa.array(np.zeros(len(row), np.int64)))
+        return pa.table([query_ids.take(pa.array(at)), *labels.columns, tile_ids.take(pa.array(row)), pa.array(scores)], names=["query_id", *keep, "tile_id", "score"])
+
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(score, f"query_id string, {kept}tile_id string, score double")
 
 
 def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 20, bits: int = 4,
