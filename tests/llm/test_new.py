@@ -377,6 +377,36 @@ def test_the_model_does_not_depend_on_splits(spark):
     assert not np.allclose(models[0]["hidden"], start["hidden"])
 
 
+def test_rows_of_equal_keys_are_added():
+    rng = np.random.default_rng(4)
+    for keys, kinds in [(np.minimum(rng.geometric(0.05, 900) - 1, 50), 60), (np.zeros(40, int), 1), (np.arange(12)[::-1], 12), (np.repeat([3, 5], gru.OFTEN), 7), (rng.integers(0, 3, 5), 1 << 16)]:
+        rows = rng.normal(size=(len(keys), 6))
+        found, sums = gru._sums(rows, keys, kinds)
+        assert sorted(found) == sorted(set(keys.tolist()))
+        for k, own in zip(found, sums):
+            assert own == pytest.approx(rows[keys == k].sum(0))
+
+
+def test_scoring_holds_few_documents_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    count = rng.integers(1, 90, 1500)
+    first = np.cumsum(count) - count
+    numbers = rng.integers(0, 130, count.sum()).astype(np.int32)
+    model = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in gru.start(np.arange(130.0) + 1, 6, 1).items()}
+    held, log_prob = [], gru.log_prob
+    monkeypatch.setattr(gru, "log_prob", lambda model, h, y: held.append(len(y)) or log_prob(model, h, y))
+    got = gru.score(model, numbers, first, count, 0)
+    assert sum(held) == count.sum() and max(held) <= 512 * gru.WINDOW
+    for i in rng.integers(0, 1500, 12).tolist():  # each document by itself, a word at a time
+        state, last, total = np.zeros((1, 6), np.float32), np.array([0]), 0.0
+        for w in numbers[first[i] : first[i] + count[i]].tolist():
+            state, _ = gru.step(model, last, state)
+            last = np.array([w])
+            total += log_prob(model, state, last)[0]
+        assert got[i] == pytest.approx(total, rel=1e-4)
+    assert len(gru.score(model, numbers, first[:0], count[:0], 0)) == 0
+
+
 # ---- repeated and null ids -----------------------------------------------------------
 
 
