@@ -77,9 +77,14 @@ def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
     return np.exp(x, out=x), top
 
 
+def _entries(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where ``place`` of each row is in the flat array."""
+    return np.arange(0, x.size, x.shape[1]) + place
+
+
 def _log_softmax(x: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Logarithm of each row's softmax at ``place``; overwrites the logits."""
-    own = x[np.arange(len(x)), place]
+    own = x.take(_entries(x, place))
     x, top = _exp(x)
     return own - top - np.log(x @ np.ones(x.shape[1], x.dtype))
 
@@ -88,10 +93,14 @@ def _softmax_error(x: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Derivative of the mean loss by the logits, in place."""
     x, _ = _exp(x)
     x *= (1 / (len(x) * (x @ np.ones(x.shape[1], x.dtype))))[:, None]
-    x[np.arange(len(x)), place] -= x.dtype.type(1 / len(x))
+    x.reshape(-1)[_entries(x, place)] -= x.dtype.type(1 / len(x))
     return x
 
 
+def _with_bias(model: dict[str, np.ndarray], name: str) -> np.ndarray:
+    return np.concatenate([model[name], model[f"{name}_bias"][..., None]], -1)
+
+
 def _groups(keys: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """Stable order of small numbers, and where each of ``kinds`` begins in it."""
     order = np.argsort(keys.astype(np.int16 if kinds < 1 << 15 else np.int64), kind="stable")
@@ -101,16 +110,18 @@ def _groups(keys: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
 def log_prob(model: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probability of words ``y`` after states ``h``."""
     group = y // SIZE
-    logits = h @ model["class"].T
-    logits += model["class_bias"]
-    out = _log_softmax(logits, group)
     order, cuts = _groups(group, len(model["class"]))
-    ordered, inner = h.take(order, 0), np.empty((len(y), SIZE), h.dtype)
+    group, place = group[order], y[order] % SIZE
+    ordered = np.ones((len(y), h.shape[1] + 1), h.dtype)  # the last column meets the biases
+    ordered[:, :-1] = h.take(order, 0)
+    found = _log_softmax(ordered @ _with_bias(model, "class").T, group)
+    words, inner = _with_bias(model, "word"), np.empty((len(y), SIZE), h.dtype)
     for c in np.flatnonzero(np.diff(cuts)).tolist():
         rows = slice(cuts[c], cuts[c + 1])
-        np.matmul(ordered[rows], model["word"][c].T, out=inner[rows])
-        inner[rows] += model["word_bias"][c]
-    out[order] += _log_softmax(inner, y[order] - group[order] * SIZE)
+        np.matmul(ordered[rows], words[c].T, out=inner[rows])
+    found += _log_softmax(inner, place)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -134,13 +145,15 @@ def _score(model: dict[str, np.ndarray], given: np.ndarray, own: np.ndarray, wor
     """``score`` of documents that move on together, longest first."""
     total = np.zeros(len(count))
     h = np.zeros((len(count), own.shape[1]), np.float32)
-    last = np.full(len(count), end, words.dtype)
+    last = np.full(len(count), end, np.int64)
     longest = int(count[0])
     open_ = np.searchsorted(-count, -np.arange(longest), "left")  # documents with more than t words
     for at in range(0, longest, WINDOW):
         many = open_[at : at + WINDOW]
         cuts = np.concatenate([[0], np.cumsum(many)])
-        states, targets = np.empty((cuts[-1], own.shape[1]), np.float32), np.empty(cuts[-1], words.dtype)
+        states, targets = np.empty((cuts[-1], own.shape[1]), np.float32), np.empty(cuts[-1], np.int64)
+        read = np.arange(at, at + len(many))[:, None] + first[: many[0]]
+        read = words.take(np.minimum(read, len(words) - 1, out=read))
         for t, n in enumerate(many.tolist()):
             now = h[:n]
             gates, passed = given.take(last[:n], 1), now @ own
@@ -156,7 +169,7 @@ def _score(model: dict[str, np.ndarray], given: np.ndarray, own: np.ndarray, wor
             now *= both[1]
             now += new
             states[cuts[t] : cuts[t + 1]] = now
-            targets[cuts[t] : cuts[t + 1]] = last[:n] = words[first[:n] + (at + t)]
+            targets[cuts[t] : cuts[t + 1]] = last[:n] = read[t, :n]
         lanes = np.arange(cuts[-1]) - np.repeat(cuts[:-1], many)
         total += np.bincount(lanes, log_prob(model, states, targets), minlength=len(total))
     return total
@@ -168,7 +181,7 @@ def _packed(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     size = model["hidden"].shape[0]
     sign = np.where(np.arange(3 * size) < 2 * size, -1, 1).astype(model["hidden"].dtype)
     out = {k: model[k] * sign for k in ("input", "hidden", "bias")}
-    return out | {k: np.concatenate([model[k], model[f"{k}_bias"][..., None]], -1) for k in ("class", "word")}
+    return out | {k: _with_bias(model, k) for k in ("class", "word")}
 
 
 def _unpacked(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -180,7 +193,7 @@ def _unpacked(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-OFTEN = 8
+OFTEN = 16
 
 
 def _sums(rows: np.ndarray, keys: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +201,8 @@ def _sums(rows: np.ndarray, keys: np.ndarray, kinds: int) -> tuple[np.ndarray, n
     those of a frequent key by a product."""
     order, cuts = _groups(keys, kinds)
     count = np.diff(cuts)
-    by = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+    by = np.flatnonzero(count)
+    by = by[np.argsort(-count[by], kind="stable")]
     count, heads = count[by], cuts[by]
     more = np.searchsorted(-count, -np.arange(OFTEN + 1), "left").tolist()  # keys with more than k rows
     out = rows.take(order[heads], 0)
@@ -271,19 +285,18 @@ def _window(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.nd
     np.subtract(news, before, out=by_update)
     by_update *= update
     by_update *= left
-    inside, slope = np.empty_like(factor), np.empty_like(back)
+    inside, outer = given.reshape(factor.shape), own.reshape(steps, lanes, 3, size)  # both have been read
     carried = np.zeros((size, lanes), kind)
     for t in range(steps - 1, -1, -1):
-        dh = np.add(back[t], carried, out=slope[t])
+        dh = np.add(back[t], carried, out=back[t])
         np.multiply(dh, factor[t], out=inside[t])
         np.matmul(model["hidden"], inside[t].reshape(3 * size, lanes), out=carried)
         carried += dh * update[t]
         if some[t]:
             carried *= keep[t]
-    outer = np.empty((steps, lanes, 3, size), kind)
     outer[:, :, :2] = inside[:, :2].transpose(0, 3, 1, 2)
-    slope *= by_new
-    outer[:, :, 2] = slope.transpose(0, 2, 1)
+    back *= by_new
+    outer[:, :, 2] = back.transpose(0, 2, 1)
     outer = outer.reshape(n, 3 * size)
     grad["hidden"] = slice(None), np.matmul(before, inside.reshape(steps, 3 * size, lanes).transpose(0, 2, 1)).sum(0)
     grad["bias"] = slice(None), np.ones(n, kind) @ outer
