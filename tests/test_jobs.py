@@ -384,6 +384,32 @@ def test_a_place_with_many_dates_meets_its_areas_in_lists(spark, monkeypatch):
     assert "Generate explode(_areas" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lists_of_areas_are_dealt_and_are_the_outer_side(spark, monkeypatch):
+    """A place's tiles and areas meet list by list over many tasks: row by row the same few areas repeat, not all areas for every tile."""
+    from tilewright.functions import geo
+    monkeypatch.setattr(spatial, "LIST_AREAS", 2)
+    monkeypatch.setattr(spatial, "LIST_TILES", 8, raising=False)
+    box = "double(p) AS min_lon", "0.0D AS min_lat", "p + 0.1D AS max_lon", "0.1D AS max_lat"
+    tiles = spark.range(120).selectExpr("id", "id % 3 AS p").selectExpr("IF(id = 5, null, concat('t', id)) AS tile_id", *box)
+    tiles = tiles.union(spark.createDataFrame([("nowhere", None, 0.0, 0.1, 0.1)], tiles.schema))
+    areas = spark.range(14).selectExpr("id", "id % 2 AS p")
+    ring = F.array(*[F.array(F.col("p") + x, F.lit(y)) for x, y in ((0.0, 0.0), (0.2, 0.0), (0.2, 0.2), (0.0, 0.0))])
+    edges = [e.alias(n) for e, n in zip(geo.ring_bounds(ring), ("min_lon", "min_lat", "max_lon", "max_lat"))]
+    areas = areas.select(F.concat(F.lit("a"), "id").alias("aoi_id"), geo.polygon_edges(F.array(ring)).alias("edges"), *edges)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = [[(r.tile_id, r.aoi_id) for r in rows] for rows in spatial.tiles_in_areas(tiles.coalesce(1), areas).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    rows = [r for task in tasks for r in task]
+    want = [(None if t == 5 else f"t{t}", f"a{a}") for t in range(120) for a in range(14) if t % 3 == a % 2]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    assert sum(map(bool, tasks)) > 1
+    runs = sum(a[0] != b[0] for task in tasks for a, b in zip([("", "")] + task, task))
+    assert runs > 160  # 80 tiles; more runs than that where a list is the outer side
+
+
 def test_the_next_date_is_joined_in_one_shuffle(spark):
     """As the table joined with itself, repeated dates, gaps and null keys included."""
     rows = [(1, 0, 0, 0, 1.0), (1, 0, 0, 1, 2.0), (1, 0, 0, 1, 3.0), (1, 0, 0, 2, 4.0), (1, 0, 1, 0, 5.0), (1, 0, 1, 2, 6.0), (2, 0, 0, 3, None), (2, 0, 0, 4, 7.0), (None, 0, 0, 0, 8.0), (None, 0, 0, 1, 9.0)]
