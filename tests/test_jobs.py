@@ -346,6 +346,27 @@ def test_rasters_that_share_a_path_are_all_listed(spark, tmp_path):
     assert paths == sorted(r.path for r in table(spark, str(tmp_path), "files").collect()) and len(set(paths)) < len(paths)
 
 
+def test_rasters_are_dealt_into_folders(spark, tmp_path, monkeypatch):
+    """Rasters are dealt into folders, all of a path into one, and are listed by as few tasks as a shuffle has."""
+    from tilewright.fixtures import table
+    from tilewright.plans import load, source_plans
+    pages = [*range(60), *range(7_980, 8_000)]
+    spark.createDataFrame([(i, "u") for i in pages], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(source_plans, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 8, raising=False)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 26))  # two files a task, as 32 by default
+    try:
+        found = load().QUERIES["s07_raster_files"](spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted(r.path for r in found.collect()) == sorted(r.path for r in table(spark, str(tmp_path), "files").collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    written = [f.parts[-3:] for f in (tmp_path / "rasters").rglob("*.txt")]
+    assert len(written) == len(pages) and len({w[0] for w in written}) > 1
+    assert len({w[1] for w in written}) == len({w[:2] for w in written}) < len(pages)  # a path is in one folder
+
+
 def test_layout_is_dealt_by_path_before_it_is_counted(spark):
     from tilewright.operators import validate
     entries = spark.createDataFrame([(1, "eastern_ladakh", "active", "a"), (2, "maritime", "active", "b"), (3, None, "configured", "c"), (4, "eastern_ladakh", "archived", None)],

@@ -127,8 +127,7 @@ def s06(spark, d):
 SELECT path, sensor, {BAND_SQL} AS band FROM m""")
 def s07(spark, d):
     path = fresh_path(spark, "rasters")
-    # one small file per raster, also where rasters share a path; its folder carries the raster's own path
-    table(spark, d, "files").select("path", F.lit("x").alias("value")).write.partitionBy("path").option("maxRecordsPerFile", 1).text(path)
+    sinks.raster_files(table(spark, d, "files").select("path"), path)
     listed = readers.raster_files(spark, path).select(F.url_decode(F.regexp_extract("path", r"/path=([^/]*)/", 1)).alias("path"))
     return readers.describe_files(listed, "path", [F.lit("")]).select("path", "sensor", "band")
 

@@ -144,8 +144,9 @@ def items(documents: DataFrame, text: str = "document") -> DataFrame:
 
 
 def raster_files(spark: SparkSession, path: str) -> DataFrame:
-    """File listing only: the content column is never read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """File listing only: the content column is never read, so a task takes many files."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return listed.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def describe_files(files: DataFrame, path: str, tags: list[Column]) -> DataFrame:

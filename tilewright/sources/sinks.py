@@ -1,13 +1,21 @@
-"""Writers: upserts, replacement by site, manifests, partitioned tiles, feature lines, audit rows."""
+"""Writers: upserts, replacement by site, manifests, partitioned tiles, raster files, feature lines, audit rows."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import latest_version
 from ..operators.ranges import in_chunks
-from ..session import fresh_path
+from ..session import dealt, fresh_path
+
+FOLDER_FILES = 256  # raster files of a folder
 
 
 def write_and_read(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -20,6 +28,32 @@ def write_and_read(df: DataFrame, name: str, partition_by: list[str] | None = No
     return df.sparkSession.read.parquet(path)
 
 
+def raster_files(rasters: DataFrame, path: str) -> None:
+    """One small file per row of ``rasters`` (path), also where rasters share a path; a file's folder carries the raster's own path.
+
+    Above it are folders of about ``FOLDER_FILES`` files, which a reader lists side by side. Rasters of a path are of one task, so that a
+    task that is run again writes the same names. Files go through pyarrow's file systems, which know the scheme of ``path``:
+    Spark's writers start two processes for every file of a local folder, to set its mode, and move each raster's folder by the driver.
+    """
+    folders = max(1, -(-rasters.count() // FOLDER_FILES))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(path)
+        stored: Counter = Counter()
+        for batch in batches:
+            for name, folder in zip(*(column.to_pylist() for column in batch.columns)):
+                own = f"{base}/folder={folder}/path={quote(name, safe='')}"
+                if own not in stored:
+                    files.create_dir(own, recursive=True)
+                with files.open_output_stream(f"{own}/raster-{stored[own]}.txt") as out:
+                    out.write(b"x\n")
+                stored[own] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([stored.total()], pa.int64())], names=["files"])
+
+    rows = rasters.select("path", F.pmod(F.xxhash64("path"), F.lit(folders)).alias("folder")).na.fill("__HIVE_DEFAULT_PARTITION__", "path")
+    dealt(rows, "folder").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], batch: str) -> DataFrame:
     """Old and new rows merged, last batch wins, every column replaced.
 
