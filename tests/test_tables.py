@@ -307,3 +307,41 @@ def test_scores_are_computed_in_small_tiles():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 9e6, peak
+
+
+def test_recall_scans_the_codes_once_and_counts_what_the_search_finds(spark, tmp_path, monkeypatch):
+    """Besides the scan that sets the index up there is one; the pairs it finds are those that the search finds, ties and zero vectors included."""
+    from tilewright.operators import vectors
+    from tilewright.plans import load, search_plans
+    rng = np.random.default_rng(8)
+    rows = rng.standard_normal((600, 16)).round(2)
+    rows[100:140], rows[200] = rows[100], 0
+    spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(rows)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    scans, built = [], []
+    ranked, build = VectorIndex._ranked, VectorIndex.build
+    monkeypatch.setattr(VectorIndex, "_ranked", lambda self, *a: scans.append(a) or ranked(self, *a))
+    monkeypatch.setattr(VectorIndex, "build", lambda *a: built.append(build(*a)) or built[-1])
+    row = load().QUERIES["j15_index_recall"](spark, str(tmp_path)).first()
+    assert len(scans) == 2 and row.queries == 600 and row.finds_enough
+    v = search_plans.vec(spark, str(tmp_path))
+    q = v.selectExpr("tile_id AS query_id", "embedding AS query_vector")
+    pairs = lambda df: {(r.query_id, r.tile_id) for r in df.collect()}
+    true, found = pairs(vectors.nearest(q, v, 8)), pairs(built[0].search(q, v, 8))
+    assert true & pairs(built[0].candidates(q)) == true & found and len(true & found) >= 0.9 * len(true)
+
+
+def test_best_pairs_of_single_precision_keep_order_and_ties():
+    from tilewright.operators.vectors import TopPairs
+    rng = np.random.default_rng(9)
+    for k, high in ((1, 1), (5, 1), (5, 1 << 20)):  # wide columns don't fit beside query and score
+        scores = (rng.integers(-4, 5, (3000, 400)) / np.float32(7)).astype(np.float32)
+        scores[scores == 0] *= -1
+        top = TopPairs(3000, k)
+        for low in range(0, 400, 50):
+            top.offer(np.arange(3000), low, scores[:, low:low + 50])
+        top.settle()
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        assert (top.column.reshape(-1, k) == best).all() and (top.query == np.repeat(np.arange(3000), k)).all()
+        assert (top.score == np.take_along_axis(scores, best, 1).ravel()).all()
+        some = top._ordered(np.array([1, 0, 0, 0]), np.array([0, 2, 1, 0]) * high, np.array([0.5, -0.25, -0.25, 0.125]))
+        assert [x.tolist() for x in some] == [[0, 0, 0, 1], [0, high, 2 * high, 0], [0.125, -0.25, -0.25, 0.5]]

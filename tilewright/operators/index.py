@@ -19,12 +19,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .blocks import block_pairs
-from .vectors import LEAST_BLOCKS, QUERY_BLOCK, SCORE_DIGITS, TopPairs, _arrow_matrix, _matrix, nearest, unit
+from .vectors import SCORE_DIGITS, TopPairs, _arrow_matrix, _matrix, nearest, unit
 
 FIT_ROWS, FIT_PER_CELL, MAX_CELLS = 16_384, 32, 16_384  # cells beyond that number would make the centres too large to send
 WIDTH, BOOK = 4, 256  # dimensions per byte of a code, and entries of its book
-GROUP_ROWS = 65_536  # codes of the cells that one task scans for its queries
+GROUP_ROWS = 524_288  # codes of the cells that one task scans for its queries; each group returns the best pairs of every query
+SCAN_QUERIES, SCAN_BLOCKS = 8192, 32  # queries of such a task at most, and blocks of queries at least
 TUNE_QUERIES, TUNE_K = 256, 8  # stored vectors whose nearest ones set how many cells are probed and pairs compared
 PROBE_SHARE, FIND_SHARE, MAX_RERANK = 0.98, 0.95, 512
 
@@ -155,16 +157,19 @@ class VectorIndex:
         asked = queries.select("query_id", "query_vector")
         asked = asked.mapInArrow(probe, f"query_id string, query_vector {dict(asked.dtypes)['query_vector']}, groups array<int>")
         left, right = block_pairs(asked.select("query_id", "query_vector", F.explode("groups").alias("group")), codes.withColumn("group", F.pmod("cell", F.lit(groups))),
-                                  ["group"], "query_id", "tile_id", QUERY_BLOCK, 2 * GROUP_ROWS, LEAST_BLOCKS)
+                                  ["group"], "query_id", "tile_id", SCAN_QUERIES, 2 * GROUP_ROWS, SCAN_BLOCKS)
 
         def scan(q: pa.Table, v: pa.Table) -> pa.Table:
             at, column, score = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
             if q.num_rows and v.num_rows:
-                centres, books = model.value
+                centres, books = (x.astype(np.float32) for x in model.value)
                 rows, v = _arrow_matrix(q.column("query_vector").combine_chunks()), v.sort_by([("cell", "ascending"), ("tile_id", "ascending")])
                 cell = v.column("cell").to_numpy()
                 code = np.frombuffer(b"".join(v.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)
-                stored = np.concatenate([book[c].astype(np.float32) for book, c in zip(books, code.T)], 1)[:, :rows.shape[1]] + centres[cell].astype(np.float32)
+                stored = centres[cell]
+                for i, (book, c) in enumerate(zip(books, code.T)):
+                    part = stored[:, i * WIDTH:(i + 1) * WIDTH]
+                    part += book[c][:, :part.shape[1]]
                 starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
                 pieces = [(s, min(s + 2048, end)) for begin, end in zip(starts, np.r_[starts[1:], len(cell)]) for s in range(begin, end, 2048)]
                 for start in range(0, len(rows), 1024):
@@ -182,7 +187,8 @@ class VectorIndex:
             return pa.table([q.column("query_id").take(at), v.column("tile_id").take(column), pa.array(np.concatenate(score))], names=["query_id", "tile_id", "score"])
 
         keys = ["group", "_lb", "_rb"]
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id string, tile_id string, score double")
+        # the tables are small for the work they make: left to adaptive execution, few tasks would share it
+        found = dealt(left, *keys).groupBy(*keys).cogroup(dealt(right, *keys).groupBy(*keys)).applyInArrow(scan, "query_id string, tile_id string, score double")
         place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "tile_id")
         return found.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= rerank).select("query_id", "tile_id", "_p")
 

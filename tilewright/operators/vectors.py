@@ -110,14 +110,26 @@ class TopPairs:
         if self.waiting > max(3 * self.k * len(self.limit), 1 << 16):
             self.settle()
 
+    def _ordered(self, query: np.ndarray, column: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By query, the best score first, ties by the smaller column. Without ``exact`` all three fit into one integer, which sorts many times faster."""
+        width = np.uint64(int(column.max(initial=0)).bit_length())
+        if self.exact is not None or len(self.limit).bit_length() + int(width) > 32:
+            order = np.lexsort((column, -score, query))
+            return query[order], column[order], score[order]
+        flip = lambda bits: np.where(bits >> 31, bits, np.uint32(0x7FFFFFFF) - bits)  # noqa: E731  # single precision as integers that fall with it
+        falling = flip((score.astype(np.float32) + np.float32(0)).view(np.uint32)).astype(np.uint64)
+        keys = np.sort((query.astype(np.uint64) << (width + np.uint64(32))) | (falling << width) | column.astype(np.uint64))
+        score = flip((keys >> width).astype(np.uint32)).view(np.float32).astype(np.float64)
+        return (keys >> (width + np.uint64(32))).astype(np.int64), (keys & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64), score
+
     def settle(self) -> None:
         query, column, score = (np.concatenate(parts) for parts in zip(*self.pending)) if self.pending else (self.query[:0], self.column[:0], self.score[:0])
         if self.exact is not None:
             score = np.concatenate([self.exact(query[i:i + 65_536], column[i:i + 65_536]) for i in range(0, len(query), 65_536)]) if len(query) else score
         query, column, score = np.concatenate([self.query, query]), np.concatenate([self.column, column]), np.concatenate([self.score, score.astype(np.float64)])
-        order = np.lexsort((column, -score, query))
-        query, column, score = query[order], column[order], score[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
+        query, column, score = self._ordered(query, column, score)
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else query
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
         last = place == self.k - 1
         self.limit[query[last]] = np.maximum(self.limit[query[last]], score[last] - self.margin)
         kept = place < self.k
